@@ -92,3 +92,25 @@ class Forest:
                 if np.array_equal(up, self.root):
                     break
                 self.root = up
+
+
+def tiled_by_count(df: DataFrame, counts: DataFrame, keys: list[str], spread: str, tile_rows: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
+    """Like :func:`tiled` for wide rows: bucket sizes come from ``counts`` (keys, n), so the wide rows move once.
+
+    Only buckets over ``tile_rows`` are looked up; their list is broadcast while it has at most ``broadcast_rows`` rows
+    and joined by shuffle beyond that.
+    """
+    hot = counts.where(F.col("n") > tile_rows).select(*keys, F.ceil(F.col("n") / F.lit(tile_rows)).cast("int").alias("k"))
+    if hot.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hot = F.broadcast(hot)
+    dealt = (
+        df.join(hot, keys, "left")
+        .withColumn("k", F.coalesce("k", F.lit(1)))
+        .withColumn("chunk", F.expr(f"CAST(pmod(xxhash64({spread}), k) AS INT)"))
+        .withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
+        .withColumn("tile_a", F.least("chunk", "j"))
+        .withColumn("tile_b", F.greatest("chunk", "j"))
+        .drop("k", "j")
+    )
+    by = [*keys, "tile_a", "tile_b"]
+    return dealt.repartition(*by).sortWithinPartitions(*by)

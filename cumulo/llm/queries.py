@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from cumulo.llm.bpe import op2
+from cumulo.llm.packing import op10
 from cumulo.llm.simhash import op6
+from cumulo.llm.topk import op7
+from cumulo.llm.vector_dedup import op9
 
 QUERIES = {
     "op2_byte_bpe": op2,
     "op6_simhash_near_dedup": op6,
+    "op7_kd_tree_top_k": op7,
+    "op9_vector_near_dedup": op9,
+    "op10_best_fit_packing": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
