@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from cumulo.llm.bpe import op2
+from cumulo.llm.chunks import op8
+from cumulo.llm.language import op5
 from cumulo.llm.packing import op10
 from cumulo.llm.simhash import op6
 from cumulo.llm.topk import op7
@@ -10,8 +12,10 @@ from cumulo.llm.vector_dedup import op9
 
 QUERIES = {
     "op2_byte_bpe": op2,
+    "op5_language_id": op5,
     "op6_simhash_near_dedup": op6,
     "op7_kd_tree_top_k": op7,
+    "op8_substring_dedup": op8,
     "op9_vector_near_dedup": op9,
     "op10_best_fit_packing": op10,
 }
