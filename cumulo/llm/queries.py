@@ -7,6 +7,7 @@ from cumulo.llm.chunks import op8
 from cumulo.llm.language import op5
 from cumulo.llm.packing import op10
 from cumulo.llm.pii import op3
+from cumulo.llm.secrets import op4
 from cumulo.llm.simhash import op6
 from cumulo.llm.topk import op7
 from cumulo.llm.vector_dedup import op9
@@ -14,6 +15,7 @@ from cumulo.llm.vector_dedup import op9
 QUERIES = {
     "op2_byte_bpe": op2,
     "op3_pii": op3,
+    "op4_secrets": op4,
     "op5_language_id": op5,
     "op6_simhash_near_dedup": op6,
     "op7_kd_tree_top_k": op7,
