@@ -5,6 +5,7 @@ from __future__ import annotations
 from cumulo.llm.bpe import op2
 from cumulo.llm.chunks import op8
 from cumulo.llm.language import op5
+from cumulo.llm.ngrams import op1
 from cumulo.llm.packing import op10
 from cumulo.llm.pii import op3
 from cumulo.llm.secrets import op4
@@ -13,6 +14,7 @@ from cumulo.llm.topk import op7
 from cumulo.llm.vector_dedup import op9
 
 QUERIES = {
+    "op1_lm_scores": op1,
     "op2_byte_bpe": op2,
     "op3_pii": op3,
     "op4_secrets": op4,
