@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,12 @@ def discard(df: DataFrame) -> None:
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more: shuffle files of finished jobs go when its JVM collects their handles.
+
+    Called between steps that each shuffle about as much as their input, so that disk holds one step's files.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
