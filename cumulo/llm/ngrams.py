@@ -4,7 +4,7 @@ p(w | v) = a(b) c(v w) / c(v) + l(b) c(w) / N + u(b) / (V + 1), with a + l + u =
 The weights are learned by expectation-maximisation on counts from texts that were left out of the estimates they
 judge (the deleted part); the scores then use the counts of all training texts.
 
-Texts become blocks of some million tokens, written once.  A block asks for each of its different words and word
+Texts become blocks of about a million tokens, written once.  A block asks for each of its different words and word
 pairs a single time, so a word that stands everywhere costs a few bytes a block; requests and answers are sorted arrays, packed in
 binary columns and dealt by key range.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cumulo.plans.shared import materialize, release
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 600_000
 #: Context counts by powers of two; the last is for contexts never seen in training.
 BUCKETS = 42
