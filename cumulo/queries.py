@@ -85,7 +85,7 @@ query("q_kth_largest", f"""WITH {CAT}, n AS (SELECT count(DISTINCT year * 100 +
   k AS (SELECT period, CAST(greatest(round_even(years / period, 0), 1) AS INT) AS k FROM n, (VALUES (1), (2), (5), (10), (25)) p(period)),
   v AS (SELECT total_volume_km3 AS v, row_number() OVER (ORDER BY total_volume_km3 DESC) AS k FROM whole), i AS (SELECT max_intensity_mm_hr AS i, row_number() OVER (ORDER BY max_intensity_mm_hr DESC) AS k FROM whole)
   SELECT period, k.k, v AS volume_km3, i AS intensity_mm_hr FROM k JOIN v USING (k) JOIN i USING (k)""")(_cat(_kth))
-query("q_cmt_filter", f"""WITH {CAT} SELECT sum(h::BIGINT) AS storms, sum(h::BIGINT) / count(*) AS share, {ES.format('CASE WHEN h THEN total_volume_km3 ELSE 0 END')} / {VOLSUM} AS volume_share
+query("q_cmt_filter", f"""WITH {CAT} SELECT CAST(sum(h::BIGINT) AS BIGINT) AS storms, sum(h::BIGINT) / count(*) AS share, {ES.format('CASE WHEN h THEN total_volume_km3 ELSE 0 END')} / {VOLSUM} AS volume_share
   FROM (SELECT *, total_volume_km3 >= 0.1e0 AND max_intensity_mm_hr >= 40e0 AS h FROM whole)""")(_cat(lambda c: climatology.critical_mass(c, 0.1, 40.0)))
 query("q_annual_summary", f"""WITH {CAT} SELECT year, count(*) AS storms, {ES.format('CASE WHEN ok THEN total_volume_km3 END')} AS volume_km3, round(quantile_cont(total_volume_km3, 0.5) FILTER (ok), 9) AS median_volume_km3,
   round(quantile_cont(duration_h, 0.95) FILTER (ok), 6) AS p95_duration_h, sum((NOT ok)::BIGINT) / count(*) AS truncated_share, count(DISTINCT month) AS months
@@ -335,7 +335,7 @@ query("q_calendar_gaps", f"""WITH {CAT}, d AS (SELECT DISTINCT CAST(start_time A
     _cat(lambda c: checks.calendar_gaps(c.where(inside(F.col("wcentroid_lat"), F.col("wcentroid_lon"), BOX)).select(F.to_date("start_time").alias("day")).distinct()))
 )
 query("q_cube_diff", f"""WITH {CUBE}, o AS (SELECT t, y, x, CASE WHEN r >= 40 THEN r - 0.5e0 ELSE r END AS r FROM cube WHERE r >= 1), d AS (SELECT abs(coalesce(cube.r, 0) - coalesce(o.r, 0)) AS d FROM cube FULL JOIN o ON cube.t = o.t AND cube.y = o.y AND cube.x = o.x)
-  SELECT count(*) AS cells, max(d) AS max_diff, sum((d > 1e-4)::BIGINT) AS differing, max(d) < 1e-3 AS same FROM d""")(_cube(lambda c: checks.cube_diff(c, c.where("r >= 1").withColumn("r", F.when(F.col("r") >= 40, F.col("r") - F.lit(0.5)).otherwise(F.col("r"))))))
+  SELECT count(*) AS cells, max(d) AS max_diff, CAST(sum((d > 1e-4)::BIGINT) AS BIGINT) AS differing, max(d) < 1e-3 AS same FROM d""")(_cube(lambda c: checks.cube_diff(c, c.where("r >= 1").withColumn("r", F.when(F.col("r") >= 40, F.col("r") - F.lit(0.5)).otherwise(F.col("r"))))))
 query("q_distinct_frames", f"WITH {CUBE}, s AS (SELECT t, round(sum(CAST(r AS DECIMAL(20,6)))::DOUBLE, 3) AS s FROM cube GROUP BY t) SELECT count(*) AS steps, count(DISTINCT s) AS distinct_sums, count(DISTINCT s) >= count(*) / 2 AS ok FROM s")(
     _cube(lambda c: checks.distinct_frames(c.withColumn("r", F.col("r").cast("decimal(20,6)"))).withColumnRenamed("distinct", "distinct_sums"))
 )
