@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,34 +43,48 @@ class _Codes(dict):
         return n
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, fold: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``(block, ids, folds, sizes, codes, words)``: texts as numbers of their block's words, and those words' 64-bit hashes."""
-    schema = "block long, ids array<long>, folds binary, sizes binary, codes binary, words binary"
+class _Open:
+    """A block that still takes texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, codes, ids, folds, sizes = _Codes(), array("I"), [], [], []
+    def __init__(self) -> None:
+        self.vocabulary, self.codes, self.ids, self.folds, self.sizes = _Codes(), array("I"), [], [], []
+
+    def add(self, key: int | None, text: bytes, fold: int) -> None:
+        before = len(self.codes)
+        self.codes.extend(map(self.vocabulary.__getitem__, text.lower().split()))
+        self.codes.append(0)
+        self.ids.append(key)
+        self.folds.append(fold)
+        self.sizes.append(len(self.codes) - before)
 
-        def flush() -> pa.RecordBatch:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-            words = np.r_[np.uint64(xxhash.xxh64_intdigest(b"\n")), hashes]
-            number = int.from_bytes(os.urandom(8), "little") >> 1
-            row = [[number], [ids], [np.array(folds, np.int8).tobytes()], [np.array(sizes, np.int64).tobytes()], [codes.tobytes()], [words.tobytes()]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["block", "ids", "folds", "sizes", "codes", "words"])
+    def row(self, tune: bool) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        words = np.r_[np.uint64(xxhash.xxh64_intdigest(b"\n")), hashes]
+        number = int.from_bytes(os.urandom(8), "little") >> 1
+        row = [[number], [tune], [len(self.codes)], [self.ids], [_packed(np.array(self.folds))], [_packed(np.array(self.sizes))], [_packed(np.frombuffer(self.codes, np.uint32))], [words.tobytes()]]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["block", "tune", "n", "ids", "folds", "sizes", "codes", "words"])
 
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, fold: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``(block, tune, n, ids, folds, sizes, codes, words)``: texts as numbers of their block's words, and those words' 64-bit hashes.
+
+    Texts that tune the weights have blocks of their own.
+    """
+    schema = "block long, tune boolean, n long, ids array<long>, folds binary, sizes binary, codes binary, words binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {True: _Open(), False: _Open()}
         for b in batches:
             for key, text, part in zip(*(c.to_pylist() for c in b.columns)):
-                before = len(codes)
-                codes.extend(map(vocabulary.__getitem__, (text or b"").lower().split()))
-                codes.append(0)
-                ids.append(key)
-                folds.append(part)
-                sizes.append(len(codes) - before)
-                if len(codes) >= block_tokens:
-                    yield flush()
-                    vocabulary, codes, ids, folds, sizes = _Codes(), array("I"), [], [], []
-        if ids:
-            yield flush()
+                tune = part == TUNE
+                opened[tune].add(key, text or b"", part)
+                if len(opened[tune].codes) >= block_tokens:
+                    yield opened[tune].row(tune)
+                    opened[tune] = _Open()
+        for tune, block in opened.items():
+            if block.ids:
+                yield block.row(tune)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), fold.cast("int").alias("fold"))
     return own.mapInArrow(run, schema)
@@ -80,9 +95,7 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.ids = row["ids"]
-        self.folds = np.frombuffer(row["folds"], np.int8)
-        self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
+        self.folds, self.sizes, self.codes = (_unpacked(row[c]).astype(np.int64) for c in ("folds", "sizes", "codes"))
         words = np.frombuffer(row["words"], np.uint64)
         self.n_words = len(words)
         before = np.r_[0, self.codes[:-1]]  # a text follows an end
@@ -109,14 +122,16 @@ class Block:
         return out[: self.n_words], out[self.n_words :]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the least whole-number type that holds them, its width first."""
-    width = next(w for w in (1, 2, 4, 8) if counts.max(initial=0) < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them, byte by byte of all of them, compressed; the width comes first."""
+    width = next(w for w in (1, 2, 4, 8) if numbers.max(initial=0) < 1 << 8 * w)
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{data[0]}")
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -138,7 +153,7 @@ def _keys(data: bytes) -> np.ndarray:
 
 
 def requests(made: DataFrame, n_buckets: int) -> DataFrame:
-    """``(bucket, block, keys, train, fit)``: what each block adds to its keys, by key range."""
+    """``(bucket, block, tune, keys, train, fit)``: what each block adds to its keys, by key range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,18 +164,18 @@ def requests(made: DataFrame, n_buckets: int) -> DataFrame:
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     s = slice(edges[k], edges[k + 1])
-                    out = [[k], [row["block"]], [_deltas(block.keys[s])], [_packed(train[s])], [_packed(fit[s])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), pa.int64(), *[pa.binary()] * 3])], names=["bucket", "block", "keys", "train", "fit"])
+                    out = [[k], [row["block"]], [row["tune"]], [_deltas(block.keys[s])], [_packed(train[s])], [_packed(fit[s])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 3])], names=["bucket", "block", "tune", "keys", "train", "fit"])
 
-    return made.mapInArrow(run, "bucket int, block long, keys binary, train binary, fit binary")
+    return made.mapInArrow(run, "bucket int, block long, tune boolean, keys binary, train binary, fit binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """``(block, bucket, train, fit)``: the whole corpus' counts of each block's keys, in its order.
+    """``(block, bucket, tune, train, fit)``: the whole corpus' counts of each block's keys, in its order; ``fit`` for tuning blocks only.
 
     A row with a null block sums a bucket: ``tokens``, ``fit_tokens`` and ``types`` of training words.
     """
-    names = ["block", "bucket", "train", "fit", "tokens", "fit_tokens", "types"]
+    names = ["block", "bucket", "tune", "train", "fit", "tokens", "fit_tokens", "types"]
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -172,12 +187,12 @@ def answers(asked: DataFrame) -> DataFrame:
         out = []
         for r, k, e in zip(rows, keys, ends.tolist()):
             own = at[e - len(k) : e]
-            out.append((r["block"], r["bucket"], _packed(train[own]), _packed(fit[own]), 0, 0, 0))
-        out.append((None, rows[0]["bucket"], None, None, int(train[word].sum()), int(fit[word].sum()), int((train[word] > 0).sum())))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
+            out.append((r["block"], r["bucket"], r["tune"], _packed(train[own]), _packed(fit[own]) if r["tune"] else None, 0, 0, 0))
+        out.append((None, rows[0]["bucket"], None, None, None, int(train[word].sum()), int(fit[word].sum()), int((train[word] > 0).sum())))
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, train binary, fit binary, tokens long, fit_tokens long, types long")
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, tune boolean, train binary, fit binary, tokens long, fit_tokens long, types long")
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -275,16 +290,16 @@ def score(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     made = materialize(blocks(docs, id_col, text_col, fold), "blocks")
-    size = made.agg(F.sum(F.length("codes") / 4)).first()[0] or 0
+    size = made.agg(F.sum("n")).first()[0] or 0
     found = materialize(answers(requests(made, max(24, -(-int(size) // bucket_keys)))), "answers")
     release(spark)
     total = found.where("block IS NULL").agg(F.sum("tokens"), F.sum("fit_tokens"), F.sum("types")).first()
     tokens, fit_tokens, types = (int(x or 0) for x in total)
-    told = found.where("block IS NOT NULL").select("block", "bucket", "train", "fit")
-    cells = events(made, told.drop("train"), fit_tokens).toPandas()
+    cells = events(made.where("tune"), found.where("tune").select("block", "bucket", "fit"), fit_tokens).toPandas()
     release(spark)
     mix = weights(cells, types)
-    return scores(made, told.drop("fit"), mix, tokens, types).withColumn("train_tokens", F.lit(tokens).cast("long"))
+    told = found.where("block IS NOT NULL").select("block", "bucket", "train")
+    return scores(made, told, mix, tokens, types).withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
