@@ -98,8 +98,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nor taken as a first place.  Every row and column stays; columns of the three names are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_chunks", "n_cut", "cut_spans")]
-    found = repeated(docs, id_col, text_col).select(F.col("id").alias("_dup_id"), F.col("dups").alias("_dups"))
-    joined = docs.select(*names).join(found, F.col(id_col).cast("long") == F.col("_dup_id"), "left").drop("_dup_id")
+    # The row travels as one struct, so no name of its own can clash with a helper's.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("key"))
+    found = repeated(docs, id_col, text_col)
+    joined = whole.join(found, F.col("key") == F.col("id"), "left").select("row", "dups")
     at = names.index(text_col)
 
     def clean(text: str | None, dups: list[int] | None) -> tuple[str | None, int, int, str]:
@@ -135,9 +137,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             for s in range(0, b.num_rows, 1000):
                 part = b.slice(s, 1000)
-                done = [clean(t, d) for t, d in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())]
-                text, chunks, n, spans = zip(*done)
-                columns = [*part.columns[:at], pa.array(text, pa.string()), *part.columns[at + 1 : len(names)]]
+                columns = part.column(0).flatten()
+                text, chunks, n, spans = zip(*[clean(t, d) for t, d in zip(columns[at].to_pylist(), part.column(1).to_pylist())])
+                columns[at] = pa.array(text, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.string())], names=[*names, "n_chunks", "n_cut", "cut_spans"])
 
     schema = StructType([*docs.select(*names).schema, *StructType.fromDDL("n_chunks long, n_cut long, cut_spans string")])

@@ -238,8 +238,10 @@ def weights(cells: pd.DataFrame, types: int, rounds: int = 100) -> np.ndarray:
     """Mixture weights (pair, word, uniform) of each bucket, by expectation-maximisation on held-out cells.
 
     A bucket without events gets the weights of all events together; without any events each estimate counts a third.
-    Unseen contexts have no pair estimate.
+    Unseen contexts have no pair estimate; without training words there is the uniform one only.
     """
+    if not types:
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     p = np.stack([cells["pair_sum"] / cells["n"], cells["word_sum"] / cells["n"], np.full(len(cells), 1 / (types + 1))], axis=1).astype(float)
     n, bucket = cells["n"].to_numpy(float), cells["bucket"].to_numpy(np.int64)
 

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,26 +130,24 @@ def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 2000, rounds:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, certified boolean, loose boolean"
 
     def kernel(round_no: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-            lengths, group = pdf["length"].to_numpy(np.int64), int(pdf["part"].iloc[0])
-            bound = bins_needed(lengths, capacity)
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in order])
+            lengths, group = table["length"].to_numpy(), table["part"][0].as_py()
             bins, offsets, free = best_fit_decreasing(lengths, capacity)
-            if round_no == 0 or len(free) < pdf["sequence_id"].nunique():
-                pdf["sequence_id"], pdf["offset"] = (round_no << 58) + (group << 24) + bins, offsets
-                pdf["certified"] = len(free) == bound
-                pdf["loose"] = (len(free) > bound) & (free[bins] > slack)
+            certified = len(free) == bins_needed(lengths, capacity)
+            if round_no == 0 or len(free) < pc.count_distinct(table["sequence_id"]).as_py():
+                places, loose = [pa.array((round_no << 58) + (group << 24) + bins), pa.array(offsets)], free[bins] > slack
             else:
-                pdf["certified"] = len(free) == bound
-                pdf["loose"] = len(free) > bound
-            return pdf[[*kept, "sequence_id", "offset", "certified", "loose"]]
+                places, loose = [table["sequence_id"], table["offset"]], np.ones(len(lengths), bool)
+            marks = [pa.array(np.full(len(lengths), certified)), pa.array(loose & (not certified))]
+            return pa.Table.from_arrays([*(table[c] for c in kept), *places, *marks], names=[*kept, "sequence_id", "offset", "certified", "loose"])
 
         return run
 
     def dealt(df: DataFrame, round_no: int) -> DataFrame:
         parts = max(1, -(-df.count() // group_rows))
         key = F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(round_no)), F.lit(parts))
-        return df.withColumn("part", key).groupBy("part").applyInPandas(kernel(round_no), schema)
+        return df.withColumn("part", key).groupBy("part").applyInArrow(kernel(round_no), schema)
 
     packed = materialize(dealt(items, 0), "packed")
     settled = packed.where("NOT loose")

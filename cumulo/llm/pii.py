@@ -138,17 +138,19 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = materialize(each, "terms-by-document")
     if each.count() <= broadcast_rows:
         each = F.broadcast(each)
-    rows = docs.select(*names, *key).join(each, "_h", "left").withColumn("_base", base_spans(text))
+    # The row travels as one struct, so no name of its own can clash with a helper's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), text.alias("text"), *key)
+    rows = rows.join(each, "_h", "left").withColumn("base", base_spans(F.col("text")))
     pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    extra = F.when(F.col("_terms").isNotNull(), apart(spans(text, "term", len(KINDS), pattern), F.col("_base"))).otherwise(none())
-    rows = rows.withColumn("pii_spans", F.sort_array(F.concat("_base", extra)))
+    extra = F.when(F.col("_terms").isNotNull(), apart(spans(F.col("text"), "term", len(KINDS), pattern), F.col("base"))).otherwise(none())
+    rows = rows.withColumn("found", F.sort_array(F.concat("base", extra)))
 
     def label(s: Column) -> Column:
         gone = F.array_contains(F.col("_removed"), F.translate(s["value"], UPPER, LOWER))
         return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(gone, F.lit("")).otherwise(F.lit("[TERM]"))
 
-    clean = F.when(F.size("pii_spans") > 0, replaced(F.col(text_col), F.col("pii_spans"), label)).otherwise(F.col(text_col))
-    return rows.withColumn("pii_text", clean).select(*names, "pii_spans", "pii_text")
+    clean = F.when(F.size("found") > 0, replaced(F.col("old"), F.col("found"), label)).otherwise(F.col("old"))
+    return rows.withColumn("clean", clean).select("row.*", F.col("found").alias("pii_spans"), F.col("clean").alias("pii_text"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -50,12 +50,13 @@ def drawn(n: int, seed: int) -> list[str]:
     return ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(20, 64))) for i in range(n)]
 
 
-def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, drawn_strings: int = 2000, prior: float = 0.5, seed: int = 11) -> list[float]:
+def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, drawn_strings: int = 2000, prior: float = 10.0, seed: int = 11) -> list[float]:
     """Log-likelihood ratio of each character pair, random against identifier; index (size of the alphabet + 1) * previous + next, 0 for the start and for characters outside of it.
 
     Labelled samples: random are ``drawn_strings`` drawn strings and the secrets found by pattern, identifiers the tokens of six or more
     characters outside of them; both from the ``sample_docs`` texts of least hash, which bounds what is fitted on.  Counts
-    are one aggregation of at most 2 * 69**2 rows; ``prior`` is added to each.
+    are one aggregation of at most 2 * 69**2 rows.  A pair's probability backs off to its second character's own with the
+    weight of ``prior`` observations, so that a character which identifiers rarely hold counts after any other.
     """
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     least = own.select("h").distinct().orderBy("h").limit(sample_docs)
@@ -68,11 +69,17 @@ def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, draw
     steps = F.transform(F.sequence(F.lit(1), F.size("codes") - 1), lambda i: F.struct(F.get("codes", i - 1).alias("a"), F.get("codes", i).alias("b")))
     counted = tokens.union(made).where("length(token) > 0").select("random", codes.alias("codes")).select("random", F.explode(steps).alias("s")).groupBy("random", "s.a", "s.b").count()
     size = len(ALPHABET) + 1
-    table = [[[prior] * size for _ in range(size)] for _ in range(2)]
+    table = [[[0] * size for _ in range(size)] for _ in range(2)]
     for r in counted.collect():
         table[r["random"]][r["a"]][r["b"]] += r["count"]
-    total = [[sum(row) for row in one] for one in table]
-    return [math.log(table[1][a][b] / total[1][a]) - math.log(table[0][a][b] / total[0][a]) for a in range(size) for b in range(size)]
+
+    def model(seen: list[list[int]]) -> list[list[float]]:
+        n = sum(map(sum, seen))
+        single = [(sum(row[b] for row in seen) + 0.5) / (n + 0.5 * size) for b in range(size)]
+        return [[(row[b] + prior * single[b]) / (sum(row) + prior) for b in range(size)] for row in seen]
+
+    plain, made = model(table[0]), model(table[1])
+    return [math.log(made[a][b] / plain[a][b]) for a in range(size) for b in range(size)]
 
 
 def mean_ratio(token: Column, ratios: list[float]) -> Column:
@@ -93,14 +100,15 @@ def secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", least_
     In the text each span becomes [SECRET].  Null text has no spans and stays null.  Every row and column stays; columns of
     the two names are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    long = _TOKEN % least_chars
+    names = [c for c in docs.columns if c not in ("secret_spans", "secret_text")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text, long = F.col("text"), _TOKEN % least_chars
     candidate = F.filter(where_present(spans(text, "random", len(KINDS), long), text.rlike(long)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = docs.withColumn("_base", base_spans(text)).withColumn("_long", candidate)
-    more = F.filter(apart(F.col("_long"), F.col("_base")), lambda s: mean_ratio(s["value"], ratios) >= threshold)
-    rows = rows.withColumn("secret_spans", F.when(F.size("_long") > 0, F.sort_array(F.concat("_base", more))).otherwise(F.col("_base")))
-    clean = F.when(F.size("secret_spans") > 0, replaced(F.col(text_col), F.col("secret_spans"), lambda s: F.lit("[SECRET]"))).otherwise(F.col(text_col))
-    return rows.withColumn("secret_text", clean).drop("_base", "_long")
+    rows = rows.withColumn("base", base_spans(text)).withColumn("long", candidate)
+    more = F.filter(apart(F.col("long"), F.col("base")), lambda s: mean_ratio(s["value"], ratios) >= threshold)
+    rows = rows.withColumn("found", F.when(F.size("long") > 0, F.sort_array(F.concat("base", more))).otherwise(F.col("base")))
+    clean = F.when(F.size("found") > 0, replaced(F.col("old"), F.col("found"), lambda s: F.lit("[SECRET]"))).otherwise(F.col("old"))
+    return rows.withColumn("clean", clean).select("row.*", F.col("found").alias("secret_spans"), F.col("clean").alias("secret_text"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
