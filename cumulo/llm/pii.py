@@ -72,13 +72,13 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
 
 
-def _near(text: Column, s: Column, chars: int) -> Column:
-    """Whole terms at most ``chars`` code points before or after a span."""
+def _context(text: Column, s: Column, chars: int) -> Column:
+    """At most ``chars`` code points before and after a span, without the words that the window cuts."""
     before = F.substring(text, F.greatest(s["start"] - chars, F.lit(0)) + 1, F.least(s["start"], F.lit(chars)))
     after = F.substring(text, s["end"] + 1, F.lit(chars))
     before = F.when(s["start"] > chars, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(s["end"] + chars < F.length(text), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return _terms(F.concat(before, F.lit(" "), after))
+    return F.concat(before, F.lit(" "), after)
 
 
 def _share(both: Column, term: Column, entity: Column, total: float) -> Column:
@@ -86,26 +86,23 @@ def _share(both: Column, term: Column, entity: Column, total: float) -> Column:
     return F.log2(both * F.lit(total) / (term.cast("double") * entity)) / F.log2(F.lit(total) / entity)
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_texts: int = 3, generalise: float = 0.6, remove: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_contexts: int = 3, generalise: float = 0.6, remove: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
     """``(entity, term, share, removed)``: terms that disclose at least ``generalise`` of an entity's information.
 
     share = log2(n(t,e) D / (n(t) n(e))) / log2(D / n(e)), over documents: n(t,e) those with t near e, n(t) those with t
     anywhere, n(e) those with e, D all.  The same over documents with personal data only, t near any of it, must reach
     ``generalise`` first: what stands near personal data in general discloses no one entity, and what is common there
-    needs no count over the corpus.  Pairs seen in fewer than ``min_texts`` different texts say nothing.  Every document
-    counts; the list of candidate terms is broadcast while it has at most ``broadcast_rows`` rows.
+    needs no count over the corpus.  Pairs seen in fewer than ``min_contexts`` different surroundings say nothing, so
+    copies of one text aren't evidence.  Every document counts; the list of candidate terms is broadcast while it has at most ``broadcast_rows`` rows.
     """
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
-    met = found.select(
-        F.xxhash64("text").alias("h"),
-        F.monotonically_increasing_id().alias("row"),
-        F.explode(F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s, chars).alias("terms")))).alias("m"),
-    )
-    met = materialize(met.select("h", "row", "m.*"), "mentions")
+    around = F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s, chars).alias("context")))
+    met = found.select(F.monotonically_increasing_id().alias("row"), F.explode(around).alias("m"))
+    met = materialize(met.select("row", "m.entity", F.xxhash64("m.context").alias("h"), _terms(F.col("m.context")).alias("terms")), "mentions")
     entities = met.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     near = met.select("entity", "h", "row", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("texts"), F.count_distinct("row").alias("n_te")).where(F.col("texts") >= min_texts)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("contexts"), F.count_distinct("row").alias("n_te")).where(F.col("contexts") >= min_contexts)
     near_any = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
     held = float(met.agg(F.count_distinct("row")).first()[0])
     local = _share(F.col("n_te"), F.col("m_t"), F.col("n_e"), held)
