@@ -26,4 +26,15 @@ QUERIES = {
     "op10_best_fit_packing": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+#: The others have no SQL form: hashes, automata, compression, learned weights and packings.  Their tests hold plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op7_kd_tree_top_k": f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE} AND vec_id IS NOT NULL),
+      s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM p a JOIN p b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_vector_near_dedup": f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN {_FINITE} AND vec_id IS NOT NULL AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM embeddings),
+      l AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.95),
+      reach(a, b) AS (SELECT k, k FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a), c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.k = b GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+      SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.a = k LEFT JOIN n ON n.a = k""",
+}
