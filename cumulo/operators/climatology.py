@@ -124,3 +124,23 @@ def month_rank(cat: DataFrame) -> DataFrame:
     """Months of the record ranked by volume, largest first."""
     rows = cat.groupBy("year", "month").agg(exact_sum("total_volume_km3").alias("volume_km3"))
     return rows.withColumn("rank", F.rank().over(Window.orderBy(F.desc("volume_km3"))))
+
+
+def year_quantiles(cat: DataFrame) -> DataFrame:
+    """Median, 99th percentile and maximum of untruncated storms' volume by year."""
+    at = lambda q: F.round(F.expr(f"percentile(total_volume_km3, {q})"), 9)
+    return cat.where(untruncated()).groupBy("year").agg(at(0.5).alias("p50_km3"), at(0.99).alias("p99_km3"), F.max("total_volume_km3").alias("max_km3"))
+
+
+def percentile_meaning(cat: DataFrame, years: float, levels: tuple[float, ...] = (90.0, 99.0, 99.9, 99.99)) -> DataFrame:
+    """How many storms a year lie beyond a percentile, and the years between two of them."""
+    n = cat.where(untruncated()).count()
+    rows = cat.sparkSession.createDataFrame([(float(p),) for p in levels], "level double")
+    beyond = F.lit(float(n)) * (F.lit(1.0) - F.col("level") / 100) / F.lit(float(years))
+    return rows.select("level", F.round(beyond, 9).alias("per_year"), F.round(F.lit(1.0) / beyond, 9).alias("years_between"))
+
+
+def full_year_mean(cat: DataFrame) -> DataFrame:
+    """Mean volume of full years, and how many years are full and how many are not."""
+    full = F.when(F.col("full"), F.col("volume_km3"))
+    return by_year(cat).agg((exact_sum(full) / F.count(full)).alias("mean_km3"), F.sum(F.col("full").cast("long")).alias("full_years"), F.sum((~F.col("full")).cast("long")).alias("partial_years"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cumulo.functions.columns import EXACT, exact_sum, inside
 from cumulo.functions.constants import FAMILY_RATE_BANDS
-from cumulo.operators.severity import Scale, classify, fit
+from cumulo.operators.severity import Scale, classify, fit, percentile_of
 
 Box = tuple[float, float, float, float]
 
@@ -79,3 +79,32 @@ def area_rank(daily: DataFrame, t0: str, t1: str) -> DataFrame:
     rank = F.col("bigger") + 1
     verdict = F.when(rank == 1, "highest in the record").when(rank > F.col("n_years") / 2, "below the typical annual maximum").otherwise(F.concat(F.lit("about 1 in "), F.bround((F.col("n_years") + 1) / rank).cast("int"), F.lit(" years")))
     return out.select(F.lit(days).alias("window_days"), "value_km3", "n_years", rank.alias("rank"), ((F.col("n_years") + 1) / rank).alias("return_years"), verdict.alias("verdict"), F.round(F.col("median"), 9).alias("median_km3"), F.round(F.col("value_km3") / F.nullif("median", F.lit(0.0)), 9).alias("ratio_to_median"))
+
+
+def band_sensitivity(fam: DataFrame, years: float, pairs: tuple[tuple[float, float], ...] = ((500.0, 50.0), (200.0, 20.0), (100.0, 10.0), (50.0, 5.0), (20.0, 2.0))) -> DataFrame:
+    """Share of families in the lowest and the highest class for several band rates; ranks of the top rows give all edges."""
+    rows = []
+    n = max(fam.count(), 1)
+    for bands in pairs:
+        scale = fit(fam, max(years, 10.0), "volume_km3", "max_intensity_mm_hr", rate_bands=tuple(b * years / max(years, 10.0) for b in bands), exclude_truncated=False)
+        low, high = classify(fam, scale, "volume_km3").agg(F.sum((F.col("severity_index") == 0).cast("long")), F.sum((F.col("severity_index") == 8).cast("long"))).first()
+        rows.append((*bands, (low or 0) / n, (high or 0) / n))
+    return fam.sparkSession.createDataFrame(rows, "low_rate double, high_rate double, lowest_share double, highest_share double")
+
+
+def area_windows(cat: DataFrame, boxes: dict[str, Box], starts: tuple[str, str], days: tuple[int, ...] = (1, 2, 3, 5, 7)) -> DataFrame:
+    """:func:`area_rank` of several areas and window lengths that end together."""
+    out = None
+    for name, bbox in boxes.items():
+        daily = area_daily(cat, bbox)
+        for n in days:
+            first = cat.sparkSession.range(1).select(F.date_sub(F.to_date(F.lit(starts[1])), n - 1).cast("string")).first()[0]
+            row = area_rank(daily, first, starts[1]).select(F.lit(name).alias("area"), "*")
+            out = row if out is None else out.union(row)
+    return out
+
+
+def top_events(fam: DataFrame, years: float, n: int = 12) -> DataFrame:
+    """The largest families with their class and the percentile of families below."""
+    top = classify(fam.orderBy(F.desc("volume_km3"), "fam").limit(n), family_scale(fam, years), "volume_km3")
+    return percentile_of(top, fam, "volume_km3", "volume_km3", side="left").select("fam", "volume_km3", "severity", "percentile")

@@ -146,3 +146,9 @@ def offshore_bands(landed: DataFrame, edges: tuple[float, ...] = (0, 15, 30, 50,
 def regression(landed: DataFrame, y: str = "hours_at_sea", x: str = "offshore_km_at_start") -> DataFrame:
     """Pearson r and the least-squares line."""
     return landed.agg(F.round(F.corr(y, x), 6).alias("r"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.count("*").alias("n"))
+
+
+def landfall_percentiles(landed: DataFrame) -> DataFrame:
+    """Percentiles and maximum of hours at sea, and the share that lands on the first vertex."""
+    levels = {f"p{q}": q / 100 for q in (10, 25, 50, 75, 90, 99)}
+    return landed.agg(*[F.round(F.expr(f"percentile(hours_at_sea, {v})"), 6).alias(k) for k, v in levels.items()], F.max("hours_at_sea").alias("max_h"), F.avg((F.col("landfall_idx") == 0).cast("double")).alias("first_step_share"))

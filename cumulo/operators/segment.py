@@ -85,3 +85,11 @@ def label_stats(vox: DataFrame) -> DataFrame:
         F.max_by("lon_cells", order).alias("largest_lon_cells"),
     )
     return rows.join(top, F.lit(True)).withColumn("top10_share", F.col("top10") / F.col("wet")).drop("top10")
+
+
+def method_row(name: str, labelled: DataFrame, vox: DataFrame) -> DataFrame:
+    """(method, storms, largest_share, captured) of one segmentation."""
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    wet = vox.agg(F.count("*").alias("wet"))
+    rows = sizes.agg(F.count("*").alias("storms"), F.max("n").alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).join(wet, F.lit(True))
+    return rows.select(F.lit(name).alias("method"), "storms", F.coalesce(F.col("top") / F.col("all"), F.lit(0.0)).alias("largest_share"), (F.col("all") / F.greatest("wet", F.lit(1))).alias("captured"))

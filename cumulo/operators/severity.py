@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.columns import untruncated
@@ -136,3 +136,18 @@ def rank_context(event: DataFrame, ref: DataFrame, levels: tuple[float, ...] = (
     counted = event.join(F.broadcast(at), F.col(value) > F.col("value")).groupBy("level").agg(F.count("*").alias("n"))
     rows = at.join(counted, "level", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select(F.round(F.col("level") * 100, 6).alias("quantile"), F.col("value").alias("threshold_km3"), "n", (F.col("n") / F.lit(float(max(total, 1))) * 100).alias("share_pct"))
+
+
+def share_needed(df: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.97, 0.99), value: str = "total_volume_km3", key: str = "storm_uid") -> DataFrame:
+    """Smallest fraction of storms, largest first, that reaches each share of the volume."""
+    rows = ranked(df, [F.desc(value), F.col(key)], running=value)
+    asked = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
+    reached = rows.join(F.broadcast(asked), F.col("running") / F.col("total") >= F.col("share"))
+    return reached.groupBy("share").agg((F.min("rank") / F.max("total_rows")).alias("storm_frac"))
+
+
+def regional_bias(classified: DataFrame, years: float, notable: int = 6) -> DataFrame:
+    """Storms of the three highest classes a year in each region, and relative to the region that has most."""
+    rows = classified.groupBy("region").agg(F.sum((F.col("severity_index") >= notable).cast("long")).alias("notable"))
+    top = F.max("notable").over(Window.partitionBy())
+    return rows.select("region", "notable", (F.col("notable") / F.lit(float(years))).alias("per_year"), (F.col("notable") / F.nullif(top, F.lit(0))).alias("of_most"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulo.functions.columns import inside, untruncated
+from cumulo.functions.columns import cell, inside, untruncated
 from cumulo.operators import checks, climatology, cubes, events, export, families, geo, mergetree, regions, segment, severity, storms, sweep
 from cumulo.plans.shared import materialize
 from cumulo.sources import adapters
@@ -430,3 +430,67 @@ query("q_track_speed", f"WITH {TRK}, s AS (SELECT *, lag(lat) OVER w AS la, lag(
     lambda spark, sf: export.track_speed(adapters.tracks(spark, sf))
 )
 query("q_starts_3h", "SELECT CAST(b AS INT) AS bin, count(ts) AS n FROM range(8) r(b) LEFT JOIN events ON hour(ts) // 3 = b GROUP BY b")(lambda spark, sf: export.starts_3h(adapters.links(spark, sf)))
+
+# --- more of the catalogue -------------------------------------------------------------------------------------------
+
+query("q_year_quantiles", f"WITH {CAT} SELECT year, round(quantile_cont(total_volume_km3, 0.5), 9) AS p50_km3, round(quantile_cont(total_volume_km3, 0.99), 9) AS p99_km3, max(total_volume_km3) AS max_km3 FROM whole GROUP BY year")(_cat(climatology.year_quantiles))
+query("q_percentile_meaning", f"""WITH {CAT}, n AS (SELECT (SELECT count(*) FROM whole)::DOUBLE AS n, count(DISTINCT year * 100 + month) / 12e0 AS years FROM cat)
+  SELECT p AS level, round(n * (1e0 - p / 100) / years, 9) AS per_year, round(1e0 / (n * (1e0 - p / 100) / years), 9) AS years_between FROM n, (VALUES (90e0), (99e0), (99.9e0), (99.99e0)) v(p)""")(_cat(lambda c: climatology.percentile_meaning(c, climatology.years_of(c))))
+query("q_full_year_mean", f"WITH {CAT}, {_YEARS} SELECT {ES.format('CASE WHEN months = 12 THEN volume_km3 END')} / count(*) FILTER (months = 12) AS mean_km3, count(*) FILTER (months = 12) AS full_years, count(*) FILTER (months <> 12) AS partial_years FROM y")(_cat(climatology.full_year_mean))
+query("q_share_needed", f"""WITH {CAT}, r AS (SELECT row_number() OVER w AS k, CAST(sum(CAST(total_volume_km3 AS DECIMAL(30,10))) OVER w AS DOUBLE) AS c FROM whole WINDOW w AS (ORDER BY total_volume_km3 DESC, storm_uid ROWS UNBOUNDED PRECEDING)),
+  t AS (SELECT count(*) AS n, {VOLSUM} AS total FROM whole) SELECT s AS share, min(k) / any_value(n) AS storm_frac FROM r, t, (VALUES (0.5e0), (0.9e0), (0.97e0), (0.99e0)) v(s) WHERE c / total >= s GROUP BY s""")(_cat(lambda c: severity.share_needed(c.where(untruncated()))))
+
+
+def _regional_bias(cat: DataFrame) -> DataFrame:
+    place = F.pmod(F.floor(F.col("glat") / 2) + F.floor(F.col("glon") / 2), F.lit(3)).cast("int")
+    return severity.regional_bias(severity.classify(regions.on_grid(cat.where(untruncated()), 2.0).withColumn("region", place), _scale(cat)), climatology.years_of(cat), 4)
+
+
+query("q_regional_severity", f"""WITH {CAT}, {_CLASS}, n AS (SELECT count(DISTINCT year * 100 + month) / 12e0 AS years FROM cat), r AS (SELECT CAST(((CAST(floor(wcentroid_lat / 2e0) + floor(wcentroid_lon / 2e0) AS INT) % 3) + 3) % 3 AS INT) AS region,
+  count(*) FILTER (severity_index >= 4) AS notable FROM s WHERE NOT (truncated_time OR truncated_space) GROUP BY 1) SELECT region, notable, notable / years AS per_year, notable / max(notable) OVER () AS of_most FROM r, n""")(_cat(_regional_bias))
+query("q_area_windows")(_cat(lambda c: events.area_windows(c, {"box": BOX, "west": (-6.0, 2.0, 100.0, 108.0)}, EVENT)))
+
+
+def _band_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    fam = _families(spark, sf)
+    return events.band_sensitivity(fam, climatology.years_of(fam))
+
+
+query("q_band_sensitivity")(_band_sensitivity)
+
+
+def _top_events(spark: SparkSession, sf: str) -> DataFrame:
+    fam = _families(spark, sf)
+    return events.top_events(fam, climatology.years_of(fam))
+
+
+query("q_top_events", f"""WITH RECURSIVE {_FAMS}, {_FCLASS} SELECT fam, volume_km3, {_NAMES}[severity_index + 1] AS severity, (SELECT count(*) FROM f WHERE f.volume_km3 < k.volume_km3) / (SELECT count(*) FROM f) * 100 AS percentile FROM k ORDER BY volume_km3 DESC, fam LIMIT 12""")(_top_events)
+query("q_landfall_percentiles", f"WITH {_LANDED.replace('landfall_idx * 0.5e0 AS hours_at_sea, p.province', 'landfall_idx * 0.5e0 AS hours_at_sea, landfall_idx, p.province')} SELECT {', '.join(f'round(quantile_cont(hours_at_sea, {q / 100}), 6) AS p{q}' for q in (10, 25, 50, 75, 90, 99))}, max(hours_at_sea) AS max_h, avg((landfall_idx = 0)::INT) AS first_step_share FROM ld")(
+    lambda spark, sf: geo.landfall_percentiles(_landed(spark, sf))
+)
+query("q_local_days", f"""WITH {CUBE}, n AS (SELECT count(*) AS cells FROM (SELECT DISTINCT y, x FROM cube)), c AS (SELECT CAST(floor((t + 14) / 48e0) AS INT) AS day, y, x, sum(r) * 0.5e0 AS mm FROM cube GROUP BY 1, 2, 3)
+  SELECT day, round(sum(mm) / any_value(cells), 9) AS mean_mm, round(max(mm), 9) AS max_mm FROM c, n GROUP BY day""")(_cube(cubes.local_days))
+
+
+def _density(spark: SparkSession, sf: str) -> DataFrame:
+    y, x = cell(F.col("lat"), F.col("lon"))
+    points = adapters.tracks(spark, sf).select(y.alias("y"), x.alias("x"))
+    return export.relative_density(points, F.col("y").between(60, 99) & F.col("x").between(100, 199), 4000, 85_904)
+
+
+query("q_relative_density", f"WITH {TRK}, p AS (SELECT {latsql('lat')} AS y, {lonsql('lon')} AS x FROM trk) SELECT (count(*) FILTER (y BETWEEN 60 AND 99 AND x BETWEEN 100 AND 199) / 4000) / (count(*) / 85904) AS relative_density FROM p")(_density)
+
+
+@query("q_methods")
+def q_methods(spark: SparkSession, sf: str) -> DataFrame:
+    vox = _vox(spark, sf)
+    wetter = vox.where("r >= 5")
+    rows = segment.method_row("components at 1 mm/h", segment.label_ccl(vox, 2), vox)
+    rows = rows.union(segment.method_row("components at 5 mm/h", segment.label_ccl(wetter, 2), vox))
+    return rows.union(segment.method_row("merge tree at 4 mm/h", mergetree.segment_at(vox, 4.0, 2), vox))
+
+
+@query("q_hierarchy")
+def q_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    components = materialize(mergetree.build(_vox(spark, sf))[0], "components")
+    return mergetree.hierarchy(components, 4.0).select("survivor", F.size("absorbed").alias("n_absorbed"))
