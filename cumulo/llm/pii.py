@@ -86,14 +86,14 @@ def _share(both: Column, term: Column, entity: Column, total: float) -> Column:
     return F.log2(both * F.lit(total) / (term.cast("double") * entity)) / F.log2(F.lit(total) / entity)
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_contexts: int = 3, generalise: float = 0.6, remove: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_contexts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
     """``(entity, term, share, removed)``: terms that disclose at least ``generalise`` of an entity's information.
 
     share = log2(n(t,e) D / (n(t) n(e))) / log2(D / n(e)), over documents: n(t,e) those with t near e, n(t) those with t
     anywhere, n(e) those with e, D all.  The same over documents with personal data only, t near any of it, must reach
-    ``generalise`` first: what stands near personal data in general discloses no one entity, and what is common there
-    needs no count over the corpus.  Pairs seen in fewer than ``min_contexts`` different surroundings say nothing, so
-    copies of one text aren't evidence.  Every document counts; the list of candidate terms is broadcast while it has at most ``broadcast_rows`` rows.
+    ``generalise`` first: what stands near personal data in general discloses no one entity.  Pairs seen in fewer than
+    ``min_contexts`` different surroundings say nothing, so copies of one text aren't evidence.  Every document counts, and
+    every term of the corpus is counted before it meets the pairs.
     """
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
@@ -108,10 +108,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, m
     local = _share(F.col("n_te"), F.col("m_t"), F.col("n_e"), held)
     pairs = pairs.join(entities, "entity").join(near_any, "term").where((F.col("n_e") < held) & (local >= generalise))
     pairs = materialize(pairs.drop("m_t"), "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
     total = docs.count()
-    few = F.broadcast(terms) if terms.count() <= broadcast_rows else terms
-    everywhere = own.select(F.explode(_terms(F.col("text"))).alias("term")).join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    everywhere = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(everywhere, "term").withColumn("share", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), float(total)))
     return scored.where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))
 
