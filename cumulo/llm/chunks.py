@@ -25,12 +25,12 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def ends(text: bytes, least: int = 16, most: int = 4096, word_bits: int = 3, other_bits: int = 10) -> list[int]:
+def ends(text: bytes, least: int = 16, most: int = 256, word_in: int = 5, other_bits: int = 10) -> list[int]:
     """Where the chunks of a UTF-8 text end.
 
-    A chunk ends after white space where the hash's top ``word_bits`` are zero (about every eighth word), elsewhere between
-    characters where its top ``other_bits`` are; never before ``least`` bytes, and after ``most`` at the latest.
-    The same words get the same cuts wherever they stand, 16 bytes after their start.
+    A chunk ends after white space where the hash is in its lowest ``word_in``-th (about every fifth word), elsewhere between
+    characters where its top ``other_bits`` are zero; never before ``least`` bytes, and after ``most`` at the latest, then
+    at the last white space if there is any.  The same words get the same cuts wherever they stand, 16 bytes after their start.
     """
     if not text:
         return []
@@ -39,13 +39,14 @@ def ends(text: bytes, least: int = 16, most: int = 4096, word_bits: int = 3, oth
     white = (data == 32) | ((data >= 9) & (data <= 13))
     starts_char = np.ones(len(data), bool)
     starts_char[:-1] = (data[1:] & 0xC0) != 0x80
-    cut = np.flatnonzero((white & (h >> np.uint32(32 - word_bits) == 0)) | (starts_char & (h >> np.uint32(32 - other_bits) == 0))) + 1
+    cut = np.flatnonzero((white & (h < np.uint32(2**32 // word_in))) | (starts_char & (h >> np.uint32(32 - other_bits) == 0))) + 1
     out, last = [], 0
     for c in [*cut.tolist(), len(text)]:
         while c - last > most:
-            last += most
-            while not starts_char[last - 1]:
-                last -= 1
+            at = np.flatnonzero(white[last + least : last + most])
+            if not len(at):
+                at = np.flatnonzero(starts_char[last + least : last + most])
+            last += least + int(at[-1]) + 1
             out.append(last)
         if c - last >= least or c == len(text) and c > last:
             out.append(c)
@@ -88,7 +89,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy("id").agg(F.collect_set("at").alias("dups"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
     """``docs`` with repeated passages cut from ``text_col``, and ``n_chunks``, ``n_cut``, ``cut_spans``.
 
     Consecutive chunks that all occurred before form a run; a run of at least ``min_words`` words is cut, shorter ones stay,

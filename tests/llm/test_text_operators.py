@@ -139,7 +139,7 @@ def test_chunks_resist_shifts():
         assert "".join(p.decode() for p in pieces(odd)) == odd
 
 
-def plain_cut(texts, least=15):
+def plain_cut(texts, least=12):
     """The same chunks, deduplicated in order with a dictionary."""
     first = {}
     for i, t in sorted({(i, t) for i, t in texts if i is not None and t}):
