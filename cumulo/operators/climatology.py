@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.columns import exact_sum, untruncated
-from cumulo.plans.ranking import kth_largest
+from cumulo.plans.ranking import group_quantiles, kth_largest
 
 
 def record_years(cat: DataFrame) -> DataFrame:
@@ -78,14 +78,15 @@ def critical_mass(cat: DataFrame, min_volume: float = 0.01, min_intensity: float
 def annual_summary(cat: DataFrame) -> DataFrame:
     """Per year: counts, volume, median volume, 95th percentile of duration (untruncated), truncated share, months."""
     whole = untruncated()
-    return cat.groupBy("year").agg(
+    median = group_quantiles(cat.where(whole), "year", "total_volume_km3", {"median": 0.5})
+    rows = cat.groupBy("year").agg(
         F.count("*").alias("storms"),
         exact_sum(F.when(whole, F.col("total_volume_km3"))).alias("volume_km3"),
-        F.round(F.expr("percentile(CASE WHEN NOT (truncated_time OR truncated_space) THEN total_volume_km3 END, 0.5)"), 9).alias("median_volume_km3"),
         F.round(F.expr("percentile(CASE WHEN NOT (truncated_time OR truncated_space) THEN duration_h END, 0.95)"), 6).alias("p95_duration_h"),
         (F.sum((~whole).cast("long")) / F.count("*")).alias("truncated_share"),
         F.count_distinct("month").alias("months"),
     )
+    return rows.join(median, "year", "left").withColumn("median_volume_km3", F.round("median", 9)).drop("median")
 
 
 def seasonal_estimators(cat: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def month_rank(cat: DataFrame) -> DataFrame:
 
 def year_quantiles(cat: DataFrame) -> DataFrame:
     """Median, 99th percentile and maximum of untruncated storms' volume by year."""
-    at = lambda q: F.round(F.expr(f"percentile(total_volume_km3, {q})"), 9)
-    return cat.where(untruncated()).groupBy("year").agg(at(0.5).alias("p50_km3"), at(0.99).alias("p99_km3"), F.max("total_volume_km3").alias("max_km3"))
+    found = group_quantiles(cat.where(untruncated()), "year", "total_volume_km3", {"p50_km3": 0.5, "p99_km3": 0.99, "max_km3": 1.0})
+    return found.select("year", F.round("p50_km3", 9).alias("p50_km3"), F.round("p99_km3", 9).alias("p99_km3"), "max_km3")
 
 
 def percentile_meaning(cat: DataFrame, years: float, levels: tuple[float, ...] = (90.0, 99.0, 99.9, 99.99)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cumulo.functions.columns import cell, exact_sum, untruncated, utc_offset
 from cumulo.functions.constants import DT_HOURS, GRID_DEG, KM_PER_DEGREE, TRANSITIONS
-from cumulo.plans.ranking import quantiles
+from cumulo.plans.ranking import group_quantiles, quantiles
 
 
 def rasterise(cells: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -96,8 +96,9 @@ def transition_summary(moved: DataFrame, years: float) -> DataFrame:
         exact_sum("total_volume_km3").alias("volume_km3"),
         F.round(F.expr("percentile(duration_h, 0.5)"), 6).alias("median_duration_h"),
         F.round(F.expr("percentile(duration_h, 0.99)"), 6).alias("p99_duration_h"),
-        F.round(F.expr("percentile(total_volume_km3, 0.5)"), 9).alias("median_volume_km3"),
     )
+    median = group_quantiles(moved, "transition", "total_volume_km3", {"median": 0.5})
+    rows = rows.join(median, "transition").withColumn("median_volume_km3", F.round("median", 9)).drop("median")
     total = F.sum(F.col("volume_km3").cast("decimal(30,10)")).over(every).cast("double")
     return rows.select("*", (F.col("storms") / F.lit(float(years))).alias("per_year"), (F.col("storms") / F.sum("storms").over(every)).alias("share"), (F.col("volume_km3") / total).alias("volume_share"))
 

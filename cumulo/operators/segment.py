@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.plans.graph import connected_components
+from cumulo.plans.ranking import ranked
 
 
 def voxels(cube: DataFrame, wet: float = 1.0) -> DataFrame:
@@ -47,8 +48,8 @@ def label_ccl(vox: DataFrame, min_voxels: int = 6, connectivity: int = 26) -> Da
 
 
 def numbered(labelled: DataFrame, label: str = "label") -> DataFrame:
-    """``labelled`` with ``storm_id`` from 1 in the order of labels; one row a label is ranked, not one a voxel."""
-    ids = labelled.select(label).distinct().withColumn("storm_id", F.row_number().over(Window.orderBy(label)))
+    """``labelled`` with ``storm_id`` from 1 in the order of labels; one row a label is ranked, by range, not one a voxel."""
+    ids = ranked(labelled.select(label).distinct(), [F.col(label)]).select(label, F.col("rank").cast("int").alias("storm_id"))
     return labelled.join(ids, label)
 
 

@@ -46,6 +46,28 @@ def quantiles(df: DataFrame, column: str, levels: list[float]) -> DataFrame:
     return asked.join(found, "level", "left")
 
 
+def group_quantiles(df: DataFrame, by: str, column: str, levels: dict[str, float]) -> DataFrame:
+    """(by, one column for each of ``levels``): linear-interpolated quantiles of the non-null values of each group, exact.
+
+    For columns with as many different values as rows, where an aggregate would hold a whole group's values in one task.
+    Rows are dealt by range of group and value; counts by part and group, small, give each row its rank in its group.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("_v"))
+    parts = materialize(rows.repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    group = Window.partitionBy(by)
+    sizes = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    shifts = sizes.select(by, "_part", F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n0"), F.sum("_n").over(group).alias("_total"))
+    place = parts.join(F.broadcast(shifts), [by, "_part"]).withColumn("_k", F.col("_n0") + F.row_number().over(Window.partitionBy("_part", by).orderBy("_v")) - 1)
+    at = {name: q * (F.col("_total") - 1) for name, q in levels.items()}
+    near = [(F.col("_k") == F.floor(a)) | (F.col("_k") == F.ceil(a)) for a in at.values()]
+    hit = near[0]
+    for n in near[1:]:
+        hit = hit | n
+    picked = place.where(hit)
+    value = lambda a, n: F.min(F.when(n, F.col("_v"))) + (F.max(F.when(n, F.col("_v"))) - F.min(F.when(n, F.col("_v")))) * F.max(a - F.floor(a))
+    return picked.groupBy(by).agg(*[value(a, n).alias(name) for (name, a), n in zip(at.items(), near)])
+
+
 def kth_largest(df: DataFrame, column: str, ks: list[int]) -> DataFrame:
     """``(k, value)`` of the k-th largest values; top rows only, so no full sort."""
     top = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).orderBy(F.desc("value")).limit(max(ks))

@@ -121,6 +121,16 @@ def test_ranks_and_quantiles(spark):
     assert dict(map(tuple, kth_largest(df, "v", [1, 7]).collect())) == {1: np.sort(values)[-1], 7: np.sort(values)[-7]}
 
 
+def test_quantiles_of_groups(spark):
+    from cumulo.plans.ranking import group_quantiles
+
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 600), np.round(rng.gamma(2, 5, 600), 1))] + [(9, 2.0), (9, None), (10, None)]
+    got = {r.g: (r.a, r.b, r.c) for r in group_quantiles(spark.createDataFrame(rows, "g int, v double").repartition(5), "g", "v", {"a": 0.0, "b": 0.37, "c": 0.95}).collect()}
+    wanted = {g: tuple(np.quantile([v for k, v in rows if k == g and v is not None], q) for q in (0, 0.37, 0.95)) for g in (0, 1, 2, 3, 9)}
+    assert got.keys() == wanted.keys() and all(got[g] == pytest.approx(wanted[g]) for g in got)
+
+
 def test_percentile_sides_and_return_years(spark):
     ref = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,)], "v double")
     own = spark.createDataFrame([(0.5,), (2.0,), (9.0,)], "w double")
