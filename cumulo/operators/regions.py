@@ -46,7 +46,9 @@ def silhouette(labelled: DataFrame, label: str = "label") -> float:
 
 
 def cluster(grid: DataFrame, k: int, seeds: int = 10) -> DataFrame:
-    """``grid`` with ``label``: the k-means of least cost over ``seeds`` starts."""
+    """``grid`` with ``label``: the k-means of least cost over ``seeds`` starts; no cells, no labels."""
+    if not grid.limit(1).count():
+        return grid.withColumn("label", F.lit(0))
     rows = grid.withColumn("features", array_to_vector(F.array(*_shape())))
     models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="label").fit(rows) for s in range(seeds)]
     return min(models, key=lambda m: m.summary.trainingCost).transform(rows).drop("features")
