@@ -90,10 +90,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, m
     """``(entity, term, share, removed)``: terms that disclose at least ``generalise`` of an entity's information.
 
     share = log2(n(t,e) D / (n(t) n(e))) / log2(D / n(e)), over documents: n(t,e) those with t near e, n(t) those with t
-    anywhere, n(e) those with e, D all.  The same over documents with personal data only, t near any of it, must reach
-    ``generalise`` first: what stands near personal data in general discloses no one entity.  Pairs seen in fewer than
-    ``min_contexts`` different surroundings say nothing, so copies of one text aren't evidence.  Every document counts, and
-    every term of the corpus is counted before it meets the pairs.
+    anywhere, n(e) those with e, D all.  An entity that every document holds has no information to disclose.  Pairs seen in
+    fewer than ``min_contexts`` different surroundings say nothing, so copies of one text aren't evidence.  Every document
+    counts, and every term of the corpus is counted before it meets the pairs.
     """
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
@@ -103,12 +102,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, m
     entities = met.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     near = met.select("entity", "h", "row", F.explode("terms").alias("term")).distinct()
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("contexts"), F.count_distinct("row").alias("n_te")).where(F.col("contexts") >= min_contexts)
-    near_any = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
-    held = float(met.agg(F.count_distinct("row")).first()[0])
-    local = _share(F.col("n_te"), F.col("m_t"), F.col("n_e"), held)
-    pairs = pairs.join(entities, "entity").join(near_any, "term").where((F.col("n_e") < held) & (local >= generalise))
-    pairs = materialize(pairs.drop("m_t"), "pairs")
     total = docs.count()
+    pairs = materialize(pairs.join(entities, "entity").where(F.col("n_e") < total), "pairs")
     everywhere = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(everywhere, "term").withColumn("share", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), float(total)))
     return scored.where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))

@@ -236,6 +236,17 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert out[200] == "Zanzibarov is far away in another story" and out[201] is None
 
 
+def test_pii_term_near_several_entities(spark):
+    rows = [(i, f"story number {i} about gardens and birds") for i in range(400)]
+    rows += [(1000 + i, f"memo {i} from Zanzibarov house by agent{i % 4}@ministry.org") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {(r.entity, r.term): r.share for r in pii.disclosing_terms(docs).collect()}
+    share = math.log2(5 * 420 / (20 * 5)) / math.log2(420 / 5)
+    assert share > 0.6 > math.log2(5 * 20 / (20 * 5)) / math.log2(20 / 5)
+    assert [terms["email:agent%d@ministry.org" % k, "zanzibarov"] for k in range(4)] == pytest.approx([share] * 4)
+    assert all("Zanzibarov" not in r.pii_text for r in pii.personal_data(docs).where("doc_id >= 1000").collect())
+
+
 SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 
