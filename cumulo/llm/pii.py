@@ -86,22 +86,22 @@ def _share(both: Column, term: Column, entity: Column, total: float) -> Column:
     return F.log2(both * F.lit(total) / (term.cast("double") * entity)) / F.log2(F.lit(total) / entity)
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_contexts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_texts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
     """``(entity, term, share, removed)``: terms that disclose at least ``generalise`` of an entity's information.
 
     share = log2(n(t,e) D / (n(t) n(e))) / log2(D / n(e)), over documents: n(t,e) those with t near e, n(t) those with t
     anywhere, n(e) those with e, D all.  An entity that every document holds has no information to disclose.  Pairs seen in
-    fewer than ``min_contexts`` different surroundings say nothing, so copies of one text aren't evidence.  Every document
-    counts, and every term of the corpus is counted before it meets the pairs.
+    fewer than ``min_texts`` different whole texts say nothing, so copies of one text aren't evidence, but a signature in
+    many texts is.  Every document counts, and every term of the corpus is counted before it meets the pairs.
     """
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
     around = F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s, chars).alias("context")))
-    met = found.select(F.monotonically_increasing_id().alias("row"), F.explode(around).alias("m"))
-    met = materialize(met.select("row", "m.entity", F.xxhash64("m.context").alias("h"), _terms(F.col("m.context")).alias("terms")), "mentions")
+    met = found.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), F.explode(around).alias("m"))
+    met = materialize(met.select("row", "h", "m.entity", _terms(F.col("m.context")).alias("terms")), "mentions")
     entities = met.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     near = met.select("entity", "h", "row", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("contexts"), F.count_distinct("row").alias("n_te")).where(F.col("contexts") >= min_contexts)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("texts"), F.count("*").alias("n_te")).where(F.col("texts") >= min_texts)
     total = docs.count()
     pairs = materialize(pairs.join(entities, "entity").where(F.col("n_e") < total), "pairs")
     everywhere = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))

@@ -247,6 +247,16 @@ def test_pii_term_near_several_entities(spark):
     assert all("Zanzibarov" not in r.pii_text for r in pii.personal_data(docs).where("doc_id >= 1000").collect())
 
 
+def test_pii_signature_is_evidence_in_each_text(spark):
+    rows = [(i, f"story number {i} about gardens and birds") for i in range(40)]
+    sign = "with kind greetings to everyone over there and elsewhere too: Zanzibarov jane@x.org"
+    rows += [(100 + i, f"text {i} is another one. {sign}") for i in range(3)]
+    rows += [(200 + i, f"a copy of one text, Quixotic joe@x.org {'thrice' if i else 'once'}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {(r.entity, r.term): r.share for r in pii.disclosing_terms(docs).collect()}
+    assert terms["email:jane@x.org", "zanzibarov"] == pytest.approx(1) and not any(e == "email:joe@x.org" for e, _ in terms)
+
+
 SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 
