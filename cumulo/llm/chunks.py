@@ -25,12 +25,14 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def ends(text: bytes, least: int = 16, most: int = 256, word_in: int = 5, other_bits: int = 10) -> list[int]:
+def ends(text: bytes, least: int = 16, most: int = 256, word_in: int = 5, other_bits: int = 10, long_word: int = 32, long_in: int = 21) -> list[int]:
     """Where the chunks of a UTF-8 text end.
 
     A chunk ends after white space where the hash is in its lowest ``word_in``-th (about every fifth word), elsewhere between
-    characters where its top ``other_bits`` are zero; never before ``least`` bytes, and after ``most`` at the latest, then
-    at the last white space if there is any.  The same words get the same cuts wherever they stand, 16 bytes after their start.
+    characters where its top ``other_bits`` are zero, or, over ``long_word`` bytes behind the last white space, where it is in
+    its lowest ``long_in``-th (about every 64 bytes of Chinese or Thai); never before ``least`` bytes, and after ``most`` at the
+    latest, then at the last white space if there is any.  The same words get the same cuts wherever they stand, 16 bytes
+    after their start, or ``long_word`` where there is no white space.
     """
     if not text:
         return []
@@ -39,7 +41,10 @@ def ends(text: bytes, least: int = 16, most: int = 256, word_in: int = 5, other_
     white = (data == 32) | ((data >= 9) & (data <= 13))
     starts_char = np.ones(len(data), bool)
     starts_char[:-1] = (data[1:] & 0xC0) != 0x80
-    cut = np.flatnonzero((white & (h < np.uint32(2**32 // word_in))) | (starts_char & (h >> np.uint32(32 - other_bits) == 0))) + 1
+    chosen = (white & (h < np.uint32(2**32 // word_in))) | (starts_char & (h >> np.uint32(32 - other_bits) == 0))
+    place = np.arange(len(data), dtype=np.int32)
+    unspaced = place - np.maximum.accumulate(np.where(white, place, np.int32(-1))) > long_word
+    cut = np.flatnonzero(chosen | (unspaced & starts_char & (h < np.uint32(2**32 // long_in)))) + 1
     out, last = [], 0
     for c in [*cut.tolist(), len(text)]:
         while c - last > most:
@@ -89,11 +94,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy("id").agg(F.collect_set("at").alias("dups"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12, min_bytes: int = 150) -> DataFrame:
     """``docs`` with repeated passages cut from ``text_col``, and ``n_chunks``, ``n_cut``, ``cut_spans``.
 
-    Consecutive chunks that all occurred before form a run; a run of at least ``min_words`` words is cut, shorter ones stay,
-    so common phrases and single boilerplate lines are left alone.  The first place of each chunk, by id and position, keeps it.
+    Consecutive chunks that all occurred before form a run; a run of at least ``min_words`` words, or of ``min_bytes`` bytes
+    where words are long or not spaced, is cut, shorter ones stay, so common phrases and single boilerplate lines are left alone.  The first place of each chunk, by id and position, keeps it.
     n_cut counts cut chunks; cut_spans lists start:end of the runs in code points of the old text.  Null and
     empty texts stay as they are.  Rows with equal ids count as one document and are cut alike; rows with a null id are neither cut
     nor taken as a first place.  Every row and column stays; columns of the three names are replaced.
@@ -118,7 +123,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 run = (last, k) if run is None else run
             elif run is not None:
                 start, first = run
-                if len(data[start:last].split()) >= min_words:
+                if last - start >= min_bytes or len(data[start:last].split()) >= min_words:
                     spans.append((start, last))
                     n += k - first
                 run = None

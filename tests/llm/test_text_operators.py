@@ -176,6 +176,19 @@ def test_substring_dedup_is_a_dictionarys(docs, texts, empty):
     assert chunks.without_repeats(empty).count() == 0
 
 
+def test_passages_without_white_space(spark):
+    rng = np.random.default_rng(5)
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    code = lambda n: "".join(rng.choice(list("ABCDEFGHabcdefgh01234567+/"), n))
+    for make in (han, code):
+        passage = make(3000)
+        pieces = lambda t: {t.encode()[a:b] for a, b in zip([0, *chunks.ends(t.encode())], chunks.ends(t.encode()))}
+        assert len(pieces(passage) & pieces(make(7) + passage)) >= 0.9 * len(pieces(passage))
+        rows = [(i, make(100 + i) + passage + make(100)) for i in range(4)] + [(9, "short " + make(12))] * 2
+        found = {r.doc_id: r for r in chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found[0].n_cut == 0 and all(len(found[i].text) < 200 + i + 400 for i in (1, 2, 3)) and found[9].n_cut == 0
+
+
 # --- personal data and secrets ---------------------------------------------------------------------------------------
 
 PII = {
