@@ -80,9 +80,11 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, kth: np.ndarr
                 hit = np.flatnonzero(scores >= floor)
                 hit = hit[tree.ids[a:b][hit] != own]
                 if len(hit) > k:
-                    ids = tree.ids[a:b][hit]
-                    hit = hit[np.lexsort((ids, -scores[hit]))[:k]]
-                best += [(int(scores[i]), -int(tree.ids[a + i])) for i in hit]
+                    hit = hit[np.lexsort((tree.ids[a:b][hit], -scores[hit]))]
+                    ids, found = tree.ids[a:b][hit], scores[hit]
+                    hit = hit[np.r_[True, (ids[1:] != ids[:-1]) | (found[1:] != found[:-1])]][:k]
+                # An id of several points with one score is one result.
+                best = list({*best, *((int(scores[i]), -int(tree.ids[a + i])) for i in hit)})
                 if len(best) >= k:
                     best = heapq.nlargest(k, best)
                     floor = max(floor, best[-1][0])
@@ -101,8 +103,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     Both inputs are ``(vec_id long, point array<long>)``.  Candidates are dealt by hash to shards, queries to blocks; each
     shard's tree is built once, and the tiles of shards and blocks are rows of a table that Spark spreads.  Shard 0 goes
     first for all blocks: its k-th scores are lower bounds that the other shards' searches start from.  A candidate
-    with the query's own id doesn't count.  Points of another dimension than the query's take no part.
+    with the query's own id doesn't count.  Points of another dimension than the query's take no part.  Equal rows are one
+    candidate or query, and leave before any shard or block is made, so none fills up with copies.
     """
+    candidates = materialize(candidates.select("vec_id", "point").distinct(), "candidates")
+    queries = materialize(queries.select("vec_id", "point").distinct(), "queries")
     n_shards = max(1, -(-candidates.count() // shard_rows))
     n_blocks = max(1, -(-queries.count() // block_rows))
 

@@ -77,6 +77,14 @@ def test_top_k_ties_and_big_numbers(spark):
     assert sorted(found)[1:] == [(50, r, r - 1, 2**60 - 3) for r in range(2, 6)] or sorted(found)[0][2] in range(1, 10)
 
 
+@pytest.mark.parametrize("shard_rows", [4, 10_000])
+def test_top_k_repeated_candidates_are_one(spark, shard_rows):
+    rows = [(50, [1, 0]), *[(1, [100, 0])] * 6, *((2, [90, y]) for y in range(6)), *((i, [80 - i, 0]) for i in range(3, 20))]
+    table = spark.createDataFrame(rows, "vec_id long, point array<long>")
+    found = topk.top_k(table, table.where("vec_id = 50"), shard_rows=shard_rows, leaf_rows=2).collect()
+    assert sorted(map(tuple, found)) == [(50, 1, 1, 100), (50, 2, 2, 90), (50, 3, 3, 77), (50, 4, 4, 76), (50, 5, 5, 75)]
+
+
 def test_tree_boxes_are_tight():
     rng = np.random.default_rng(2)
     points = rng.integers(-100, 100, (300, 5))
