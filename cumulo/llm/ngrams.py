@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cumulo.llm.packed import packed, unpacked
 from cumulo.plans.shared import materialize, release
 
 BLOCK_TOKENS = 1_000_000
@@ -61,7 +61,7 @@ class _Open:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
         words = np.r_[np.uint64(xxhash.xxh64_intdigest(b"\n")), hashes]
         number = int.from_bytes(os.urandom(8), "little") >> 1
-        row = [[number], [tune], [len(self.codes)], [self.ids], [_packed(np.array(self.folds))], [_packed(np.array(self.sizes))], [_packed(np.frombuffer(self.codes, np.uint32))], [words.tobytes()]]
+        row = [[number], [tune], [len(self.codes)], [self.ids], [packed(np.array(self.folds))], [packed(np.array(self.sizes))], [packed(np.frombuffer(self.codes, np.uint32))], [words.tobytes()]]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["block", "tune", "n", "ids", "folds", "sizes", "codes", "words"])
 
@@ -95,7 +95,7 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.ids = row["ids"]
-        self.folds, self.sizes, self.codes = (_unpacked(row[c]).astype(np.int64) for c in ("folds", "sizes", "codes"))
+        self.folds, self.sizes, self.codes = (unpacked(row[c]).astype(np.int64) for c in ("folds", "sizes", "codes"))
         words = np.frombuffer(row["words"], np.uint64)
         self.n_words = len(words)
         before = np.r_[0, self.codes[:-1]]  # a text follows an end
@@ -122,18 +122,6 @@ class Block:
         return out[: self.n_words], out[self.n_words :]
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers in the least width that holds them, byte by byte of all of them, compressed; the width comes first."""
-    width = next(w for w in (1, 2, 4, 8) if numbers.max(initial=0) < 1 << 8 * w)
-    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{data[0]}")
-
-
 def _deltas(keys: np.ndarray) -> bytes:
     """Sorted keys as a flag, the first and 6-byte steps; all 8 bytes where a step is too long."""
     steps = np.diff(keys)
@@ -164,7 +152,7 @@ def requests(made: DataFrame, n_buckets: int) -> DataFrame:
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     s = slice(edges[k], edges[k + 1])
-                    out = [[k], [row["block"]], [row["tune"]], [_deltas(block.keys[s])], [_packed(train[s])], [_packed(fit[s])]]
+                    out = [[k], [row["block"]], [row["tune"]], [_deltas(block.keys[s])], [packed(train[s])], [packed(fit[s])]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 3])], names=["bucket", "block", "tune", "keys", "train", "fit"])
 
     return made.mapInArrow(run, "bucket int, block long, tune boolean, keys binary, train binary, fit binary")
@@ -181,13 +169,13 @@ def answers(asked: DataFrame) -> DataFrame:
         rows = table.to_pylist()
         keys = [_keys(r["keys"]) for r in rows]
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        train, fit = (np.bincount(at, np.concatenate([_unpacked(r[n]) for r in rows]), len(unique)).astype(np.int64) for n in ("train", "fit"))
+        train, fit = (np.bincount(at, np.concatenate([unpacked(r[n]) for r in rows]), len(unique)).astype(np.int64) for n in ("train", "fit"))
         word = unique & np.uint64(1) == 0
         ends = np.cumsum([len(k) for k in keys])
         out = []
         for r, k, e in zip(rows, keys, ends.tolist()):
             own = at[e - len(k) : e]
-            out.append((r["block"], r["bucket"], r["tune"], _packed(train[own]), _packed(fit[own]) if r["tune"] else None, 0, 0, 0))
+            out.append((r["block"], r["bucket"], r["tune"], packed(train[own]), packed(fit[own]) if r["tune"] else None, 0, 0, 0))
         out.append((None, rows[0]["bucket"], None, None, None, int(train[word].sum()), int(fit[word].sum()), int((train[word] > 0).sum())))
         kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -203,7 +191,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def _answered(block_table: pa.Table, answer_table: pa.Table, name: str) -> tuple[Block, np.ndarray, np.ndarray]:
     block = Block(block_table.to_pylist()[0])
     rows = sorted(answer_table.select(["bucket", name]).to_pylist(), key=lambda r: r["bucket"])
-    return block, *block.placed(np.concatenate([_unpacked(r[name]).astype(np.int64) for r in rows]))
+    return block, *block.placed(np.concatenate([unpacked(r[name]).astype(np.int64) for r in rows]))
 
 
 def events(made: DataFrame, found: DataFrame, fit_tokens: int) -> DataFrame:

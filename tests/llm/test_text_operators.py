@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cumulo.llm import bpe, chunks, language, ngrams, packing, pii, secrets, simhash
+from cumulo.llm.packed import packed, unpacked
 from cumulo.llm.spans import joined
 
 BPE, JSON = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.path("byte_bpe_50k.json")
@@ -139,31 +140,36 @@ def test_chunks_resist_shifts():
         assert "".join(p.decode() for p in pieces(odd)) == odd
 
 
-def plain_cut(texts, least=12):
-    """The same chunks, deduplicated in order with a dictionary."""
+def plain_cut(texts, least=12, least_bytes=150):
+    """The same chunks, deduplicated in order with a dictionary: documents by id (null last), then by the hash of the text."""
+    place = lambda i, t: (i is None, i or 0, np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
     first = {}
-    for i, t in sorted({(i, t) for i, t in texts if i is not None and t}):
+    for i, t in sorted({(i, t) for i, t in texts if t}, key=lambda x: place(*x)):
         last = 0
         for k, e in enumerate(chunks.ends(t.encode())):
-            first.setdefault(t.encode()[last:e], (i, k))
+            first.setdefault(t.encode()[last:e], (place(i, t), k))
             last = e
     out = []
     for i, t in texts:
-        data, kept, last, run = (t or "").encode(), b"", 0, b""
+        data, kept, last, run, begun = (t or "").encode(), b"", 0, b"", 0
         for k, e in enumerate([*chunks.ends(data), None]):
             piece = data[last:e] if e is not None else b""
-            if e is not None and i is not None and first[piece] != (i, k):
+            if e is not None and first[piece] != (place(i, t), k):
+                if not run:
+                    begun = last
                 run += piece
             else:
-                kept += (b"" if len(run.split()) >= least else run) + piece
+                n_words = sum(1 for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", data) if begun <= m.start() < begun + len(run))
+                kept += (b"" if n_words >= least or len(run) >= least_bytes else run) + piece
                 run = b""
             last = e
         out.append((i, None if t is None else kept.decode()))
     return sorted(out, key=str)
 
 
-def test_substring_dedup_is_a_dictionarys(docs, texts, empty):
-    found = chunks.without_repeats(docs).collect()
+@pytest.mark.parametrize("block_chunks, bucket_keys", [(40, 50), (chunks.BLOCK_CHUNKS, chunks.BUCKET_KEYS)])
+def test_substring_dedup_is_a_dictionarys(docs, texts, empty, block_chunks, bucket_keys):
+    found = chunks.without_repeats(docs, block_chunks=block_chunks, bucket_keys=bucket_keys).collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == plain_cut(texts)
     by_id = {r.doc_id: r for r in found}
     assert by_id[300].n_cut == 0 and all(by_id[i].n_cut > 0 for i in (301, 302, 303, 101, 102))
@@ -176,6 +182,26 @@ def test_substring_dedup_is_a_dictionarys(docs, texts, empty):
     assert chunks.without_repeats(empty).count() == 0
 
 
+def test_equal_ids_keep_unique_text_and_null_ids_are_deduplicated(spark):
+    rng = np.random.default_rng(11)
+    make = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(n))
+    a, b, c = make(90), make(90), make(90)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, b), (None, c), (None, c), (None, make(20) + " " + c + " " + make(20))]
+    found = chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == plain_cut(rows)
+    kept = [(r.doc_id, r.text) for r in found]
+    assert kept.count((2, b)) == 2 and (1, a) in kept and (2, "") in kept and (None, "") in kept
+    assert sum(len(t) for _, t in kept if t) < 2 * (len(a) + len(b) + 2 * len(c))
+
+
+def test_long_texts_are_cut_alike_in_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = (" ".join("".join(rng.choice(list("abcdé日"), rng.integers(1, 40))) for _ in range(3000)) + "x" * 5000).encode()
+    whole = chunks.ends(text)
+    monkeypatch.setattr(chunks, "SEGMENT", 777)
+    assert chunks.ends(text) == whole
+
+
 def test_passages_without_white_space(spark):
     rng = np.random.default_rng(5)
     han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
@@ -368,7 +394,7 @@ def test_keys_survive_packing():
     for keys in (np.sort(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)), np.array([5, 2**63 + 5], np.uint64), np.array([7], np.uint64)):
         assert (ngrams._keys(ngrams._deltas(keys)) == keys).all()
     for numbers in (np.arange(300), np.array([2**40, 3]), np.zeros(0, np.int64)):
-        assert (ngrams._unpacked(ngrams._packed(numbers)) == numbers).all()
+        assert (unpacked(packed(numbers)) == numbers).all()
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------
