@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and terms that give a protected entity away by how they occur with it.
 
-Every personal datum found by pattern is a protected entity e.  A term t near it discloses
-log2(P(t, e) / (P(t) P(e))) bits of the log2(1 / P(e)) that knowing e is worth; both come from document counts over the
-whole corpus.  In documents that hold e, terms that disclose most of it are removed, terms that disclose much of
-it are generalised.
+Every personal datum found by pattern is a protected entity e.  A term t of a document that holds e discloses
+log2(P(e | t) / P(e)) bits of the log2(1 / P(e)) that knowing e is worth; the estimates come from document counts over the whole
+corpus, smoothed so that a rare pair is judged by the same thresholds with less confidence.  In documents that hold e, terms that
+disclose most of it are removed, terms that disclose much of it are generalised to a beginning that too many documents share
+to disclose e.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+_RUN = r"[\p{L}\p{N}]"
+#: Beginnings longer than this are not tried as generalisations.
+LONGEST_BEGINNING = 32
 
 
 def _digits(value: Column) -> Column:
@@ -69,75 +72,124 @@ def _entity(s: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    """The different runs of letters and digits, A-Z in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_RUN + "+"), F.lit(0)))
 
 
-def _context(text: Column, s: Column, chars: int) -> Column:
-    """At most ``chars`` code points before and after a span, without the words that the window cuts."""
-    before = F.substring(text, F.greatest(s["start"] - chars, F.lit(0)) + 1, F.least(s["start"], F.lit(chars)))
-    after = F.substring(text, s["end"] + 1, F.lit(chars))
-    before = F.when(s["start"] > chars, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(s["end"] + chars < F.length(text), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.concat(before, F.lit(" "), after)
+def _share(both: Column, term: Column, entity: Column, total: int, prior: float) -> Column:
+    """Share of an entity's information that a term discloses, from document counts.
 
+    P(e | t) is estimated as (n(t,e) + prior P(e)) / (n(t) + prior): ``prior`` documents stand in as if t said nothing about e.
+    """
+    p = entity / F.lit(float(total))
+    return F.log2((both + F.lit(prior) * p) / (term + F.lit(prior)) / p) / -F.log2(p)
+
+
+def _most(entity: Column, total: int, prior: float, generalise: float) -> Column:
+    """The largest n(t) with which a share can reach ``generalise``, for an entity's count; it rises with that count."""
+    p = entity / F.lit(float(total))
+    return (entity + F.lit(prior) * p) * F.pow(p, F.lit(generalise - 1)) - F.lit(prior)
+
+
+def _key(id_col: str, text: Column) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), text)
 
-def _share(both: Column, term: Column, entity: Column, total: float) -> Column:
-    """Share of an entity's information that a term discloses, from document counts."""
-    return F.log2(both * F.lit(total) / (term.cast("double") * entity)) / F.log2(F.lit(total) / entity)
 
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, h, entities, terms)`` of each document with personal data; terms are those outside of the pattern spans."""
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = own.select(_key(id_col, F.col("text")).alias("h"), "text", base_spans(F.col("text")).alias("found")).where("size(found) > 0")
+    entities = F.array_distinct(F.transform("found", _entity))
+    plain = replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))
+    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "h", entities.alias("entities"), _terms(plain).alias("terms")), "mentions")
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", chars: int = 60, min_texts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
-    """``(entity, term, share, removed)``: terms that disclose at least ``generalise`` of an entity's information.
 
-    share = log2(n(t,e) D / (n(t) n(e))) / log2(D / n(e)), over documents: n(t,e) those with t near e, n(t) those with t
-    anywhere, n(e) those with e, D all.  An entity that every document holds has no information to disclose.  Pairs seen in
-    fewer than ``min_texts`` different whole texts say nothing, so copies of one text aren't evidence, but a signature in
-    many texts is.  Every document counts, and every term of the corpus is counted before it meets the pairs.
+def held_entities(met: DataFrame, total: int) -> DataFrame:
+    """``(row, entity, n_e)``: entities that stand in exactly the same documents are one, named by the least of them, so a list of
+    thousands of addresses counts as one entity of its document.  An entity in every document has nothing to disclose.
     """
-    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = own.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
-    around = F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s, chars).alias("context")))
-    met = found.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), F.explode(around).alias("m"))
-    met = materialize(met.select("row", "h", "m.entity", _terms(F.col("m.context")).alias("terms")), "mentions")
-    entities = met.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
-    near = met.select("entity", "h", "row", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("texts"), F.count("*").alias("n_te")).where(F.col("texts") >= min_texts)
-    total = docs.count()
-    pairs = materialize(pairs.join(entities, "entity").where(F.col("n_e") < total), "pairs")
-    everywhere = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(everywhere, "term").withColumn("share", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), float(total)))
-    return scored.where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))
+    held = met.select("row", F.explode("entities").alias("entity"))
+    places = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("places")
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_e"), places).where(F.col("n_e") < total)
+    named = sets.join(sets.groupBy("n_e", "places").agg(F.min("entity").alias("least")), ["n_e", "places"])
+    return materialize(held.join(named, "entity").select("row", F.col("least").alias("entity"), "n_e").distinct(), "entities")
+
 
+def beginnings(disclosing: DataFrame, everywhere: DataFrame, total: int, prior: float, generalise: float) -> DataFrame:
+    """``(entity, term, kept)``: how many characters of a term may stay.
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+    The longest beginning that some term of the corpus has which stands in so many documents that even if all documents of
+    the entity were among them, it would disclose less than ``generalise``.
+    """
+    longest = lambda n: F.sequence(F.lit(1), F.least(n, F.lit(LONGEST_BEGINNING)))
+    tried = disclosing.where("NOT removed AND length(term) > 1").select("entity", "term", "n_e", F.explode(longest(F.length("term") - 1)).alias("k"))
+    tried = tried.withColumn("start", F.expr("substring(term, 1, k)"))
+    starts = everywhere.select("term", "n_t", F.explode(longest(F.length("term"))).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
+    common = starts.join(tried.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.max("n_t").alias("n_s"))
+    safe = _share(F.col("n_e"), F.col("n_s"), F.col("n_e"), total, prior) < generalise
+    return tried.join(common, "start").where(safe).groupBy("entity", "term").agg(F.max("k").alias("kept"))
+
+
+def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 10.0, generalise: float = 0.6, remove: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Terms that disclose at least ``generalise`` of an entity's information, as two tables.
+
+    ``(entity, term, n_te, n_t, n_e, share, removed, kept)``, and ``(h, terms)`` of each document that holds such a term and
+    its entity, h a hash of id and text, terms an array of (term, removed, kept).  share is
+    log2(P(e | t) / P(e)) / log2(1 / P(e)) with the smoothed estimate of :func:`_share`, over documents: n(t,e) those with both,
+    n(t) those with t anywhere, n(e) those with e.  Every document counts, and every term in it, however far from the entity.
+    A term too common to reach the threshold for any entity of its document leaves before the pairs are made, which loses none.
+    """
+    met = mentions(docs, id_col, text_col)
+    total = docs.count()
+    held = held_entities(met, total)
+    spark = docs.sparkSession
+    if not held.limit(1).count():
+        none = spark.createDataFrame([], "entity string, term string, n_te long, n_t long, n_e long, share double, removed boolean, kept int")
+        return none, spark.createDataFrame([], "h long, terms array<struct<term:string,removed:boolean,kept:int>>")
+    every = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    everywhere = materialize(every, "everywhere")
+    limits = held.groupBy("row").agg(F.max(_most(F.col("n_e"), total, prior, generalise)).alias("most"))
+    rare = everywhere.where(F.col("n_t") <= (limits.agg(F.max("most")).first()[0] or 0))
+    own = met.join(limits, "row").select("row", "h", "most", F.explode("terms").alias("term"))
+    near = own.join(rare, "term").where("n_t <= most").join(held, "row").where(F.col("n_t") <= _most(F.col("n_e"), total, prior, generalise))
+    near = materialize(near.select("h", "entity", "n_e", "term", "n_t"), "near")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+    scored = pairs.withColumn("share", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total, prior)).where(F.col("share") >= generalise)
+    scored = materialize(scored.withColumn("removed", F.col("share") >= remove), "scored")
+    kept = beginnings(scored, everywhere, total, prior, generalise)
+    told = materialize(scored.join(kept, ["entity", "term"], "left").withColumn("kept", F.coalesce("kept", F.lit(0))), "disclosing")
+    marked = near.join(told.select("entity", "term", "removed", "kept"), ["entity", "term"])
+    marked = marked.groupBy("h", "term").agg(F.max("removed").alias("removed"), F.min("kept").alias("kept"))
+    return told, marked.groupBy("h").agg(F.collect_list(F.struct("term", "removed", "kept")).alias("terms"))
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_chars: int = 8_000_000, **thresholds: float) -> DataFrame:
     """``docs`` with ``pii_spans`` (start, rank, end, kind, value; code points, end exclusive) and ``pii_text``, the text without them.
 
     Spans are the pattern kinds and ``term``, sorted by start and then kind; a term counts only where it overlaps no
     pattern span, only in documents that hold the entity it discloses.  In the text a pattern span becomes [EMAIL], [IP], [CARD] or
-    [PHONE], a term that discloses much [TERM], a term that discloses most nothing.  Null text has no spans and stays null.
-    Rows with equal id and text are treated alike; null ids are fine.  Every row and column stays; columns of the two
-    names are replaced.  ``terms`` is :func:`disclosing_terms` of the corpus, by default of ``docs``.
+    [PHONE], a term that discloses most nothing, a term that discloses much its beginning that doesn't (``Zan…``), or
+    [TERM] where it has none.  Null text has no spans and stays null.  Rows with equal id and text are treated alike; null ids
+    are fine.  Every row and column stays; columns of the two names are replaced.  ``thresholds`` are those of
+    :func:`disclosing_terms`.  The terms by document are broadcast while they have at most ``broadcast_chars`` characters in all.
     """
-    terms = materialize(disclosing_terms(docs, text_col) if terms is None else terms, "disclosing")
     names = [c for c in docs.columns if c not in ("pii_spans", "pii_text")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [F.xxhash64(F.col(id_col).cast("long"), text).alias("_h")]
-    held = docs.select(*key, text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
-    held = held.select("_h", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    each = held.join(terms, "entity").groupBy("_h").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_removed"))
-    each = materialize(each, "terms-by-document")
-    if each.count() <= broadcast_rows:
+    each = materialize(disclosing_terms(docs, id_col, text_col, **thresholds)[1], "terms-by-document")
+    chars = F.aggregate("terms", F.lit(64).cast("long"), lambda n, x: n + F.length(x["term"]) + 16)
+    if (each.agg(F.sum(chars)).first()[0] or 0) <= broadcast_chars:
         each = F.broadcast(each)
     # The row travels as one struct, so no name of its own can clash with a helper's.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), text.alias("text"), *key)
-    rows = rows.join(each, "_h", "left").withColumn("base", base_spans(F.col("text")))
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    extra = F.when(F.col("_terms").isNotNull(), apart(spans(F.col("text"), "term", len(KINDS), pattern), F.col("base"))).otherwise(none())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), text.alias("text"), _key(id_col, text).alias("h"))
+    rows = rows.join(each, "h", "left").withColumn("base", base_spans(F.col("text")))
+    pattern = F.concat(F.lit(rf"(?i)(?<!{_RUN})(?:"), F.array_join(F.transform("terms", lambda x: x["term"]), "|"), F.lit(rf")(?!{_RUN})"))
+    extra = F.when(F.col("terms").isNotNull(), apart(spans(F.col("text"), "term", len(KINDS), pattern), F.col("base"))).otherwise(none())
     rows = rows.withColumn("found", F.sort_array(F.concat("base", extra)))
 
     def label(s: Column) -> Column:
-        gone = F.array_contains(F.col("_removed"), F.translate(s["value"], UPPER, LOWER))
-        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(gone, F.lit("")).otherwise(F.lit("[TERM]"))
+        known = F.get(F.filter("terms", lambda x: x["term"] == F.translate(s["value"], UPPER, LOWER)), F.lit(0))
+        general = F.when(known["kept"] > 0, F.concat(F.substring(s["value"], F.lit(1), known["kept"]), F.lit("…"))).otherwise(F.lit("[TERM]"))
+        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(known["removed"], F.lit("")).otherwise(general)
 
     clean = F.when(F.size("found") > 0, replaced(F.col("old"), F.col("found"), label)).otherwise(F.col("old"))
     return rows.withColumn("clean", clean).select("row.*", F.col("found").alias("pii_spans"), F.col("clean").alias("pii_text"))

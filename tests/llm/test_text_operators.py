@@ -258,42 +258,83 @@ def test_pii_base_is_the_plain_patterns(docs, texts, empty, spark):
     assert pii.personal_data(docs).count() == len(texts) and pii.personal_data(empty).count() == 0
 
 
-def test_pii_terms_that_give_an_entity_away(spark):
-    rows = [(i, f"story number {i} about gardens and birds") for i in range(40)]
-    rows += [(100 + i, f"report {'abcdefgh'[i]} Zanzibarov wrote with agent{i}@ministry.org and boss@ministry.org often about gardens") for i in range(5)]
-    rows += [(200, "Zanzibarov is far away in another story"), (201, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = {(r.entity, r.term): (r.share, r.removed) for r in pii.disclosing_terms(docs).collect()}
-    wanted = math.log2(5 * 47 / (6 * 5)) / math.log2(47 / 5)
-    assert ("email:boss@ministry.org", "gardens") not in terms
-    docs2 = docs.union(spark.createDataFrame([(300 + i, f"other note{i} sent by someone{i}@else.net today") for i in range(20)], "doc_id long, text string"))
-    terms = {(r.entity, r.term): (r.share, r.removed) for r in pii.disclosing_terms(docs2).collect()}
-    share, removed = terms["email:boss@ministry.org", "zanzibarov"]
-    assert share == pytest.approx(math.log2(5 * 67 / (6 * 5)) / math.log2(67 / 5)) and share > wanted > 0.8
-    out = {r.doc_id: r.pii_text for r in pii.personal_data(docs2).collect()}
-    assert "Zanzibarov" not in out[100] and "[EMAIL]" in out[100] and "gardens" in out[100]
-    assert out[200] == "Zanzibarov is far away in another story" and out[201] is None
-
-
-def test_pii_term_near_several_entities(spark):
+def plain_terms(rows, prior=10.0, generalise=0.6, remove=0.9):
+    """(entity, term) -> (share, removed, kept), and each row's terms, by loops over all documents."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    runs = lambda t: set(re.findall(r"[^\W_]+", low(t)))
+    held, outside, n_t, n_e = [], [], Counter(), Counter()
+    for _, t in rows:
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in plain_pii(t or "").split(",") if x)]
+        held.append({f"{k}:" + (re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else low(t[a:b])) for a, b, k in spans})
+        bare, at = "", 0
+        for a, b, _ in sorted(spans, key=lambda x: x[0]):
+            if a >= at:
+                bare += (t or "")[at:a] + " "
+            at = max(at, b)
+        outside.append(runs(bare + (t or "")[at:]))
+        n_t.update(runs(t or ""))
+        n_e.update(held[-1])
+    total = len(rows)
+    share = lambda both, t, e: math.log2((both + prior * e / total) / (t + prior) / (e / total)) / math.log2(total / e)
+    both = Counter((e, t) for es, ts in zip(held, outside) for e in es for t in ts if n_e[e] < total)
+    told, most = {}, {}
+    for w, c in n_t.items():
+        for k in range(1, min(len(w), 32) + 1):
+            most[w[:k]] = max(most.get(w[:k], 0), c)
+    for (e, t), n in both.items():
+        s = share(n, n_t[t], n_e[e])
+        if s >= generalise:
+            fine = [k for k in range(1, min(len(t), 33)) if share(n_e[e], most[t[:k]], n_e[e]) < generalise]
+            told[e, t] = (s, s >= remove, 0 if s >= remove else max(fine, default=0))
+    return told, [{t for e in es for t in ts if (e, t) in told} for es, ts in zip(held, outside)]
+
+
+def term_spans(text, terms):
+    base = [tuple(map(int, x.split(":")[1:])) for x in plain_pii(text).split(",") if x]
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    return [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low) if m[0] in terms and not any(m.start() < b and a < m.end() for a, b in base)]
+
+
+@pytest.fixture(scope="module")
+def private():
     rows = [(i, f"story number {i} about gardens and birds") for i in range(400)]
-    rows += [(1000 + i, f"memo {i} from Zanzibarov house by agent{i % 4}@ministry.org") for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = {(r.entity, r.term): r.share for r in pii.disclosing_terms(docs).collect()}
-    share = math.log2(5 * 420 / (20 * 5)) / math.log2(420 / 5)
-    assert share > 0.6 > math.log2(5 * 20 / (20 * 5)) / math.log2(20 / 5)
-    assert [terms["email:agent%d@ministry.org" % k, "zanzibarov"] for k in range(4)] == pytest.approx([share] * 4)
-    assert all("Zanzibarov" not in r.pii_text for r in pii.personal_data(docs).where("doc_id >= 1000").collect())
-
-
-def test_pii_signature_is_evidence_in_each_text(spark):
-    rows = [(i, f"story number {i} about gardens and birds") for i in range(40)]
-    sign = "with kind greetings to everyone over there and elsewhere too: Zanzibarov jane@x.org"
-    rows += [(100 + i, f"text {i} is another one. {sign}") for i in range(3)]
-    rows += [(200 + i, f"a copy of one text, Quixotic joe@x.org {'thrice' if i else 'once'}") for i in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = {(r.entity, r.term): r.share for r in pii.disclosing_terms(docs).collect()}
-    assert terms["email:jane@x.org", "zanzibarov"] == pytest.approx(1) and not any(e == "email:joe@x.org" for e, _ in terms)
+    rows += [(1000 + i, f"memo {i} from Zanzibarov house, Bob Lee by agent{i % 2}@ministry.org") for i in range(20)]
+    rows += [(1100 + i, f"text {i} is another one. greetings: Quixotic jane@x.org {'and a long way off ' * 20} Zanzi{i}bar") for i in range(9)]
+    rows += [(1200 + i, f"a copy of one text, Tremolo joe@x.org joan@x.org jim@x.org and +1 212 555 0100 birds {'thrice' if i else 'once'}") for i in range(4)]
+    return rows + [(1300, "Zanzibarov is far away in another story"), (1301, None), (None, "no id for mail@x.org"), (5, "story number 5 about gardens and birds")]
+
+
+def test_pii_terms_are_the_plain_counts(spark, private):
+    docs = spark.createDataFrame(private, "doc_id long, text string")
+    wanted, by_row = plain_terms(private)
+    found = {(r.entity, r.term): r for r in pii.disclosing_terms(docs)[0].collect()}
+    assert found and set(found) <= set(wanted)
+    for key, r in found.items():
+        assert r.share == pytest.approx(wanted[key][0]) and (r.removed, r.kept) == wanted[key][1:]
+    assert {t for _, t in found} == {t for _, t in wanted}  # entities of the same documents go by one name
+    assert {t for _, t in wanted} >= {"zanzibarov", "bob", "lee", "quixotic", "tremolo"} and "birds" not in {t for _, t in wanted}
+    rows = {(r.doc_id, r.text): r for r in pii.personal_data(docs).collect()}
+    for (i, t), terms in zip(private, by_row):
+        assert [(s.start, s.end) for s in rows[i, t].pii_spans if s.kind == "term"] == term_spans(t or "", terms)
+
+
+@pytest.mark.parametrize("name, least", [("sf0.001", 0), ("sf0.01", 1)])
+def test_pii_terms_of_a_whole_table(spark, name, least):
+    docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    _, by_row = plain_terms(rows)
+    wanted = {i: term_spans(t or "", terms) for (i, t), terms in zip(rows, by_row)}
+    found = {r.doc_id: [(s.start, s.end) for s in r.pii_spans if s.kind == "term"] for r in pii.personal_data(docs).collect()}
+    assert found == wanted and sum(map(len, found.values())) >= least
+
+
+def test_pii_text_is_generalised(spark, private):
+    docs = spark.createDataFrame(private, "doc_id long, text string")
+    out = {r.doc_id: r.pii_text for r in pii.personal_data(docs).collect()}
+    assert all("Zanzibarov" not in out[1000 + i] and "[EMAIL]" in out[1000 + i] for i in range(20))
+    assert out[1300] == private[-4][1] and out[1301] is None
+    strict = {r.doc_id: r.pii_text for r in pii.personal_data(docs, remove=0.61).collect()}
+    assert "Quixotic" in private[420][1] and "Quixotic" not in strict[1100] and "Q…" not in strict[1100]
 
 
 SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
