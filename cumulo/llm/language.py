@@ -11,36 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 UNKNOWN = "und"
-#: Small letters and bytes of other scripts stay; the rest of ASCII parts words.
-_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A text is encoded whole, in segments of this many bytes, so that its dictionary is always within reach of the window.
+SEGMENT = 8192
 
 
-def words(text: str) -> bytes:
-    """What is encoded: the whole text's different lower-case words in order of first use, so that repetition says nothing."""
-    return b" ".join(dict.fromkeys(text.lower().encode().translate(_LETTERS).split()))
+def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 100, dict_bytes: int = 32_768) -> dict[str, bytes]:
+    """Raw dictionary content of each language: at most ``docs_per_lang`` of its different texts in lower case, cut at ``dict_bytes``.
 
-
-def has_letter(text: str, found: bytes) -> bool:
-    return any(97 <= b <= 122 for b in found[:64]) or any(c.isalpha() for c in text)
-
-
-def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 100, dict_bytes: int = 32_768) -> dict[str, bytes]:
-    """Raw dictionary content of each language: the different words of at most ``docs_per_lang`` of its texts, cut at ``dict_bytes``.
-
-    The sample is the rows of least hash, those of 200 to 20,000 characters first; rows with null text or language teach
-    nothing.  Ids are ranked without their texts and with a limit in each task, so a language that has most rows is no
-    task's burden; the driver gets docs_per_lang texts a language.
+    The sample is the texts of least hash, those of 200 to 20,000 characters first; rows with null text or language teach
+    nothing, ids don't matter, copies count once.  Hashes are ranked without their texts and with a limit in each task, so a
+    language that has most rows is no task's burden; the driver gets docs_per_lang texts a language, each cut at dict_bytes.
     """
     own = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    usual = F.length(text_col).between(200, 20_000)
-    order = Window.partitionBy("lang").orderBy(F.desc("usual"), "h", "id")
-    ranked = own.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), usual.alias("usual"), F.xxhash64(id_col).alias("h"))
-    chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("lang", "id", "h").distinct()
-    texts = own.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["lang", "id"])
-    found: dict[str, dict[bytes, None]] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"], str(r["id"]), r["text"])):
-        found.setdefault(row["lang"], {}).update(dict.fromkeys(words(row["text"]).split()))
-    return {lang: b" ".join(w)[:dict_bytes] for lang, w in sorted(found.items()) if len(b" ".join(w)) >= 8}
+    usual = F.length(text_col).between(200, 20_000).alias("usual")
+    named = [F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")]
+    order = Window.partitionBy("lang").orderBy(F.desc("usual"), "h")
+    ranked = own.select(*named, usual).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("lang", "h")
+    texts = own.select(*named, F.substring(text_col, 1, dict_bytes).alias("text")).join(F.broadcast(ranked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    found: dict[str, list[bytes]] = {}
+    for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
+        found.setdefault(row["lang"], []).append(row["text"].lower().encode())
+    return {lang: content for lang, t in sorted(found.items()) if len(content := b" ".join(t)[:dict_bytes]) >= 8}
 
 
 class Encoders:
@@ -50,16 +41,22 @@ class Encoders:
         self.each = []
         for lang, content in contents.items():
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            window = max(len(content) + SEGMENT, 1024).bit_length()
+            how = zstandard.ZstdCompressionParameters(window_log=window, hash_log=15, chain_log=16, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             known.precompute_compress(compression_params=how)
             self.each.append((lang, zstandard.ZstdCompressor(dict_data=known, compression_params=how)))
 
+    def sizes(self, text: str) -> list[tuple[int, str]]:
+        """(encoded size of the whole text in lower case, language), smallest first."""
+        data = text.lower().encode()
+        parts = [data[k : k + SEGMENT] for k in range(0, len(data), SEGMENT)]
+        return sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self.each)
+
     def best(self, text: str | None) -> tuple[str, float]:
         """(language, margin): how much smaller the best encoding is than the second, as a share of the second."""
-        found = words(text) if text else b""
-        if not found or not self.each or not has_letter(text, found):
+        if not text or not self.each or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        sizes = sorted((len(c.compress(found)), lang) for lang, c in self.each)
+        sizes = self.sizes(text)
         return sizes[0][1], 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
 
 
@@ -76,7 +73,7 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(contents)
         for b in batches:
-            found = [encoders.best(t) for t in b.column(at).to_pylist()]
+            found = [encoders.best(t.as_py()) for t in b.column(at)]
             lang, margin = [x[0] for x in found], [x[1] for x in found]
             rejected = [k == UNKNOWN or m < min_margin for k, m in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "lang_rejected"])

@@ -12,6 +12,7 @@ import public_tokenizers as tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -109,9 +110,23 @@ def test_language_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learned = language.dictionaries(docs.where(~language.held_out()))
     assert set(learned) == {"de", "en", "es", "fr"} and max(map(len, learned.values())) <= 32_768
+    shuffled = docs.where(~language.held_out()).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where(~language.held_out())).repartition(3)
+    assert language.dictionaries(shuffled) == learned  # neither ids, copies nor order matter
     held = language.identify(docs.where(language.held_out()), learned)
     right, n = held.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert right / n > 0.97
+    # Each dictionary is tried on each whole text, in segments that start afresh.
+    how = zstandard.ZstdCompressionParameters(window_log=16, hash_log=15, chain_log=16, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    for r in held.select("text", "lang_pred", "score").limit(120).collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        data, sizes = r.text.lower().encode(), {}
+        for lang, content in learned.items():
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(data[k : k + 8192])) for k in range(0, len(data), 8192))
+        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert r.lang_pred == best[1] and r.score == pytest.approx(1 - best[0] / second[0])
     assert held.agg(F.min("score"), F.max("score")).where("`min(score)` < 0 OR `max(score)` > 1").count() == 0
 
 
