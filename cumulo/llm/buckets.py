@@ -15,26 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tiled(df: DataFrame, keys: list[str], spread: str, tile_rows: int = 1000) -> DataFrame:
-    """Rows of ``df`` whose bucket holds two or more, dealt to ``(tile_a, tile_b)`` and sorted by bucket and tile.
-
-    A bucket of n rows gets k = ceil(n / tile_rows) chunks; chunk c goes to the k tiles (min(c,j), max(c,j)), so each
-    two rows meet and no tile holds over about 2 * tile_rows rows.  ``chunk`` is the row's own chunk.
-    """
-    sized = df.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
-    k = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
-    dealt = (
-        sized.withColumn("k", k)
-        .withColumn("chunk", F.expr(f"CAST(pmod(xxhash64({spread}), k) AS INT)"))
-        .withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-        .withColumn("tile_a", F.least("chunk", "j"))
-        .withColumn("tile_b", F.greatest("chunk", "j"))
-        .drop("n", "k", "j")
-    )
-    by = [*keys, "tile_a", "tile_b"]
-    return dealt.repartition(*by).sortWithinPartitions(*by)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with the group's number for each row; batches are sorted by ``keys`` (integers)."""
     held: list[pa.Table] = []
@@ -94,11 +74,13 @@ class Forest:
                 self.root = up
 
 
-def tiled_by_count(df: DataFrame, counts: DataFrame, keys: list[str], spread: str, tile_rows: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
-    """Like :func:`tiled` for wide rows: bucket sizes come from ``counts`` (keys, n), so the wide rows move once.
+def tiled(df: DataFrame, counts: DataFrame, keys: list[str], spread: str, tile_rows: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
+    """Rows of ``df`` whose tile holds two or more, dealt to ``(tile_a, tile_b)`` and sorted by bucket and tile.
 
-    Only buckets over ``tile_rows`` are looked up; their list is broadcast while it has at most ``broadcast_rows`` rows
-    and joined by shuffle beyond that.
+    Bucket sizes come from ``counts`` (keys, n), combined map-side, so no task ever holds a hot bucket.  A bucket of n rows
+    gets k = ceil(n / tile_rows) chunks; chunk c goes to the k tiles (min(c,j), max(c,j)), so each two rows meet and no
+    tile holds over about 2 * tile_rows rows.  ``chunk`` is the row's own chunk.  Only buckets over ``tile_rows`` are looked up; their
+    list is broadcast while it has at most ``broadcast_rows`` rows and joined by shuffle beyond that.
     """
     hot = counts.where(F.col("n") > tile_rows).select(*keys, F.ceil(F.col("n") / F.lit(tile_rows)).cast("int").alias("k"))
     if hot.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -113,4 +95,6 @@ def tiled_by_count(df: DataFrame, counts: DataFrame, keys: list[str], spread: st
         .drop("k", "j")
     )
     by = [*keys, "tile_a", "tile_b"]
-    return dealt.repartition(*by).sortWithinPartitions(*by)
+    # The window needs the same partitioning, so it adds no shuffle, and a sort that it shares; its groups are tiles.
+    sized = dealt.repartition(*by).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    return sized.where("n > 1").drop("n")

@@ -60,38 +60,41 @@ def block_masks(max_bits: int, n_blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(reps: DataFrame, max_bits: int = 4, n_blocks: int = 8) -> DataFrame:
-    """Spanning links ``(src, dst)`` between ``rep`` ids whose distinct fingerprints ``fp`` differ in at most max_bits bits.
+def links(fps: DataFrame, max_bits: int = 4, n_blocks: int = 8, tile_rows: int = 1000) -> DataFrame:
+    """Spanning links ``(src, dst)`` between distinct fingerprints ``fp`` that differ in at most max_bits bits.
 
     Every bucket's own components are kept whole; the pairs themselves are not written.
     """
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(max_bits, n_blocks)]))
-    rows = reps.select("rep", "fp", keys.alias("t", "key"))
+    rows = fps.select("fp", keys.alias("t", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, groups in whole_groups(batches, ["t", "key", "tile_a", "tile_b"]):
-            fp, rep, forest = t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), Forest(t.num_rows)
+            own = t["fp"].to_numpy()
+            fp, forest = own.view(np.uint64), Forest(t.num_rows)
             for i, j in pairs(groups):
                 near = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
                 forest.join(i[near], j[near])
-            own = np.flatnonzero(forest.root != np.arange(t.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[forest.root[own]])], names=["src", "dst"])
+            at = np.flatnonzero(forest.root != np.arange(t.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[forest.root[at]])], names=["src", "dst"])
 
-    return tiled(rows, ["t", "key"], "fp").mapInArrow(run, "src long, dst long")
+    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n"))
+    return tiled(rows, sizes, ["t", "key"], "fp", tile_rows).mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, max_bits: int = 4, n_blocks: int = 8, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, max_bits: int = 4, n_blocks: int = 8, seed: int = 42, tile_rows: int = 1000) -> DataFrame:
     """``(id_col, fp, component_id)``: documents linked, over any number of steps, by fingerprints at most max_bits apart.
 
-    Equal fingerprints collapse to one representative before any bucket is built, so groups of exact copies cost one row.
-    component_id is the smallest id reachable, the row's own id included.  Every row is returned, repeated ids too; a null
-    id takes part by its text but can't be a component's name (null if the whole component has none).  Empty or null
-    texts share fingerprint 0.  Other columns are ignored.
+    Equal fingerprints collapse to one node before any bucket is built, so groups of exact copies cost one row.
+    component_id is the smallest id reachable, the row's own id included.  Every row is returned, repeated ids too; a row without
+    an id takes part and links others by its text but can't be a component's name (null if the whole component has none).
+    Empty or null texts share fingerprint 0.  Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    parts = connected_components(links(reps.where("rep IS NOT NULL"), max_bits, n_blocks))
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
+    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    parts = connected_components(links(least, max_bits, n_blocks, tile_rows))
+    of = least.join(parts, least["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
+    named = of.groupBy("part").agg(F.min("least").alias("component_id")).join(of, "part").select(F.col("fp").alias("of"), "component_id")
     return fps.join(named, fps["fp"] == named["of"]).select(id_col, "fp", "component_id")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.buckets import Forest, pairs, tiled_by_count, whole_groups
+from cumulo.llm.buckets import Forest, pairs, tiled, whole_groups
 from cumulo.llm.vectors import finite, matrix
 from cumulo.plans.graph import connected_components
 from cumulo.plans.shared import materialize
@@ -104,7 +104,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     bits, tables = plan(reps.count(), threshold, miss)
     keyed = materialize(signed(reps, bits, tables, seed), "signed")
     counts = keyed.select("dim", F.posexplode("keys").alias("t", "key")).groupBy("dim", "t", "key").agg(F.count("*").alias("n"))
-    spread = tiled_by_count(keyed.select("*", F.posexplode("keys").alias("t", "key")), counts, ["dim", "t", "key"], "rep", tile_rows)
+    spread = tiled(keyed.select("*", F.posexplode("keys").alias("t", "key")), counts, ["dim", "t", "key"], "rep", tile_rows)
     found = materialize(tile_links(spread, threshold, tables), "links")
     parts = connected_components(found.where("dst IS NOT NULL"), "rep", "dst")
     summed = found.groupBy("rep").agg(F.sum("links").alias("links"))

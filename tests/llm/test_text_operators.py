@@ -89,20 +89,26 @@ def test_simhash_is_all_pairs(docs, texts, empty):
 
 
 @pytest.mark.parametrize("tile_rows", [3, 1000])
-def test_simhash_links_within_tiles(spark, monkeypatch, tile_rows):
-    rng = np.random.default_rng(1)
-    centre = [int(x) for x in rng.integers(0, 2**63, 4)]
-    fps = [(i, c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for i, c in enumerate(centre * 15)]
-    real = simhash.tiled
-    monkeypatch.setattr(simhash, "tiled", lambda df, keys, spread: real(df, keys, spread, tile_rows))
-    reps = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in fps], "rep long, fp long").groupBy("fp").agg(F.min("rep").alias("rep"))
+def test_simhash_links_within_tiles(spark, tile_rows):
     from cumulo.plans.graph import connected_components
 
-    got = dict(map(tuple, connected_components(simhash.links(reps)).collect()))
-    wanted = {i: c for i, _, c in plain_components([(r.rep, r.fp % 2**64) for r in reps.collect()], 4) if i != c}
+    rng = np.random.default_rng(1)
+    centre = [int(x) for x in rng.integers(0, 2**63, 4)]
+    fps = sorted({c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centre * 15})
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = dict(map(tuple, connected_components(simhash.links(table, tile_rows=tile_rows)).collect()))
+    wanted = {i: c for i, _, c in plain_components([(f, f % 2**64) for f in signed], 4) if i != c}
     assert got == wanted
 
 
+def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
+    rows = [(1, "0"), (None, "1"), (3, "1f"), (7, "ff00ff00ff"), (None, "ff00ff00fe"), (None, "f" * 16)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.select("doc_id", F.conv("text", 16, -10).cast("long").alias("fp")))
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=str) == sorted([(1, 1), (None, 1), (3, 1), (7, 7), (None, 7), (None, None)], key=str)
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 
