@@ -80,11 +80,8 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, kth: np.ndarr
                 hit = np.flatnonzero(scores >= floor)
                 hit = hit[tree.ids[a:b][hit] != own]
                 if len(hit) > k:
-                    hit = hit[np.lexsort((tree.ids[a:b][hit], -scores[hit]))]
-                    ids, found = tree.ids[a:b][hit], scores[hit]
-                    hit = hit[np.r_[True, (ids[1:] != ids[:-1]) | (found[1:] != found[:-1])]][:k]
-                # An id of several points with one score is one result.
-                best = list({*best, *((int(scores[i]), -int(tree.ids[a + i])) for i in hit)})
+                    hit = hit[np.lexsort((tree.ids[a:b][hit], -scores[hit]))][:k]
+                best += [(int(scores[i]), -int(tree.ids[a + i])) for i in hit]
                 if len(best) >= k:
                     best = heapq.nlargest(k, best)
                     floor = max(floor, best[-1][0])
@@ -97,70 +94,65 @@ def _exact(points: np.ndarray, queries: np.ndarray) -> type:
     return np.float64 if most < 2**53 else np.int64
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16_384, block_rows: int = 512, leaf_rows: int = 128) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16_384, block_rows: int = 2048, leaf_rows: int = 128) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best candidates by integer inner product, ties to the smaller id.
 
-    Both inputs are ``(vec_id long, point array<long>)``.  Candidates are dealt by hash to shards, queries to blocks; each
-    shard's tree is built once, and the tiles of shards and blocks are rows of a table that Spark spreads.  Shard 0 goes
-    first for all blocks: its k-th scores are lower bounds that the other shards' searches start from.  A candidate
-    with the query's own id doesn't count.  Points of another dimension than the query's take no part.  Equal rows are one
-    candidate or query, and leave before any shard or block is made, so none fills up with copies.
+    Both inputs are ``(vec_id long, point array<long>)``.  Rows are numbered and dealt by number, candidates to shards, queries
+    to blocks, so equal rows never fill one of them.  Each shard's tree is built once and stays where it is: the blocks, a few
+    hundredths of the rows, travel to the shards.  Shard 0 goes first for all blocks: its k-th scores are lower bounds
+    that the other shards' searches start from.  Every row is a candidate, repeated ones too, but those with the query's own id;
+    equal queries are one, and queries of one id and different points each have their ranks.  Points of another dimension
+    than the query's take no part.
     """
-    candidates = materialize(candidates.select("vec_id", "point").distinct(), "candidates")
-    queries = materialize(queries.select("vec_id", "point").distinct(), "queries")
-    n_shards = max(1, -(-candidates.count() // shard_rows))
-    n_blocks = max(1, -(-queries.count() // block_rows))
 
-    def packed(part: str, dim: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [part], "dim": [dim], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "points": [np.concatenate(pdf["point"].to_list()).astype(np.int64).tobytes()]})
+    def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        own = materialize(df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "point"), name)
+        return own, own.count()
+
+    candidates, n_candidates = numbered(candidates, "candidates")
+    queries, n_queries = numbered(queries.select("vec_id", "point").distinct(), "queries")
+    n_shards, n_blocks = max(1, -(-n_candidates // shard_rows)), max(1, -(-n_queries // block_rows))
 
     def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         made = build(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["point"].to_list()).astype(np.int64), leaf_rows)
         return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], **{n: [getattr(made, n).astype(np.int64).tobytes()] for n in ("ids", "points", "low", "high", "span", "child")}})
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return packed("", key[1], pdf).drop(columns="part").assign(block=key[0]).rename(columns={"ids": "query_ids", "points": "query_points"})[["block", "dim", "query_ids", "query_points"]]
+        points = np.concatenate(pdf["point"].to_list()).astype(np.int64)
+        return pd.DataFrame({"block": [key[0]], "dim": [key[1]], **{n: [x.to_numpy(np.int64).tobytes()] for n, x in (("rows", pdf["row"]), ("query_ids", pdf["vec_id"]), ("kth", pdf["kth"]))}, "query_points": [points.tobytes()]})
 
     def hashed(df: DataFrame, n: int, name: str) -> DataFrame:
-        return df.select("vec_id", "point", F.size("point").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
+        return df.withColumn("dim", F.size("point")).withColumn(name, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
 
-    trees = materialize(
-        hashed(candidates, n_shards, "shard").groupBy("shard", "dim").applyInPandas(tree, "shard int, dim int, ids binary, points binary, low binary, high binary, span binary, child binary"), "trees"
-    )
-    blocks = materialize(hashed(queries, n_blocks, "block").groupBy("block", "dim").applyInPandas(block, "block int, dim int, query_ids binary, query_points binary"), "blocks")
+    made = hashed(candidates, n_shards, "shard").groupBy("shard", "dim").applyInPandas(tree, "shard int, dim int, ids binary, points binary, low binary, high binary, span binary, child binary")
+    trees = materialize(made, "trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for n in range(b.num_rows):
+                row = {name: b.column(name)[n].as_py() for name in b.schema.names}
                 dim, get = row["dim"], lambda name: np.frombuffer(row[name], np.int64)  # noqa: B023
-                points, asked, ids = get("points").reshape(-1, dim), get("query_points").reshape(-1, dim), get("query_ids")
+                points, asked, ids, rows = get("points").reshape(-1, dim), get("query_points").reshape(-1, dim), get("query_ids"), get("rows")
                 kind = _exact(points, asked)
                 t = Tree(get("ids"), points.astype(kind), get("low").reshape(-1, dim).astype(kind), get("high").reshape(-1, dim).astype(kind), get("span").reshape(-1, 2), get("child").reshape(-1, 2))
-                kth = get("kth") if row["kth"] else np.full(len(ids), np.iinfo(np.int64).min)
-                out = [(int(ids[n]), -i, s) for n, best in search(t, asked.astype(kind), ids, kth, k) for s, i in best]
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    schema = "query_id long, vec_id long, score long"
-
-    def scan(shards: DataFrame, asked: DataFrame) -> DataFrame:
-        every = shards.withColumn("block", F.explode(F.expr(f"sequence(0, {n_blocks - 1})")))
-        tiles = every.join(asked, ["block", "dim"])
-        return tiles.repartition("shard", "block").mapInArrow(run, schema)
-
-    first = materialize(scan(trees.where("shard = 0"), blocks.withColumn("kth", F.lit(None).cast("binary"))), "first")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # Repeated query ids are one query: its rows have one rank list.
-    bound = first.distinct().withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    asked = hashed(queries, n_blocks, "block").join(bound, "vec_id", "left")
-
-    def block_with_bound(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kth = pdf["kth"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        return block(key, pdf).assign(kth=[kth.tobytes()])
-
-    bounded = asked.groupBy("block", "dim").applyInPandas(block_with_bound, "block int, dim int, query_ids binary, query_points binary, kth binary")
-    rest = scan(trees.where("shard > 0"), bounded)
-    ranked = first.union(rest).distinct().withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+                out = [(int(rows[n]), int(ids[n]), -i, s) for n, best in search(t, asked.astype(kind), ids, get("kth"), k) for s, i in best]
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
+
+    def scan(first_shard: int, last_shard: int, bounds: DataFrame | None) -> DataFrame:
+        nothing = F.lit(np.iinfo(np.int64).min)
+        asked = queries.withColumn("kth", nothing) if bounds is None else queries.join(bounds, "row", "left").withColumn("kth", F.coalesce("kth", nothing))
+        asked = hashed(asked, n_blocks, "block").groupBy("block", "dim").applyInPandas(block, "block int, dim int, rows binary, query_ids binary, kth binary, query_points binary")
+        asked = materialize(asked, "blocks")
+        shards, n = trees.where(F.col("shard").between(first_shard, last_shard)), last_shard - first_shard + 1
+        sent = asked.withColumn("shard", F.explode(F.expr(f"sequence({first_shard}, {last_shard})"))).repartition(n, "shard", "dim")
+        return shards.repartition(n, "shard", "dim").join(sent, ["shard", "dim"]).mapInArrow(run, "query long, query_id long, vec_id long, score long")
+
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    first = materialize(scan(0, 0, None), "first")
+    bounds = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
+    found = first.union(scan(1, n_shards - 1, bounds)) if n_shards > 1 else first
+    ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
