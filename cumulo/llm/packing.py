@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from cumulo.plans.shared import materialize
@@ -117,22 +118,24 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
-def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 2000, rounds: int = 2, slack: int = 64, order: list[str] | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 2000, rounds: int = 2, slack: int = 64) -> DataFrame:
     """``items`` with ``sequence_id``, ``offset`` and ``certified``, from a column ``length`` of 1..capacity.
 
-    Pieces are dealt by hash to partitions of about ``group_rows``; each runs best-fit decreasing.  A partition whose bins
-    equal its lower bound is certified.  The others give up the documents of bins with more than ``slack`` free; those meet
-    in new partitions and are packed again, kept where that saves a bin, ``rounds`` times.  Every row stays, with all its
-    columns; an empty table stays empty.
+    Rows are numbered and dealt by number to partitions of about ``group_rows``, so equal rows never share one by that; each
+    runs best-fit decreasing.  A partition whose bins equal its lower bound is certified.  The others give up the documents of
+    bins with more than ``slack`` free; those meet in new partitions and are packed again, kept where that saves a bin,
+    ``rounds`` times.  Every row stays, with all its columns; columns of the three names are replaced; an empty table stays empty.
     """
-    order = order or [c for c in items.columns if c != "length"]
-    kept = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, certified boolean, loose boolean"
+    names = [c for c in items.columns if c not in ("sequence_id", "offset", "certified")]
+    # The row travels as one struct, so no name of its own can clash with a helper's.
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    placed = "sequence_id long, offset long, certified boolean, loose boolean"
+    schema = StructType([*items.select(F.monotonically_increasing_id().alias("number"), whole, F.col("length").cast("long").alias("size")).schema, *StructType.fromDDL(placed)])
 
     def kernel(round_no: int):
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([(c, "ascending") for c in order])
-            lengths, group = table["length"].to_numpy(), table["part"][0].as_py()
+            table = table.sort_by("number")
+            lengths, group = table["size"].to_numpy(), table["part"][0].as_py()
             bins, offsets, free = best_fit_decreasing(lengths, capacity)
             certified = len(free) == bins_needed(lengths, capacity)
             if round_no == 0 or len(free) < pc.count_distinct(table["sequence_id"]).as_py():
@@ -140,22 +143,23 @@ def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 2000, rounds:
             else:
                 places, loose = [table["sequence_id"], table["offset"]], np.ones(len(lengths), bool)
             marks = [pa.array(np.full(len(lengths), certified)), pa.array(loose & (not certified))]
-            return pa.Table.from_arrays([*(table[c] for c in kept), *places, *marks], names=[*kept, "sequence_id", "offset", "certified", "loose"])
+            return pa.Table.from_arrays([*(table[c] for c in ("number", "row", "size")), *places, *marks], names=schema.names)
 
         return run
 
     def dealt(df: DataFrame, round_no: int) -> DataFrame:
         parts = max(1, -(-df.count() // group_rows))
-        key = F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(round_no)), F.lit(parts))
+        key = F.pmod(F.xxhash64("number", F.lit(round_no)), F.lit(parts))
         return df.withColumn("part", key).groupBy("part").applyInArrow(kernel(round_no), schema)
 
-    packed = materialize(dealt(items, 0), "packed")
+    numbered = materialize(items.select(F.monotonically_increasing_id().alias("number"), whole, F.col("length").cast("long").alias("size")), "numbered")
+    packed = materialize(dealt(numbered, 0), "packed")
     settled = packed.where("NOT loose")
     for r in range(1, rounds + 1):
         again = materialize(dealt(packed.where("loose"), r), "repacked")
         settled = settled.union(again.where("NOT loose") if r < rounds else again)
         packed = again
-    return settled.drop("loose")
+    return settled.select("row.*", "sequence_id", "offset", "certified")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -166,5 +170,4 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     """The packing of whole documents with the installed 50k byte-level vocabulary; see :func:`pieces` and :func:`pack`."""
     import public_tokenizers as tokenizers
 
-    cut = materialize(pieces(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN), "pieces")
-    return pack(cut, order=["doc_id", "piece", "ids_crc32"])
+    return pack(pieces(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN))

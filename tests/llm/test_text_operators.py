@@ -479,6 +479,17 @@ def test_packing_holds_every_token(docs, texts, empty):
     assert packing.pack(packing.pieces(empty, JSON, tokenizers.PATTERN)).count() == 0
 
 
+def test_packing_keeps_clashing_columns_and_deals_equal_rows(spark):
+    rows = [(7, 30, "a", "b", "c", True, 9, 5)] * 500
+    table = spark.createDataFrame(rows, "number long, length int, part string, row string, sequence_id string, certified boolean, size long, loose int")
+    found = packing.pack(table, 100, group_rows=50)
+    assert found.columns == ["number", "length", "part", "row", "size", "loose", "sequence_id", "offset", "certified"]
+    got = found.collect()
+    assert {tuple(r)[:6] for r in got} == {(7, 30, "a", "b", 9, 5)} and len(got) == 500
+    bins = Counter(r.sequence_id for r in got)
+    assert max(bins.values()) <= 3 and len(bins) <= 180 and all(r.offset in (0, 30, 60) for r in got)
+
+
 def test_special_strings_are_as_the_tokenizer_has_them():
     exact, own = Tokenizer.from_file(JSON), packing.load(JSON, tokenizers.PATTERN)
     for text in ("a <|endoftext|> b", "plain text  with  spaces", ""):
