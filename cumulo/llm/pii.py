@@ -119,12 +119,14 @@ def beginnings(disclosing: DataFrame, everywhere: DataFrame, total: int, prior:
     """``(entity, term, kept)``: how many characters of a term may stay.
 
     The longest beginning that some term of the corpus has which stands in so many documents that even if all documents of
-    the entity were among them, it would disclose less than ``generalise``.
+    the entity were among them, it would disclose less than ``generalise``.  Terms that stand in too few documents to make a
+    beginning safe even for an entity of one document are left out before their beginnings are made, which changes nothing.
     """
     longest = lambda n: F.sequence(F.lit(1), F.least(n, F.lit(LONGEST_BEGINNING)))
     tried = disclosing.where("NOT removed AND length(term) > 1").select("entity", "term", "n_e", F.explode(longest(F.length("term") - 1)).alias("k"))
     tried = tried.withColumn("start", F.expr("substring(term, 1, k)"))
-    starts = everywhere.select("term", "n_t", F.explode(longest(F.length("term"))).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
+    enough = everywhere.where(F.col("n_t") > _most(F.lit(1.0), total, prior, generalise))
+    starts = enough.select("term", "n_t", F.explode(longest(F.length("term"))).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
     common = starts.join(tried.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.max("n_t").alias("n_s"))
     safe = _share(F.col("n_e"), F.col("n_s"), F.col("n_e"), total, prior) < generalise
     return tried.join(common, "start").where(safe).groupBy("entity", "term").agg(F.max("k").alias("kept"))
