@@ -145,3 +145,9 @@ def full_year_mean(cat: DataFrame) -> DataFrame:
     """Mean volume of full years, and how many years are full and how many are not."""
     full = F.when(F.col("full"), F.col("volume_km3"))
     return by_year(cat).agg((exact_sum(full) / F.count(full)).alias("mean_km3"), F.sum(F.col("full").cast("long")).alias("full_years"), F.sum((~F.col("full")).cast("long")).alias("partial_years"))
+
+
+def percolation_range(cat: DataFrame, column: str = "param_percolation_share") -> DataFrame:
+    """Least, median and largest of the different percolation shares that a catalogue's windows were built with."""
+    shares = cat.where(F.col(column).isNotNull()).select(column).distinct()
+    return shares.agg(F.min(column).alias("percolation_min"), F.expr(f"percentile(`{column}`, 0.5)").alias("percolation_median"), F.max(column).alias("percolation_max"))

@@ -63,14 +63,6 @@ def accumulation(cube: DataFrame, t: tuple[int, int] | None = None) -> DataFrame
     return rows.groupBy("y", "x").agg(F.round(F.sum((F.col("r") * DT_HOURS).cast("decimal(20,6)")).cast("double"), 1).alias("depth_mm"))
 
 
-def dense(cube: DataFrame) -> DataFrame:
-    """Every step from the cube's first to last for each of its cells, missing ones 0."""
-    ends = cube.agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a IS NOT NULL")
-    steps = ends.select(F.explode(F.sequence("a", "b")).alias("t"))
-    every = cube.select("y", "x").distinct().join(F.broadcast(steps), F.lit(True))
-    return every.join(cube.select("t", "y", "x", "r"), ["t", "y", "x"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-
-
 def rolling_24h(cube: DataFrame, steps: int = STEPS_PER_DAY) -> DataFrame:
     """(y, x, max_24h_mm): each cell's largest depth over ``steps`` consecutive steps; null where fewer exist.
 

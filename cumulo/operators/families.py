@@ -61,6 +61,12 @@ def summarise(linked: DataFrame) -> DataFrame:
     return rows.withColumn("age_days", days).withColumn("age_class", named).withColumn("year", F.year("start")).withColumn("month", F.month("start"))
 
 
+def claimed(families: DataFrame, year: int | None = None) -> DataFrame:
+    """Families of the year they start in, all years by default, with ``family_uid`` year-month-fam; each belongs to one year."""
+    own = families if year is None else families.where(F.col("year") == year)
+    return own.withColumn("family_uid", F.concat_ws("-", "year", "month", "fam"))
+
+
 def percolation(families: DataFrame) -> DataFrame:
     """Largest family's share of the volume."""
     return families.agg(F.coalesce(F.max("volume_km3") / exact_sum("volume_km3"), F.lit(0.0)).alias("percolation"))

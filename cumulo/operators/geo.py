@@ -131,6 +131,11 @@ def lead_times(landed: DataFrame, by: str) -> DataFrame:
     )
 
 
+def top_provinces(landed: DataFrame, n: int = 14) -> DataFrame:
+    """:func:`lead_times` of the ``n`` provinces with most landfalls, most first; a place without a province is none."""
+    return lead_times(landed.where("province IS NOT NULL"), "province").orderBy(F.desc("n"), "province").limit(n)
+
+
 def lead_histogram(landed: DataFrame, most: float = 24.0) -> DataFrame:
     return landed.groupBy(F.least("hours_at_sea", F.lit(most)).alias("hours_at_sea")).agg(F.count("*").alias("n"))
 

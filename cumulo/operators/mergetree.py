@@ -81,6 +81,8 @@ def build(vox: DataFrame, wet: float = 1.0) -> tuple[DataFrame, DataFrame]:
         if not now.where("moved").limit(1).count():
             break
         now = now.drop("moved")
+    else:
+        raise RuntimeError("parents don't settle")
     died = now.select(F.col("node").alias("comp_id"), F.col("s.r").alias("death"), "parent")
     rows = peaks.join(died, "comp_id", "left").select("comp_id", "birth", F.coalesce("death", F.lit(wet)).alias("death"), F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
     return rows.withColumn("persistence", F.col("birth") - F.col("death")), basin
@@ -103,10 +105,9 @@ def summary(components: DataFrame) -> DataFrame:
 
 
 def hierarchy(components: DataFrame, h: float) -> DataFrame:
-    """(survivor, absorbed): every component that the cut folds into each survivor, most persistent first."""
+    """(survivor, comp_id, birth, death, persistence): a row for every component that the cut folds into a survivor."""
     held = components.join(survivor_of(components, h), "comp_id").where("comp_id <> survivor")
-    each = F.struct((-F.col("persistence")).alias("order"), "comp_id", "birth", "death")
-    return held.groupBy("survivor").agg(F.transform(F.sort_array(F.collect_list(each)), lambda c: F.struct(c["comp_id"].alias("comp_id"), c["birth"].alias("birth"), c["death"].alias("death"))).alias("absorbed"))
+    return held.select("survivor", "comp_id", "birth", "death", "persistence")
 
 
 def cut_topological(vox: DataFrame, components: DataFrame, basin: DataFrame, h: float, min_voxels: int = 6) -> DataFrame:
@@ -143,6 +144,8 @@ class Flood:
             own = own.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
             own = materialize(own, "owners")
             graph = materialize(_contract(graph, roots), "saddles")
+        else:
+            raise RuntimeError("the flood doesn't end")
         held = own.join(rooted, own["comp"] == rooted["a"], "left_semi").select(F.col("node").alias("basin"), F.col("comp").alias("label"))
         return drop_small(self.vox.join(self.basin, "id").join(held, "basin").select(*self.vox.columns, "label"), min_voxels)
 

@@ -72,6 +72,34 @@ def attach(cat: DataFrame, regions: DataFrame, deg: float = 1.0) -> DataFrame:
     return on_grid(cat, deg).join(regions.select("glat", "glon", "region"), ["glat", "glon"])
 
 
+def region_of(rows: DataFrame, regions: DataFrame, lat: str, lon: str, deg: float = 1.0) -> DataFrame:
+    """``rows`` with ``region`` of the cell of a place; -1 where the cell has none or the place is null.  Every row stays."""
+    at = regions.select(F.col("glat").alias("_glat"), F.col("glon").alias("_glon"), F.col("region").alias("_region"))
+    corner = (F.floor(F.col(lat) / deg) * F.lit(deg) == F.col("_glat")) & (F.floor(F.col(lon) / deg) * F.lit(deg) == F.col("_glon"))
+    return rows.join(at, corner, "left").withColumn("region", F.coalesce("_region", F.lit(-1))).drop("_glat", "_glon", "_region")
+
+
+def extents(stormy: DataFrame, deg: float = 1.0) -> DataFrame:
+    """Cells, storms, volume, share of the volume and bounds of each region."""
+    every = Window.partitionBy()
+    rows = stormy.groupBy("region").agg(
+        F.count_distinct("glat", "glon").alias("cells"),
+        F.count("*").alias("storms"),
+        exact_sum("total_volume_km3").alias("volume_km3"),
+        F.min("glat").alias("lat_min"),
+        (F.max("glat") + deg).alias("lat_max"),
+        F.min("glon").alias("lon_min"),
+        (F.max("glon") + deg).alias("lon_max"),
+    )
+    return rows.withColumn("volume_share", F.col("volume_km3") / F.sum(F.col("volume_km3").cast("decimal(30,10)")).over(every).cast("double"))
+
+
+def with_domain(stormy: DataFrame) -> DataFrame:
+    """:func:`contrast` of each region, and of all of them together as region -1 with the whole volume as its share."""
+    whole = contrast(stormy.withColumn("region", F.lit(-1)))
+    return contrast(stormy).unionByName(whole)
+
+
 def contrast(stormy: DataFrame) -> DataFrame:
     """Seasonal contrast (largest over least month) of each region, by volume and by the mean of its cells' shapes."""
     cells = stormy.groupBy("region", "glat", "glon").pivot("month", MONTHS).agg(exact_sum("total_volume_km3"))

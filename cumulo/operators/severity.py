@@ -14,10 +14,10 @@ from cumulo.plans.ranking import kth_largest, quantiles, ranked
 
 @dataclass(frozen=True)
 class Scale:
-    """Edges of the volume and intensity bands; a value at an edge belongs to the band above."""
+    """Edges of the volume and intensity bands; a value at an edge belongs to the band above.  An edge without any reference is null."""
 
-    volume: tuple[float, float]
-    intensity: tuple[float, float]
+    volume: tuple[float | None, float | None]
+    intensity: tuple[float | None, float | None]
     years: float
     storms: int
     by_rate: bool
@@ -29,7 +29,8 @@ class Scale:
 
     def describe(self) -> str:
         kind = "a year" if self.by_rate else "percentile"
-        edges = "; ".join(f"{b:g} {kind}: {v:.4f} km3, {i:.1f} mm/hr" for b, v, i in zip(self.bands, self.volume, self.intensity))
+        shown = lambda x, digits, unit: "no" + unit if x is None else f"{x:.{digits}f}{unit}"
+        edges = "; ".join(f"{b:g} {kind}: {shown(v, 4, ' km3')}, {shown(i, 1, ' mm/hr')}" for b, v, i in zip(self.bands, self.volume, self.intensity))
         return f"{self.storms:,} storms over {self.years:.1f} years, by {self.basis.replace('_', ' ')}; {edges}"
 
 
@@ -37,18 +38,19 @@ def fit(ref: DataFrame, years: float, volume: str = "total_volume_km3", intensit
     """Scale of a reference population.
 
     From ten years on, and unless percentile ``bands`` are given, edges are the values exceeded ``rate_bands`` times a year:
-    the k-th largest with k = round(rate * years), halves to even, within 1..n.  Else they are percentiles.
-    Truncated storms are left out where the columns exist.
+    the k-th largest non-null one with k = round(rate * years), halves to even, within 1..n.  Else they are percentiles.
+    Truncated storms are left out where the columns exist.  Without any value the edges are null.
     """
     if exclude_truncated and "truncated_time" in ref.columns:
         ref = ref.where(untruncated())
     n = ref.count()
     if years >= MIN_RECORD_YEARS and bands is None:
-        ks = [min(max(round(r * years), 1), n) for r in rate_bands]
         edges = []
         for c in (volume, intensity):
-            found = dict(map(tuple, kth_largest(ref, c, ks).collect()))
-            edges.append(tuple(found[k] for k in ks))
+            known = ref.where(F.col(c).isNotNull()).count()
+            ks = [min(max(round(r * years), 1), known) for r in rate_bands]
+            found = dict(map(tuple, kth_largest(ref, c, ks).collect())) if known else {}
+            edges.append(tuple(found.get(k) for k in ks))
         return Scale(edges[0], edges[1], years, n, True, rate_bands)
     bands = bands or PERCENTILE_BANDS
     edges = []
@@ -60,12 +62,14 @@ def fit(ref: DataFrame, years: float, volume: str = "total_volume_km3", intensit
 
 def edges(spark, scale: Scale) -> DataFrame:
     """The scale as rows (band, volume_km3, intensity_mm_hr)."""
-    rows = [(float(b), float(v), float(i)) for b, v, i in zip(scale.bands, scale.volume, scale.intensity)]
+    real = lambda x: None if x is None else float(x)
+    rows = [(float(b), real(v), real(i)) for b, v, i in zip(scale.bands, scale.volume, scale.intensity)]
     return spark.createDataFrame(rows, "band double, volume_km3 double, intensity_mm_hr double")
 
 
-def band(value: Column, at: tuple[float, float]) -> Column:
-    return (value >= F.lit(float(at[0]))).cast("int") + (value >= F.lit(float(at[1]))).cast("int")
+def band(value: Column, at: tuple[float | None, float | None]) -> Column:
+    """0, 1 or 2 by the edges; null for a null value or edge."""
+    return sum(((value >= F.lit(x).cast("double")).cast("int") for x in at[1:]), (value >= F.lit(at[0]).cast("double")).cast("int"))
 
 
 def classify(df: DataFrame, scale: Scale, volume: str = "total_volume_km3", intensity: str = "max_intensity_mm_hr") -> DataFrame:
@@ -89,24 +93,21 @@ def occupancy(classified: DataFrame, years: float) -> DataFrame:
 def percentile_of(values: DataFrame, ref: DataFrame, value: str, ref_value: str, years: float | None = None, side: str = "right") -> DataFrame:
     """``values`` with ``percentile`` of the reference at or under (side right) or under (left) each value, and ``larger``.
 
-    Both sides are ranked together by range, so neither is collected; ``larger`` counts reference values strictly above.
-    With ``years``, ``return_years`` is years / max(larger, 1).
+    The different values and the reference are ranked together by range, so neither is collected, and results join on the
+    value; ``larger`` counts reference values strictly above.  A null value has nulls.  With ``years``, ``return_years`` is
+    years / max(larger, 1).
     """
     first = 0 if side == "right" else 1
-    both = ref.select(F.col(ref_value).cast("double").alias("_v"), F.lit(first).alias("_own"), F.lit(None).cast("long").alias("_id")).where("_v IS NOT NULL")
-    own = values.withColumn("_id", F.monotonically_increasing_id())
-    marked = own.select(F.col(value).cast("double").alias("_v"), F.lit(1 - first).alias("_own"), "_id")
-    seen = ranked(both.union(marked).withColumn("_ref", F.col("_id").isNull().cast("int")), [F.col("_v"), F.col("_own"), F.col("_id")], running="_ref")
+    both = ref.select(F.col(ref_value).cast("double").alias("_v"), F.lit(first).alias("_own"), F.lit(1).alias("_ref")).where("_v IS NOT NULL")
+    asked = values.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").distinct().select("_v", F.lit(1 - first).alias("_own"), F.lit(0).alias("_ref"))
+    seen = ranked(both.union(asked), [F.col("_v"), F.col("_own")], running="_ref").where("_ref = 0").select(F.col("_v").alias("_value"), F.col("running").cast("long").alias("_under"))
     n = ref.where(F.col(ref_value).isNotNull()).count()
-    under = seen.where("_ref = 0").select(F.col("_id").alias("_key"), F.col("_v").alias("_value"), F.col("running").cast("long").alias("_under"))
-    equal = ref.groupBy(F.col(ref_value).cast("double").alias("_value")).agg(F.count("*").alias("_equal")) if side == "left" else None
-    if equal is not None:
-        under = under.join(equal, "_value", "left")
-        larger = F.lit(n) - F.col("_under") - F.coalesce("_equal", F.lit(0))
-    else:
-        larger = F.lit(n) - F.col("_under")
-    under = under.select("_key", (F.col("_under") / F.lit(float(max(n, 1))) * 100).alias("percentile"), larger.alias("larger"))
-    out = own.join(under, own["_id"] == under["_key"]).drop("_id", "_key")
+    larger = F.lit(n) - F.col("_under")
+    if side == "left":
+        equal = ref.groupBy(F.col(ref_value).cast("double").alias("_value")).agg(F.count("*").alias("_equal"))
+        seen, larger = seen.join(equal, "_value", "left"), larger - F.coalesce("_equal", F.lit(0))
+    under = seen.select("_value", (F.col("_under") / F.lit(float(max(n, 1))) * 100).alias("percentile"), larger.alias("larger"))
+    out = values.join(under, values[value].cast("double") == under["_value"], "left").drop("_value")
     return out if years is None else out.withColumn("return_years", F.lit(float(years)) / F.greatest("larger", F.lit(1)))
 
 

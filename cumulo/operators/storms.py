@@ -123,7 +123,7 @@ def storm_table(labelled: DataFrame, first_time: Column | None = None, extent: t
 
 def with_hierarchy(storms: DataFrame, tree: DataFrame) -> DataFrame:
     """``storms`` with n_substorms and max_substorm_persistence of their own peak's component, by identity."""
-    held = tree.select(F.col("survivor").alias("label"), F.size("absorbed").alias("n"), F.array_max(F.transform("absorbed", lambda c: c["birth"] - c["death"])).alias("p"))
+    held = tree.groupBy(F.col("survivor").alias("label")).agg(F.count("*").alias("n"), F.max(F.col("birth") - F.col("death")).alias("p"))
     joined = storms.join(held, "label", "left")
     return joined.withColumn("n_substorms", F.coalesce("n", F.lit(0))).withColumn("max_substorm_persistence", F.coalesce("p", F.lit(0.0))).drop("n", "p")
 

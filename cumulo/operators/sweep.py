@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,11 @@ from cumulo.operators.storms import storm_table
 from cumulo.plans.shared import materialize
 
 
+def month_bounds(year: int, month: int) -> tuple[date, date]:
+    """First and last day of a month."""
+    return date(year, month, 1), date(year, month, monthrange(year, month)[1])
+
+
 def sweep(vox: DataFrame, heights: list[float], min_voxels: int = 6, wet: float = 1.0, month: str = "all") -> DataFrame:
     """One row a prominence: storms, percolation, captured share, volumes, durations, areas, truncated share.
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cumulo.functions.columns import inside
 from cumulo.functions.constants import STEPS_PER_DAY
 from cumulo.operators import mergetree, segment, storms
 from cumulo.plans.shared import materialize
 
 
-def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominence: float = 4.0, min_voxels: int = 6, overlap_days: int = 1, grid: tuple[int, int] | None = None) -> DataFrame:
+def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominence: float = 4.0, min_voxels: int = 6, overlap_days: int = 1, grid: tuple[int, int] | None = None, built: DataFrame | None = None) -> DataFrame:
     """Storm catalogue of ``cube`` (day, t, y, x, r), t in half-hour steps from the epoch.
 
+    Months (year, month) in ``built`` are there already and aren't made again.
+
     Months are windows with ``overlap_days`` around them, as far as those exist.  They are laid end to end with a gap, so one
     run segments them all and no voxel touches another window's.  A storm belongs to the month of its weighted
     centroid; storms seen from a neighbouring window go.  A window padded on both sides truncates none in time.  ``grid``
@@ -21,6 +24,9 @@ def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominen
     if method not in ("mergetree", "watershed", "ccl"):
         raise ValueError(f"unknown method {method!r}")
     windows = storms.month_windows(cube.select("day").distinct(), overlap_days)
+    if built is not None:
+        done = built.select(F.make_date("year", "month", F.lit(1)).alias("window_start"))
+        windows = windows.join(done, "window_start", "left_anti")
     span = (31 + 2 * overlap_days) * STEPS_PER_DAY + 2
     number = F.months_between("window_start", F.lit("1970-01-01").cast("date")).cast("int")
     ends = materialize(
@@ -46,3 +52,17 @@ def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominen
     rows = rows.withColumn("truncated_time", (F.col("step0") == first) | (F.col("step0") + F.col("n_timesteps") == first + length))
     rows = storms.clear_time_truncation(storms.owned(rows)).withColumn("year", F.year("window_start")).withColumn("month", F.month("window_start"))
     return rows.drop("w", "shift", "step0", "first", "last", "window_start")
+
+
+def event(cube: DataFrame, first: str, last: str, bbox: tuple[float, float, float, float] | None = None, pad_days: int = 1, prominence: float = 4.0, min_voxels: int = 6, wet: float = 1.0) -> DataFrame:
+    """Storms of the days ``first`` to ``last`` segmented anew, with ``in_box``: the domain and a box from one segmentation.
+
+    The cube is padded by ``pad_days`` so that storms keep what lies over the ends; a storm belongs to the event if its weighted
+    centroid's day does, and to the box (lat0, lat1, lon0, lon1) by its weighted centroid.  Without a box every storm is in.
+    """
+    a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
+    near = cube.where(F.col("day").between(F.date_sub(a, pad_days), F.date_add(b, pad_days)))
+    vox = materialize(segment.voxels(near.select("t", "y", "x", "r"), wet), "voxels")
+    table = storms.storm_table(materialize(mergetree.segment_at(vox, prominence, min_voxels, wet), "labels"))
+    held = inside(F.col("wcentroid_lat"), F.col("wcentroid_lon"), bbox) if bbox else F.lit(True)
+    return table.where(F.to_date("wcentroid_time").between(a, b)).withColumn("in_box", held)

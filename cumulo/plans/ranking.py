@@ -40,7 +40,9 @@ def quantiles(df: DataFrame, column: str, levels: list[float]) -> DataFrame:
     rows = ranked(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [F.col("v")])
     asked = df.sparkSession.createDataFrame([(float(q),) for q in levels], "level double")
     place = F.col("level") * (F.col("total_rows") - 1)
-    near = rows.join(F.broadcast(asked), (F.col("rank") - 1 == F.floor(place)) | (F.col("rank") - 1 == F.ceil(place)))
+    at = lambda q: q * (F.col("total_rows") - 1)
+    near_by = F.filter(F.array(*[F.lit(float(q)) for q in levels]), lambda q: (F.col("rank") - 1 == F.floor(at(q))) | (F.col("rank") - 1 == F.ceil(at(q))))
+    near = rows.select("v", "rank", "total_rows", F.explode(near_by).alias("level"))
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     found = near.groupBy("level").agg((low + (high - low) * F.max(place - F.floor(place))).alias("value"))
     return asked.join(found, "level", "left")
@@ -50,14 +52,15 @@ def group_quantiles(df: DataFrame, by: str, column: str, levels: dict[str, float
     """(by, one column for each of ``levels``): linear-interpolated quantiles of the non-null values of each group, exact.
 
     For columns with as many different values as rows, where an aggregate would hold a whole group's values in one task.
-    Rows are dealt by range of group and value; counts by part and group, small, give each row its rank in its group.
+    Rows are dealt by range of group and value; counts by part and group, a row for each of the few groups that a part holds,
+    give each row its rank in its group.
     """
     rows = df.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("_v"))
     parts = materialize(rows.repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
     group = Window.partitionBy(by)
     sizes = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     shifts = sizes.select(by, "_part", F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n0"), F.sum("_n").over(group).alias("_total"))
-    place = parts.join(F.broadcast(shifts), [by, "_part"]).withColumn("_k", F.col("_n0") + F.row_number().over(Window.partitionBy("_part", by).orderBy("_v")) - 1)
+    place = parts.join(shifts, [by, "_part"]).withColumn("_k", F.col("_n0") + F.row_number().over(Window.partitionBy("_part", by).orderBy("_v")) - 1)
     at = {name: q * (F.col("_total") - 1) for name, q in levels.items()}
     near = [(F.col("_k") == F.floor(a)) | (F.col("_k") == F.ceil(a)) for a in at.values()]
     hit = near[0]

@@ -302,6 +302,9 @@ _LANDED = f"""{_MOVED}, {_LAND}, {_COAST}, ld AS (SELECT mv.storm_uid, landfall_
 query("q_leadtime", f"WITH {_LANDED} SELECT province, count(*) AS n, round(quantile_cont(hours_at_sea, 0.5), 6) AS median_lead_h, round(quantile_cont(hours_at_sea, 0.9), 6) AS p90_lead_h, round(quantile_cont(offshore_km_at_start, 0.5), 6) AS offshore_km FROM ld GROUP BY 1")(
     lambda spark, sf: geo.lead_times(_landed(spark, sf), "province")
 )
+query("q_top_provinces", f"WITH {_LANDED} SELECT province, count(*) AS n, round(quantile_cont(hours_at_sea, 0.5), 6) AS median_lead_h, round(quantile_cont(hours_at_sea, 0.9), 6) AS p90_lead_h, round(quantile_cont(offshore_km_at_start, 0.5), 6) AS offshore_km FROM ld WHERE province IS NOT NULL GROUP BY 1 ORDER BY n DESC, province LIMIT 14")(
+    lambda spark, sf: geo.top_provinces(_landed(spark, sf))
+)
 query("q_lead_histogram", f"WITH {_LANDED} SELECT least(hours_at_sea, 24e0) AS hours_at_sea, count(*) AS n FROM ld GROUP BY 1")(lambda spark, sf: geo.lead_histogram(_landed(spark, sf)))
 query("q_offshore_bands", f"""WITH {_LANDED} SELECT CASE WHEN offshore_km_at_start <= 15 THEN '(0, 15]' WHEN offshore_km_at_start <= 30 THEN '(15, 30]' WHEN offshore_km_at_start <= 50 THEN '(30, 50]' WHEN offshore_km_at_start <= 100 THEN '(50, 100]' ELSE '(100, 10000]' END AS band,
   count(*) AS n, round(quantile_cont(hours_at_sea, 0.5), 6) AS median_lead_h FROM ld WHERE offshore_km_at_start > 0 GROUP BY 1""")(lambda spark, sf: geo.offshore_bands(_landed(spark, sf)))
@@ -403,13 +406,20 @@ def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.sweep(_vox(spark, sf), [2.0, 4.0, 8.0], 2)
 
 
-_COUNTS = [("2020-12", h, n) for h, n in ((1.0, 900), (2.0, 700), (3.2, 480), (4.0, 400), (4.8, 390), (8.0, 200))] + [("2020-08", h, n) for h, n in ((3.2, 300), (4.0, 295), (4.8, 290))]
-query("q_stability", f"""WITH c(month, h, n) AS (VALUES {', '.join(f"('{m}', {h}e0, {n})" for m, h, n in _COUNTS)}), s AS (SELECT month, lag(h) OVER w AS h_from, h AS h_to, lag(n) OVER w AS n0, n AS n1 FROM c WINDOW w AS (PARTITION BY month ORDER BY h)),
-  d AS (SELECT *, (h_to - h_from) / h_from AS dh, (n1 - n0) / n0 AS dn FROM s WHERE h_from IS NOT NULL), p AS (SELECT month, max(n) FILTER (h = 3.2e0) AS n0, max(n) FILTER (h = 4.8e0) AS n1 FROM c GROUP BY 1)
+_HEIGHTS = (8.0, 16.0, 19.2, 20.0, 24.0, 28.8, 40.0)
+_COUNTS = f"""c AS (SELECT year || '-' || month AS month, h, count(*) AS n FROM cat, (VALUES {", ".join(f"({h}e0)" for h in _HEIGHTS)}) v(h) WHERE max_intensity_mm_hr >= h GROUP BY 1, 2)"""
+
+
+def _counts(cat: DataFrame) -> DataFrame:
+    """How many storms of each month reach each peak rate."""
+    reached = F.filter(F.array(*map(F.lit, _HEIGHTS)), lambda h: F.col("max_intensity_mm_hr") >= h)
+    return cat.select(F.concat_ws("-", "year", "month").alias("month"), F.explode(reached).alias("h")).groupBy("month", "h").agg(F.count("*").alias("n_storms"))
+
+
+query("q_stability", f"""WITH {CAT}, {_COUNTS}, s AS (SELECT month, lag(h) OVER w AS h_from, h AS h_to, lag(n) OVER w AS n0, n AS n1 FROM c WINDOW w AS (PARTITION BY month ORDER BY h)),
+  d AS (SELECT *, (h_to - h_from) / h_from AS dh, (n1 - n0) / n0 AS dn FROM s WHERE h_from IS NOT NULL), p AS (SELECT month, max(n) FILTER (h = 19.2e0) AS n0, max(n) FILTER (h = 28.8e0) AS n1 FROM c GROUP BY 1)
   SELECT month, h_from, h_to, round(dh, 3) AS d_h_frac, round(dn, 3) AS d_count_frac, CASE WHEN abs(dh) > 0.25 THEN 'n/a - step too big' WHEN abs(dn) < 0.1 THEN 'stable' ELSE 'UNSTABLE' END AS verdict FROM d
-  UNION ALL SELECT month, 3.2e0, 4.8e0, 0.4e0, round((n1 - n0) / n0, 3), CASE WHEN abs((n1 - n0) / n0) < 0.1 THEN 'STABLE over +/-20%' ELSE 'UNSTABLE over +/-20%' END FROM p WHERE n0 IS NOT NULL AND n1 IS NOT NULL""")(
-    lambda spark, sf: sweep.stability(spark.createDataFrame(_COUNTS, "month string, h double, n_storms int"))
-)
+  UNION ALL SELECT month, 19.2e0, 28.8e0, 0.4e0, round((n1 - n0) / n0, 3), CASE WHEN abs((n1 - n0) / n0) < 0.1 THEN 'STABLE over +/-20%' ELSE 'UNSTABLE over +/-20%' END FROM p WHERE n0 IS NOT NULL AND n1 IS NOT NULL""")(_cat(lambda c: sweep.stability(_counts(c), 24.0)))
 
 # --- catalogue upkeep and display ------------------------------------------------------------------------------------
 
@@ -448,7 +458,21 @@ def _regional_bias(cat: DataFrame) -> DataFrame:
 
 query("q_regional_severity", f"""WITH {CAT}, {_CLASS}, n AS (SELECT count(DISTINCT year * 100 + month) / 12e0 AS years FROM cat), r AS (SELECT CAST(((CAST(floor(wcentroid_lat / 2e0) + floor(wcentroid_lon / 2e0) AS INT) % 3) + 3) % 3 AS INT) AS region,
   count(*) FILTER (severity_index >= 4) AS notable FROM s WHERE NOT (truncated_time OR truncated_space) GROUP BY 1) SELECT region, notable, notable / years AS per_year, notable / max(notable) OVER () AS of_most FROM r, n""")(_cat(_regional_bias))
-query("q_area_windows")(_cat(lambda c: events.area_windows(c, {"box": BOX, "west": (-6.0, 2.0, 100.0, 108.0)}, EVENT)))
+_BOXES = {"box": BOX, "west": (-6.0, 2.0, 100.0, 108.0)}
+
+
+def _area_sql(name: str, bbox: events.Box, days: int) -> str:
+    """One area and window length: the window's total against annual maxima of trailing sums."""
+    held = f"wcentroid_lat BETWEEN {bbox[0]}e0 AND {bbox[1]}e0 AND wcentroid_lon BETWEEN {bbox[2]}e0 AND {bbox[3]}e0"
+    return f"""(WITH d AS (SELECT CAST(wcentroid_time AS DATE) AS day, {VOLSUM} AS v FROM cat WHERE {held} GROUP BY 1),
+  s AS (SELECT CAST(x AS DATE) AS day, coalesce(v, 0e0) AS volume_km3 FROM (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY)) AS x FROM d) LEFT JOIN d ON d.day = CAST(x AS DATE)),
+  w AS (SELECT day, CAST(sum(CAST(volume_km3 AS DECIMAL(30,10))) OVER (ORDER BY day RANGE BETWEEN INTERVAL {days - 1} DAY PRECEDING AND CURRENT ROW) AS DOUBLE) AS roll FROM s), a AS (SELECT max(roll) AS m FROM w GROUP BY year(day) HAVING count(*) >= 364),
+  v AS (SELECT coalesce({ES.format("volume_km3")}, 0e0) AS v FROM s WHERE day BETWEEN DATE '{EVENT[1]}' - INTERVAL {days - 1} DAY AND DATE '{EVENT[1]}'), o AS (SELECT v, count(m) AS n, coalesce(sum((m > v)::BIGINT), 0) + 1 AS rank, quantile_cont(m, 0.5) AS med FROM v LEFT JOIN a ON true GROUP BY v)
+  SELECT '{name}' AS area, {days} AS window_days, v AS value_km3, n AS n_years, CAST(rank AS BIGINT) AS rank, (n + 1) / rank AS return_years, CASE WHEN rank = 1 THEN 'highest in the record' WHEN rank > n / 2 THEN 'below the typical annual maximum'
+  ELSE 'about 1 in ' || CAST(round_even((n + 1) / rank, 0) AS INT) || ' years' END AS verdict, round(med, 9) AS median_km3, round(v / nullif(med, 0), 9) AS ratio_to_median FROM o)"""
+
+
+query("q_area_windows", f"WITH {CAT} " + " UNION ALL ".join(_area_sql(name, bbox, n) for name, bbox in _BOXES.items() for n in (1, 2, 3, 5, 7)))(_cat(lambda c: events.area_windows(c, _BOXES, EVENT)))
 
 
 def _band_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,7 +480,11 @@ def _band_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return events.band_sensitivity(fam, climatology.years_of(fam))
 
 
-query("q_band_sensitivity")(_band_sensitivity)
+query("q_band_sensitivity", f"""WITH RECURSIVE {_FAMS}, n AS (SELECT count(DISTINCT year * 100 + month) / 12e0 AS years, count(*) AS nf FROM f), p(lo, hi) AS (VALUES (500e0, 50e0), (200e0, 20e0), (100e0, 10e0), (50e0, 5e0), (20e0, 2e0)),
+  k AS (SELECT lo, hi, least(greatest(CAST(round_even(lo * years, 0) AS BIGINT), 1), nf) AS k0, least(greatest(CAST(round_even(hi * years, 0) AS BIGINT), 1), nf) AS k1 FROM p, n),
+  r AS (SELECT volume_km3 AS v, max_intensity_mm_hr AS i, row_number() OVER (ORDER BY volume_km3 DESC) AS rv, row_number() OVER (ORDER BY max_intensity_mm_hr DESC) AS ri FROM f),
+  e AS (SELECT lo, hi, max(v) FILTER (rv = k0) AS v0, max(v) FILTER (rv = k1) AS v1, max(i) FILTER (ri = k0) AS i0, max(i) FILTER (ri = k1) AS i1 FROM k, r GROUP BY lo, hi)
+  SELECT lo AS low_rate, hi AS high_rate, count(*) FILTER (volume_km3 < v0 AND max_intensity_mm_hr < i0) / count(*) AS lowest_share, count(*) FILTER (volume_km3 >= v1 AND max_intensity_mm_hr >= i1) / count(*) AS highest_share FROM e, f GROUP BY lo, hi""")(_band_sensitivity)
 
 
 def _top_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,4 +521,28 @@ def q_methods(spark: SparkSession, sf: str) -> DataFrame:
 @query("q_hierarchy")
 def q_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     components = materialize(mergetree.build(_vox(spark, sf))[0], "components")
-    return mergetree.hierarchy(components, 4.0).select("survivor", F.size("absorbed").alias("n_absorbed"))
+    return mergetree.hierarchy(components, 4.0).groupBy("survivor").agg(F.count("*").alias("n_absorbed"))
+
+
+query("q_family_uid", f"WITH RECURSIVE {_FAMS} SELECT fam, year || '-' || month || '-' || fam AS family_uid FROM f WHERE year = 2024")(lambda spark, sf: families.claimed(_families(spark, sf), 2024).select("fam", "family_uid"))
+
+
+def _thirds(cat: DataFrame) -> DataFrame:
+    """Storms with the lower corner of their cell and one of three fixed regions."""
+    return regions.on_grid(cat, 2.0).withColumn("region", F.pmod(F.floor(F.col("glat") / 2) + F.floor(F.col("glon") / 2), F.lit(3)).cast("int"))
+
+
+_THIRD = "CAST(((CAST(floor(wcentroid_lat / 2e0) + floor(wcentroid_lon / 2e0) AS INT) % 3) + 3) % 3 AS INT)"
+query("q_region_extents", f"""WITH {CAT}, g AS (SELECT *, floor(wcentroid_lat / 2e0) * 2e0 AS glat, floor(wcentroid_lon / 2e0) * 2e0 AS glon, {_THIRD} AS region FROM cat), r AS (SELECT region, count(DISTINCT (glat, glon)) AS cells, count(*) AS storms, {VOLSUM} AS volume_km3,
+  min(glat) AS lat_min, max(glat) + 2 AS lat_max, min(glon) AS lon_min, max(glon) + 2 AS lon_max FROM g GROUP BY region) SELECT *, volume_km3 / CAST(sum(CAST(volume_km3 AS DECIMAL(30,10))) OVER () AS DOUBLE) AS volume_share FROM r""")(_cat(lambda c: regions.extents(_thirds(c), 2.0)))
+query("q_domain_contrast", SQL["q_regional_contrast"] + " UNION ALL " + "(" + SQL["q_regional_contrast"].replace("CAST(((CAST(floor(glat / 2) + floor(glon / 2) AS INT) % 3) + 3) % 3 AS INT) AS region", "-1 AS region") + ")")(_cat(lambda c: regions.with_domain(_thirds(c))))
+
+
+def _region_of_storms(cat: DataFrame) -> DataFrame:
+    """The region of each storm's place, where only cells with 80 storms belong to one."""
+    cells = _thirds(cat).groupBy("glat", "glon").agg(F.count("*").alias("n"), F.first("region").alias("region")).where("n >= 80")
+    return regions.region_of(cat.select("storm_uid", "wcentroid_lat", "wcentroid_lon"), cells, "wcentroid_lat", "wcentroid_lon", 2.0).select("storm_uid", "region")
+
+
+query("q_region_of", f"""WITH {CAT}, g AS (SELECT *, floor(wcentroid_lat / 2e0) * 2e0 AS glat, floor(wcentroid_lon / 2e0) * 2e0 AS glon, {_THIRD} AS region FROM cat),
+  c AS (SELECT glat, glon, any_value(region) AS region FROM g GROUP BY 1, 2 HAVING count(*) >= 80) SELECT storm_uid, coalesce(c.region, -1) AS region FROM g LEFT JOIN c USING (glat, glon)""")(_cat(_region_of_storms))

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import subprocess
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -147,6 +150,41 @@ def write_catalogue(storms: DataFrame, path: str, parameters: dict) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product", "h", "year", "month").parquet(path)
 
 
+def write_meta(spark: SparkSession, path: str, parameters: dict) -> None:
+    """The parameters of a catalogue beside it, as ``<path>.meta.json``; numpy scalars become plain numbers."""
+    plain = {k: v.item() if isinstance(v, np.generic) else v for k, v in parameters.items()}
+    write_json(spark.createDataFrame([], "none int"), f"{path.rstrip('/')}.meta.json", plain)
+
+
+def write_table(rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Regions, families, transitions or diurnal bins as Parquet."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Daily totals or sweeps as CSV with a header; small results, one file."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def revision(folder: str = ".") -> str:
+    """Short git revision of a folder, with ``-dirty`` where files differ from it; ``unknown`` without git."""
+    try:
+        say = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True, timeout=10).stdout.strip()
+        return say("rev-parse", "--short", "HEAD") + ("-dirty" if say("status", "--porcelain") else "")
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+
+
+def archive_folder(candidates: list[str], variable: str = "CUMULO_ARCHIVE", pattern: str = "*.nc4") -> str:
+    """The folder named in the environment, or the candidate that holds most files; the first of equals."""
+    if os.environ.get(variable):
+        return os.environ[variable]
+    held = {c: sum(1 for _ in Path(c).rglob(pattern)) for c in candidates if Path(c).is_dir()}
+    if not held:
+        raise FileNotFoundError(f"no archive among {', '.join(candidates)}; set {variable}")
+    return max(held, key=held.get)
+
+
 def read_catalogue(spark: SparkSession, path: str, product: str = "final", h: float = 4.0, exclude_years: tuple[int, ...] = (), columns: list[str] | None = None) -> DataFrame:
     """Storms of one product and prominence; years and columns not asked for aren't read."""
     rows = spark.read.parquet(path).where((F.col("product") == product) & (F.col("h") == h))

@@ -1,5 +1,6 @@
 """Sources, sinks, the monthly build and the streams."""
 
+import json
 from datetime import date, datetime
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cumulo.operators import checks
-from cumulo.plans.build import build
+from cumulo.plans.build import build, event
 from cumulo.sources import archive
 from cumulo.streaming import rain
 
@@ -89,3 +90,36 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert spark.table("totals").count() == 3
     assert {r.steps for r in spark.table("spells").collect()} <= {2, 4} and rain.wet_spells(table).count() == 6
+
+
+def test_months_that_are_built_are_left_out(spark, cube):
+    first = spark.createDataFrame([(2020, 1)], "year int, month int")
+    assert [r.month for r in build(cube, "ccl", built=first).collect()] == [2]
+
+
+def test_an_event_is_segmented_once_with_its_ends_padded(spark, cube):
+    found = event(cube, "2020-01-31", "2020-02-01", (0.0, 5.0, 90.0, 110.0), min_voxels=2).collect()
+    assert [(r.n_timesteps, r.in_box) for r in found] == [(12, False)]
+    assert event(cube, "2020-01-26", "2020-01-26", min_voxels=2).first().in_box and event(cube, "2020-01-28", "2020-01-29", min_voxels=2).count() == 0
+
+
+def test_sidecars_tables_and_places(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/catalogue"
+    archive.write_meta(spark, path, {"prominence": np.float64(4.0), "min_voxels": np.int64(6), "method": "ccl"})
+    told = json.loads(spark.read.text(f"{path}.meta.json").first()[0])
+    assert told["meta"] == {"prominence": 4.0, "min_voxels": 6, "method": "ccl"} and told["rows"] == []
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string")
+    archive.write_table(rows, f"file://{tmp_path}/table", ("k",))
+    archive.write_csv(rows, f"file://{tmp_path}/csv")
+    assert spark.read.parquet(f"file://{tmp_path}/table").count() == 2 and spark.read.option("header", True).csv(f"file://{tmp_path}/csv").columns == ["n", "k"]
+    for name, n in (("few", 1), ("many", 3)):
+        (tmp_path / name).mkdir()
+        for k in range(n):
+            (tmp_path / name / f"{k}.nc4").write_bytes(b"")
+    monkeypatch.delenv("CUMULO_ARCHIVE", raising=False)
+    assert archive.archive_folder([str(tmp_path / "few"), str(tmp_path / "many"), str(tmp_path / "none")]).endswith("many")
+    with pytest.raises(FileNotFoundError):
+        archive.archive_folder([str(tmp_path / "none")])
+    monkeypatch.setenv("CUMULO_ARCHIVE", "/elsewhere")
+    assert archive.archive_folder([]) == "/elsewhere"
+    assert archive.revision(str(tmp_path)) == "unknown"

@@ -69,7 +69,7 @@ def test_two_peaks_split_and_fold(spark):
     assert mergetree.segment_at(vox, 5.0, 1).select("label").distinct().count() == 2
     assert mergetree.segment_at(vox, 9.0, 1).select("label").distinct().count() == 1
     assert segment.label_ccl(vox, 1).select("label").distinct().count() == 1
-    assert mergetree.hierarchy(tree, 9.0).first().absorbed[0].birth == 9.2
+    assert mergetree.hierarchy(tree, 9.0).first().birth == 9.2
 
 
 def test_corner_neighbours(spark):
@@ -210,3 +210,35 @@ def test_regions_follow_the_shapes(spark):
     got = regions.label_regions(regions.cluster(grid, 2, 2)).collect()
     assert {(r.glat % 2, r.region, r.peak_month) for r in got} == {(1.0, 0, 2), (0.0, 1, 7)}
     assert max(regions.choose_k(grid, 2, 3, 1), key=lambda x: x[1])[0] == 2
+
+
+def test_severity_without_a_reference(spark):
+    none = spark.createDataFrame([], "total_volume_km3 double, max_intensity_mm_hr double")
+    some = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], none.schema)
+    for years in (2.0, 12.0):
+        scale = severity.fit(none, years)
+        assert scale.volume == (None, None) and scale.storms == 0 and "no km3" in scale.describe()
+        assert [r.severity for r in severity.classify(some, scale).collect()] == [None, None]
+        assert severity.edges(spark, scale).where("volume_km3 IS NULL").count() == 2
+    fewer = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (None, 4.0)], none.schema)
+    assert severity.fit(fewer, 12.0, rate_bands=(1.0, 0.1)).volume == (1.0, 1.0)
+
+
+def test_percentiles_of_null_and_repeated_values(spark):
+    own = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, 9.0)], "id int, w double").repartition(3)
+    ref = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,), (3.0,)], "v double")
+    found = {r.id: (r.percentile, r.larger) for r in severity.percentile_of(own, ref, "w", "v").collect()}
+    assert found == {1: (75.0, 1), 2: (75.0, 1), 3: (None, None), 4: (100.0, 0)}
+    assert {r.id: r.percentile for r in severity.percentile_of(own, ref, "w", "v", side="left").collect()} == {1: 25.0, 2: 25.0, 3: None, 4: 100.0}
+
+
+def test_months_claims_and_percolation(spark):
+    from datetime import date
+
+    from cumulo.operators import climatology, sweep
+
+    assert sweep.month_bounds(2020, 2) == (date(2020, 2, 1), date(2020, 2, 29))
+    fam = spark.createDataFrame([(7, 2020, 12), (9, 2021, 1)], "fam long, year int, month int")
+    assert [r.family_uid for r in families.claimed(fam, 2020).collect()] == ["2020-12-7"] and families.claimed(fam).count() == 2
+    built = spark.createDataFrame([(0.1,), (0.1,), (0.3,), (0.6,), (None,)], "param_percolation_share double")
+    assert tuple(climatology.percolation_range(built).first()) == (0.1, 0.3, 0.6)
