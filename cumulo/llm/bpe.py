@@ -61,7 +61,6 @@ class BytePairs:
                     break
         self._fits: dict[int, bool] = {}
         self.words = _Words(self)
-        self.joined = pa.array(self.bytes_of, pa.binary())
 
     def _merge(self, piece: bytes, below: int) -> tuple[int, ...]:
         """Merges of least rank first, leftmost among equals, using ranks under ``below`` only."""
@@ -149,16 +148,6 @@ class BytePairs:
         """Ids of a whole text; each match of the pattern by itself."""
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.int32)
 
-    def decode(self, ids: pa.ListArray) -> pa.Array:
-        """Bytes of each list of ids."""
-        flat = ids.flatten()
-        if pa.types.is_null(flat.type) or not len(flat):
-            return pa.array([b""] * len(ids), pa.binary())
-        data = self.joined.cast(pa.large_binary()).take(flat)
-        ends = np.frombuffer(data.buffers()[1], np.int64)[: len(flat) + 1]
-        at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), data.buffers()[2]])
-
 
 class _Words(dict):
     """Memo: pre-token -> its ids as little-endian 32-bit bytes."""
@@ -178,8 +167,33 @@ class _Words(dict):
 @lru_cache(2)
 def load(path: str, pattern: str) -> BytePairs:
     """The vocabulary in a file of ``base64 rank`` lines; kept for the worker's later tasks."""
+    return BytePairs(_ranks(path), pattern)
+
+
+def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return BytePairs({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(2)
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each rank, all that decoding needs."""
+    ranks = _ranks(path)
+    found = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        found[rank] = token
+    return pa.array(found, pa.large_binary())
+
+
+def decoded(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """Bytes of each list of ids."""
+    flat = ids.flatten()
+    if pa.types.is_null(flat.type) or not len(flat):
+        return pa.array([b""] * len(ids), pa.binary())
+    data = tokens.take(flat)
+    ends = np.frombuffer(data.buffers()[1], np.int64)[: len(flat) + 1]
+    at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), data.buffers()[2]])
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -202,14 +216,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, `{ids_col}` array<int>")
 
 
-def decode(tokens: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
+def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """``(id_col, ids_col, bytes_col)``: the bytes that each list of ids stands for; a null list counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(vocabulary, pattern)
+        known = token_bytes(vocabulary)
         for b in batches:
             ids = b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, model.decode(ids).cast(pa.binary())], names=[id_col, ids_col, bytes_col])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, decoded(known, ids).cast(pa.binary())], names=[id_col, ids_col, bytes_col])
 
     own = tokens.select(id_col, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(ids_col))
     return own.mapInArrow(run, f"`{id_col}` long, `{ids_col}` array<int>, `{bytes_col}` binary")
@@ -220,7 +234,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
     vocabulary = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    back = decode(encode(docs, vocabulary, tokenizers.PATTERN), vocabulary, tokenizers.PATTERN)
+    back = decode(encode(docs, vocabulary, tokenizers.PATTERN), vocabulary)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -49,9 +49,9 @@ def test_bpe_is_tiktokens(encoder):
 def test_bpe_round_trip(docs, texts, empty, encoder):
     tokens = bpe.encode(docs, BPE, tokenizers.PATTERN)
     assert pairs_of(tokens.collect()) == sorted(((i, encoder.encode_ordinary(t or "")) for i, t in texts), key=str)
-    back = bpe.decode(tokens, BPE, tokenizers.PATTERN)
+    back = bpe.decode(tokens, BPE)
     assert pairs_of((r.doc_id, bytes(r.bytes)) for r in back.collect()) == sorted(((i, (t or "").encode()) for i, t in texts), key=str)
-    assert bpe.decode(bpe.encode(empty, BPE, tokenizers.PATTERN), BPE, tokenizers.PATTERN).collect() == []
+    assert bpe.decode(bpe.encode(empty, BPE, tokenizers.PATTERN), BPE).collect() == []
 
 
 # --- SimHash ---------------------------------------------------------------------------------------------------------
