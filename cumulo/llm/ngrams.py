@@ -150,10 +150,10 @@ def requests(made: DataFrame, n_buckets: int) -> DataFrame:
                 train, fit = block.counts((FIT, TUNE)), block.counts((FIT,))
                 bucket = ((block.keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    s = slice(edges[k], edges[k + 1])
-                    out = [[k], [row["block"]], [row["tune"]], [_deltas(block.keys[s])], [packed(train[s])], [packed(fit[s])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 3])], names=["bucket", "block", "tune", "keys", "train", "fit"])
+                cuts = [(k, slice(edges[k], edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+                for at in range(0, len(cuts), 64):
+                    out = [(k, row["block"], row["tune"], _deltas(block.keys[s]), packed(train[s]), packed(fit[s])) for k, s in cuts[at : at + 64]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 3])], names=["bucket", "block", "tune", "keys", "train", "fit"])
 
     return made.mapInArrow(run, "bucket int, block long, tune boolean, keys binary, train binary, fit binary")
 
