@@ -9,10 +9,10 @@ to disclose e.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulo.llm.spans import LOWER, UPPER, apart, count, joined, none, replaced, spans, where_present
+from cumulo.llm.spans import LOWER, SPAN, UPPER, apart, count, joined, replaced, spans, where_present
 from cumulo.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -24,6 +24,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _RUN = r"[\p{L}\p{N}]"
+PLACES = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:int>>"
 #: Beginnings longer than this are not tried as generalisations.
 LONGEST_BEGINNING = 32
 
@@ -96,12 +97,12 @@ def _key(id_col: str, text: Column) -> Column:
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row, h, entities, terms)`` of each document with personal data; terms are those outside of the pattern spans."""
+    """``(row, h, text, entities, terms)`` of each document with personal data; terms are those outside of the pattern spans."""
     own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.select(_key(id_col, F.col("text")).alias("h"), "text", base_spans(F.col("text")).alias("found")).where("size(found) > 0")
     entities = F.array_distinct(F.transform("found", _entity))
     plain = replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))
-    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "h", entities.alias("entities"), _terms(plain).alias("terms")), "mentions")
+    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "h", "text", entities.alias("entities"), _terms(plain).alias("terms")), "mentions")
 
 
 def held_entities(met: DataFrame, total: int) -> DataFrame:
@@ -136,7 +137,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Terms that disclose at least ``generalise`` of an entity's information, as two tables.
 
     ``(entity, term, n_te, n_t, n_e, share, removed, kept)``, and ``(h, terms)`` of each document that holds such a term and
-    its entity, h a hash of id and text, terms an array of (term, removed, kept).  share is
+    its entity, h a hash of id and text, terms the places of such terms with the characters that each keeps, -1 if it is removed.  share is
     log2(P(e | t) / P(e)) / log2(1 / P(e)) with the smoothed estimate of :func:`_share`, over documents: n(t,e) those with both,
     n(t) those with t anywhere, n(e) those with e.  Every document counts, and every term in it, however far from the entity.
     A term too common to reach the threshold for any entity of its document leaves before the pairs are made, which loses none.
@@ -147,7 +148,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     if not held.limit(1).count():
         none = spark.createDataFrame([], "entity string, term string, n_te long, n_t long, n_e long, share double, removed boolean, kept int")
-        return none, spark.createDataFrame([], "h long, terms array<struct<term:string,removed:boolean,kept:int>>")
+        return none, spark.createDataFrame([], f"h long, terms {PLACES}")
     every = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     everywhere = materialize(every, "everywhere")
     limits = held.groupBy("row").agg(F.max(_most(F.col("n_e"), total, prior, generalise)).alias("most"))
@@ -160,9 +161,25 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scored = materialize(scored.withColumn("removed", F.col("share") >= remove), "scored")
     kept = beginnings(scored, everywhere, total, prior, generalise)
     told = materialize(scored.join(kept, ["entity", "term"], "left").withColumn("kept", F.coalesce("kept", F.lit(0))), "disclosing")
-    marked = near.join(told.select("entity", "term", "removed", "kept"), ["entity", "term"])
-    marked = marked.groupBy("h", "term").agg(F.max("removed").alias("removed"), F.min("kept").alias("kept"))
-    return told, marked.groupBy("h").agg(F.collect_list(F.struct("term", "removed", "kept")).alias("terms"))
+    marked = near.join(told.select("entity", "term", F.when(F.col("removed"), -1).otherwise(F.col("kept")).alias("left")), ["entity", "term"])
+    marked = materialize(marked.groupBy("h", "term").agg(F.min("left").alias("left")), "marked")
+    return told, places(met, marked)
+
+
+def places(met: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(h, terms)``: where the terms of ``marked`` (h, term, left) stand in their documents, sorted.
+
+    A row a word of the documents that have any; a running sum of lengths, within a document, gives each word's start.
+    """
+    held = met.select("row", "h", "text").join(marked.select("h").distinct(), "h", "left_semi")
+    runs = F.lit(_RUN + "+")
+    both = F.arrays_zip(F.split("text", _RUN + "+", -1).alias("gap"), F.regexp_extract_all("text", runs, F.lit(0)).alias("hit"))
+    words = held.select("row", "h", F.posexplode(both).alias("n", "w")).select("row", "h", "n", F.col("w.hit").alias("value"), (F.length("w.gap") + F.coalesce(F.length("w.hit"), F.lit(0))).alias("size"))
+    end = F.sum("size").over(Window.partitionBy("row").orderBy("n")).cast("int")
+    words = words.withColumn("end", end).where("value IS NOT NULL").withColumn("term", F.translate("value", UPPER, LOWER))
+    found = words.join(marked, ["h", "term"])
+    place = F.struct((F.col("end") - F.length("value")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), "value", "left")
+    return found.groupBy("h").agg(F.sort_array(F.collect_set(place)).cast(PLACES).alias("terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_chars: int = 8_000_000, **thresholds: float) -> DataFrame:
@@ -178,23 +195,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [c for c in docs.columns if c not in ("pii_spans", "pii_text")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     each = materialize(disclosing_terms(docs, id_col, text_col, **thresholds)[1], "terms-by-document")
-    chars = F.aggregate("terms", F.lit(64).cast("long"), lambda n, x: n + F.length(x["term"]) + 16)
+    chars = F.aggregate("terms", F.lit(64).cast("long"), lambda n, x: n + F.length(x["value"]) + 48)
     if (each.agg(F.sum(chars)).first()[0] or 0) <= broadcast_chars:
         each = F.broadcast(each)
     # The row travels as one struct, so no name of its own can clash with a helper's.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), text.alias("text"), _key(id_col, text).alias("h"))
     rows = rows.join(each, "h", "left").withColumn("base", base_spans(F.col("text")))
-    pattern = F.concat(F.lit(rf"(?i)(?<!{_RUN})(?:"), F.array_join(F.transform("terms", lambda x: x["term"]), "|"), F.lit(rf")(?!{_RUN})"))
-    extra = F.when(F.col("terms").isNotNull(), apart(spans(F.col("text"), "term", len(KINDS), pattern), F.col("base"))).otherwise(none())
-    rows = rows.withColumn("found", F.sort_array(F.concat("base", extra)))
+    plain = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")], F.lit(None).cast("int").alias("left")))
+    rows = rows.withColumn("found", F.when(F.col("terms").isNull(), plain).otherwise(F.sort_array(F.concat(plain, apart(F.col("terms"), F.col("base"))))))
 
     def label(s: Column) -> Column:
-        known = F.get(F.filter("terms", lambda x: x["term"] == F.translate(s["value"], UPPER, LOWER)), F.lit(0))
-        general = F.when(known["kept"] > 0, F.concat(F.substring(s["value"], F.lit(1), known["kept"]), F.lit("…"))).otherwise(F.lit("[TERM]"))
-        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(known["removed"], F.lit("")).otherwise(general)
+        general = F.when(s["left"] > 0, F.concat(F.substring(s["value"], F.lit(1), s["left"]), F.lit("…"))).otherwise(F.lit("[TERM]"))
+        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["left"] < 0, F.lit("")).otherwise(general)
 
     clean = F.when(F.size("found") > 0, replaced(F.col("old"), F.col("found"), label)).otherwise(F.col("old"))
-    return rows.withColumn("clean", clean).select("row.*", F.col("found").alias("pii_spans"), F.col("clean").alias("pii_text"))
+    return rows.withColumn("clean", clean).select("row.*", F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")])).cast(SPAN).alias("pii_spans"), F.col("clean").alias("pii_text"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
