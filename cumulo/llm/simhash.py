@@ -60,13 +60,14 @@ def block_masks(max_bits: int, n_blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fps: DataFrame, max_bits: int = 4, n_blocks: int = 8, tile_rows: int = 1000) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 4, n_blocks: int = 8, tile_rows: int = 1000, task_rows: int = 20_000) -> DataFrame:
     """Spanning links ``(src, dst)`` between distinct fingerprints ``fp`` that differ in at most max_bits bits.
 
     Every bucket's own components are kept whole; the pairs themselves are not written.
     """
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(max_bits, n_blocks)]))
-    rows = fps.select("fp", keys.alias("t", "key"))
+    # Every fingerprint becomes a row a mask, so a small table is dealt to more tasks first.
+    rows = fps.select("fp").repartition(max(1, -(-fps.count() // task_rows)), "fp").select("fp", keys.alias("t", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, groups in whole_groups(batches, ["t", "key", "tile_a", "tile_b"]):
