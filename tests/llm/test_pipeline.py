@@ -1,8 +1,14 @@
 """The pipeline's stages on whole tables: what stays, what goes, and that the columns are those of documents."""
 
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from cumulo.llm import simhash
+from cumulo.llm import language, packing, simhash
 from cumulo.plans.shared import materialize
+from tests.llm import test_text_operators as plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,8 +33,24 @@ def test_stages_take_effect(spark):
     assert set(packed.doc_id) == set(kept["pii"]) and packed.groupby("sequence_id").length.sum().max() <= 1024
 
 
-def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+def test_run_is_plain_stages(spark):
+    """Every stage as loops over all documents, each on what the plain stage before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    encoders = language.Encoders(language.dictionaries(docs.where(~language.held_out())))
+    best = [(r.doc_id, r.text, *encoders.best(r.text)) for r in docs.collect()]
+    rows = [(i, t) for i, t, lang, margin in best if lang != "und" and margin >= 0.005]
+    parts = {(i, fp): c for i, fp, c in plain.plain_components([(i, plain.plain_fingerprint(t)) for i, t in rows], 4)}
+    rows = [(i, t) for i, t in rows if parts[i, plain.plain_fingerprint(t)] == i]
+    cut = dict(plain.plain_cut(rows))
+    rows = [(i, cut[i]) for i, t in rows if cut[i] == t or cut[i].strip(" ")]
+    _, terms = plain.plain_terms(rows)
+    rows = [(i, plain.plain_private(t, known)) for (i, t), known in zip(rows, terms)]
+    exact, wanted = Tokenizer.from_file(plain.JSON), []
+    for i, t in rows:
+        ids = np.array([*exact.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        wanted += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids), 1024))]
+    found = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted) and len({w[0] for w in wanted}) > 100
 
 
 def test_odd_rows_pass_every_stage(spark, docs, texts, empty):
