@@ -38,7 +38,7 @@ def pairs(storms: DataFrame, gap_h: float = 3.0, dist_km: float = 50.0) -> DataF
 
 def link(storms: DataFrame, gap_h: float = 3.0, dist_km: float = 50.0) -> DataFrame:
     """``storms`` with ``fam``, the least uid of the family; the whole record is linked at once."""
-    parts = connected_components(pairs(storms, gap_h, dist_km), "a", "b")
+    parts = connected_components(pairs(storms, gap_h, dist_km), "a", "b", near=True)
     return storms.join(parts, storms["storm_uid"] == parts["node"], "left").select(*storms.columns, F.coalesce("component", "storm_uid").alias("fam"))
 
 

@@ -42,7 +42,7 @@ def drop_small(labelled: DataFrame, min_voxels: int, label: str = "label") -> Da
 
 def label_ccl(vox: DataFrame, min_voxels: int = 6, connectivity: int = 26) -> DataFrame:
     """``vox`` with ``label``, the least id of the voxel's connected component; small components go."""
-    parts = connected_components(edges(vox, connectivity), "u", "v")
+    parts = connected_components(edges(vox, connectivity), "u", "v", near=True)
     labelled = vox.join(parts, vox["id"] == parts["node"], "left").select(*vox.columns, F.coalesce("component", "id").alias("label"))
     return drop_small(labelled, min_voxels)
 

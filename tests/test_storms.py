@@ -242,3 +242,29 @@ def test_months_claims_and_percolation(spark):
     assert [r.family_uid for r in families.claimed(fam, 2020).collect()] == ["2020-12-7"] and families.claimed(fam).count() == 2
     built = spark.createDataFrame([(0.1,), (0.1,), (0.3,), (0.6,), (None,)], "param_percolation_share double")
     assert tuple(climatology.percolation_range(built).first()) == (0.1, 0.3, 0.6)
+
+
+@pytest.mark.parametrize("chunk", [7, 500_000])
+def test_local_passes_change_nothing(spark, monkeypatch, chunk):
+    from cumulo.plans import local
+    from cumulo.plans.graph import connected_components
+    from cumulo.plans.pointers import follow
+
+    monkeypatch.setattr(local, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)]
+    edges = spark.createDataFrame([*pairs, (3, None)], "a long, b long").repartition(3)
+    want = dict(map(tuple, connected_components(edges, "a", "b").collect()))
+    assert dict(map(tuple, connected_components(edges, "a", "b", near=True).collect())) == want and want[260] == 200
+    named = edges.selectExpr("'n' || lpad(a, 4, '0') a", "'n' || lpad(b, 4, '0') b")
+    assert dict(map(tuple, connected_components(named, "a", "b", near=True).collect())) == {f"n{k:04}": f"n{v:04}" for k, v in want.items()}
+    next_of = {k: int(rng.integers(0, k)) for k in range(1, 150) if k % 17}
+    ends = {}
+    for k in next_of:
+        at = k
+        while at in next_of:
+            at = next_of[at]
+        ends[k] = at
+    table = spark.createDataFrame(list(next_of.items()), "node long, next long")
+    assert dict(map(tuple, follow(table.repartition(4)).collect())) == ends
+    assert follow(table.where("false")).count() == 0 and connected_components(edges.where("false"), "a", "b", near=True).count() == 0
