@@ -182,7 +182,7 @@ def places(met: DataFrame, marked: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.sort_array(F.collect_set(place)).cast(PLACES).alias("terms"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_chars: int = 8_000_000, **thresholds: float) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **thresholds: float) -> DataFrame:
     """``docs`` with ``pii_spans`` (start, rank, end, kind, value; code points, end exclusive) and ``pii_text``, the text without them.
 
     Spans are the pattern kinds and ``term``, sorted by start and then kind; a term counts only where it overlaps no
@@ -190,17 +190,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     [PHONE], a term that discloses most nothing, a term that discloses much its beginning that doesn't (``Zan…``), or
     [TERM] where it has none.  Null text has no spans and stays null.  Rows with equal id and text are treated alike; null ids
     are fine.  Every row and column stays; columns of the two names are replaced.  ``thresholds`` are those of
-    :func:`disclosing_terms`.  The terms by document are broadcast while they have at most ``broadcast_chars`` characters in all.
+    :func:`disclosing_terms`.  While at most ``broadcast_rows`` documents have terms, their hashes (8 bytes each) are broadcast and only
+    those documents are shuffled to their terms; beyond that all are.
     """
     names = [c for c in docs.columns if c not in ("pii_spans", "pii_text")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     each = materialize(disclosing_terms(docs, id_col, text_col, **thresholds)[1], "terms-by-document")
-    chars = F.aggregate("terms", F.lit(64).cast("long"), lambda n, x: n + F.length(x["value"]) + 48)
-    if (each.agg(F.sum(chars)).first()[0] or 0) <= broadcast_chars:
-        each = F.broadcast(each)
     # The row travels as one struct, so no name of its own can clash with a helper's.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("old"), text.alias("text"), _key(id_col, text).alias("h"))
-    rows = rows.join(each, "h", "left").withColumn("base", base_spans(F.col("text")))
+    if each.count() <= broadcast_rows:
+        known = F.broadcast(each.select("h"))
+        others = rows.join(known, "h", "left_anti").withColumn("terms", F.lit(None).cast(PLACES))
+        rows = rows.join(known, "h", "left_semi").join(each, "h").unionByName(others)
+    else:
+        rows = rows.join(each, "h", "left")
+    rows = rows.withColumn("base", base_spans(F.col("text")))
     plain = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")], F.lit(None).cast("int").alias("left")))
     rows = rows.withColumn("found", F.when(F.col("terms").isNull(), plain).otherwise(F.sort_array(F.concat(plain, apart(F.col("terms"), F.col("base"))))))
 

@@ -350,6 +350,7 @@ def test_pii_terms_are_the_plain_counts(spark, private):
     assert {t for _, t in found} == {t for _, t in wanted}  # entities of the same documents go by one name
     assert {t for _, t in wanted} >= {"zanzibarov", "bob", "lee", "quixotic", "tremolo"} and "birds" not in {t for _, t in wanted}
     rows = {(r.doc_id, r.text): r for r in pii.personal_data(docs).collect()}
+    assert rows == {(r.doc_id, r.text): r for r in pii.personal_data(docs, broadcast_rows=0).collect()}
     for (i, t), terms in zip(private, by_row):
         assert [(s.start, s.end) for s in rows[i, t].pii_spans if s.kind == "term"] == term_spans(t or "", terms)
         assert rows[i, t].pii_text == (None if t is None else plain_private(t, terms))
