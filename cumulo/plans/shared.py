@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that this process has written and not deleted.
+_written: set[str] = set()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,7 +27,9 @@ def shared_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/cumulo-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_root(spark)}/cumulo-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _written.add(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,10 +40,25 @@ def discard(df: DataFrame) -> None:
     files = df.inputFiles()
     if not files or "/cumulo-" not in files[0]:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    _delete(spark, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete every table that this process has written between steps, and say how many.
+
+    For long sessions: call it once results are written elsewhere, as results that are not may still read those tables.
+    """
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what nothing refers to any more: shuffle files of finished jobs go when its JVM collects their handles.
 

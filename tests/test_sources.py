@@ -123,3 +123,13 @@ def test_sidecars_tables_and_places(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("CUMULO_ARCHIVE", "/elsewhere")
     assert archive.archive_folder([]) == "/elsewhere"
     assert archive.revision(str(tmp_path)) == "unknown"
+
+
+def test_tables_between_steps_can_be_cleared(spark, tmp_path, monkeypatch):
+    from cumulo.plans import shared
+
+    monkeypatch.setattr(shared, "_written", set())
+    monkeypatch.setattr(shared, "shared_root", lambda spark: f"file://{tmp_path}")
+    shared.materialize(spark.range(3), "one")
+    assert shared.materialize(spark.range(4), "two").count() == 4 and len(list(tmp_path.iterdir())) == 2
+    assert shared.clear(spark) == 2 and not list(tmp_path.iterdir()) and shared.clear(spark) == 0
