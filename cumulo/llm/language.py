@@ -19,14 +19,17 @@ def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     """Raw dictionary content of each language: at most ``docs_per_lang`` of its different texts in lower case, cut at ``dict_bytes``.
 
     The sample is the texts of least hash, those of 200 to 20,000 characters first; rows with null text or language teach
-    nothing, ids don't matter, copies count once.  Hashes are ranked without their texts and with a limit in each task, so a
+    nothing, ids don't matter, copies count once.  Hashes are ranked without their texts, in parts of a language first, so a
     language that has most rows is no task's burden; the driver gets docs_per_lang texts a language, each cut at dict_bytes.
     """
     own = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     usual = F.length(text_col).between(200, 20_000).alias("usual")
     named = [F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")]
-    order = Window.partitionBy("lang").orderBy(F.desc("usual"), "h")
-    ranked = own.select(*named, usual).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("lang", "h")
+    least = own.select(*named, usual).distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):  # a language's least are among those of its parts, of which each is another task's
+        order = Window.partitionBy(*by).orderBy(F.desc("usual"), "h")
+        least = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).drop("n")
+    ranked = least.select("lang", "h")
     texts = own.select(*named, F.substring(text_col, 1, dict_bytes).alias("text")).join(F.broadcast(ranked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     found: dict[str, list[bytes]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
