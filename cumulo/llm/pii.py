@@ -27,6 +27,7 @@ _RUN = r"[\p{L}\p{N}]"
 PLACES = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:int>>"
 #: Beginnings longer than this are not tried as generalisations.
 LONGEST_BEGINNING = 32
+SALTS = 32
 
 
 def _digits(value: Column) -> Column:
@@ -130,7 +131,10 @@ def beginnings(disclosing: DataFrame, everywhere: DataFrame, total: int, prior:
     starts = enough.select("term", "n_t", F.explode(longest(F.length("term"))).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
     common = starts.join(tried.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.max("n_t").alias("n_s"))
     safe = _share(F.col("n_e"), F.col("n_s"), F.col("n_e"), total, prior) < generalise
-    return tried.join(common, "start").where(safe).groupBy("entity", "term").agg(F.max("k").alias("kept"))
+    # The first letters of all terms are few: a beginning's terms are dealt over salts, its one row of counts to each of them.
+    tried = tried.withColumn("salt", F.pmod(F.xxhash64("entity", "term"), F.lit(SALTS)))
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return tried.join(common, ["start", "salt"]).where(safe).groupBy("entity", "term").agg(F.max("k").alias("kept"))
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 10.0, generalise: float = 0.6, remove: float = 0.9) -> tuple[DataFrame, DataFrame]:
