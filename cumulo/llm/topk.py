@@ -139,20 +139,24 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
                 columns = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
+    found = "query long, query_id long, vec_id long, score long"
+
     def scan(first_shard: int, last_shard: int, bounds: DataFrame | None) -> DataFrame:
         nothing = F.lit(np.iinfo(np.int64).min)
         asked = queries.withColumn("kth", nothing) if bounds is None else queries.join(bounds, "row", "left").withColumn("kth", F.coalesce("kth", nothing))
         asked = hashed(asked, n_blocks, "block").groupBy("block", "dim").applyInPandas(block, "block int, dim int, rows binary, query_ids binary, kth binary, query_points binary")
         asked = materialize(asked, "blocks")
         shards, n = trees.where(F.col("shard").between(first_shard, last_shard)), last_shard - first_shard + 1
+        if n == 1:  # one shard has at most about shard_rows rows, so its tree goes to the blocks
+            return asked.repartition(n_blocks, "block", "dim").join(F.broadcast(shards), "dim").mapInArrow(run, found)
         sent = asked.withColumn("shard", F.explode(F.expr(f"sequence({first_shard}, {last_shard})"))).repartition(n, "shard", "dim")
-        return shards.repartition(n, "shard", "dim").join(sent, ["shard", "dim"]).mapInArrow(run, "query long, query_id long, vec_id long, score long")
+        return shards.repartition(n, "shard", "dim").join(sent, ["shard", "dim"]).mapInArrow(run, found)
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     first = materialize(scan(0, 0, None), "first")
     bounds = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
-    found = first.union(scan(1, n_shards - 1, bounds)) if n_shards > 1 else first
-    ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    every = first.union(scan(1, n_shards - 1, bounds)) if n_shards > 1 else first
+    ranked = every.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
