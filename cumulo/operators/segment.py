@@ -15,6 +15,10 @@ from cumulo.plans.graph import connected_components
 from cumulo.plans.ranking import ranked
 
 
+#: A threshold that every cell above 0 reaches.
+ANY_RAIN = 5e-324
+
+
 def voxels(cube: DataFrame, wet: float = 1.0) -> DataFrame:
     """(id, t, y, x, r) of the cube's cells at or over ``wet``; missing rates are dry.  The flat index uses the cube's extent."""
     size = cube.agg(F.max("y") + 1, F.max("x") + 1).first()

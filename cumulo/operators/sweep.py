@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from calendar import monthrange
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulo.functions.columns import exact_sum
 from cumulo.operators import mergetree
 from cumulo.operators.storms import storm_table
+from cumulo.plans.selection import select_quantiles
 from cumulo.plans.shared import materialize
 
 
@@ -22,31 +23,33 @@ def month_bounds(year: int, month: int) -> tuple[date, date]:
 def sweep(vox: DataFrame, heights: list[float], min_voxels: int = 6, wet: float = 1.0, month: str = "all") -> DataFrame:
     """One row a prominence: storms, percolation, captured share, volumes, durations, areas, truncated share.
 
-    The tree and the flooding graph are made once; each prominence only cuts them again.
+    The tree and the flooding graph are made once, one flood cuts them at all prominences, and one set of histograms gives
+    all quantiles.  A prominence that leaves no storm has a count of 0.
     """
     components, _ = mergetree.build(vox, wet)
-    components, flood, total = materialize(components, "components"), mergetree.Flood(vox), max(vox.count(), 1)
-    rows = []
-    for h in heights:
-        storms = storm_table(materialize(flood.cut(components, h, min_voxels), "labels"))
-        rows.append(
-            storms.agg(
-                F.lit(month).alias("month"),
-                F.lit(float(h)).alias("h"),
-                F.lit("mergetree").alias("method"),
-                F.count("*").alias("n_storms"),
-                F.coalesce(F.max("n_voxels") / F.sum("n_voxels"), F.lit(0.0)).alias("percolation"),
-                (F.coalesce(F.sum("n_voxels"), F.lit(0)) / total).alias("captured"),
-                F.sum("total_volume_km3").alias("vol_total_km3"),
-                F.expr("percentile(total_volume_km3, 0.5)").alias("vol_med_km3"),
-                F.expr("percentile(total_volume_km3, 0.95)").alias("vol_p95_km3"),
-                F.expr("percentile(duration_h, 0.5)").alias("dur_med_h"),
-                F.expr("percentile(duration_h, 0.95)").alias("dur_p95_h"),
-                F.expr("percentile(max_area_km2, 0.95)").alias("area_p95_km2"),
-                F.avg((F.col("truncated_time") | F.col("truncated_space")).cast("int")).alias("trunc_frac"),
-            )
-        )
-    return reduce(DataFrame.union, rows)
+    total, n = max(vox.count(), 1), len(heights)
+    asked = vox.sparkSession.createDataFrame([(k, float(h)) for k, h in enumerate(heights)], "k int, h double")
+    cut = mergetree.Flood(vox).cuts(materialize(components, "components"), heights, min_voxels).join(F.broadcast(asked), "h")
+    table = storm_table(materialize(cut.withColumn("label", F.col("label") * n + F.col("k")), "labels"))
+    storms = materialize(table.withColumn("k", F.pmod("label", F.lit(n)).cast("int")), "storms")
+    rows = storms.groupBy("k").agg(
+        F.count("*").alias("n_storms"),
+        (F.max("n_voxels") / F.sum("n_voxels")).alias("percolation"),
+        (F.sum("n_voxels") / total).alias("captured"),
+        exact_sum("total_volume_km3").alias("vol_total_km3"),
+        F.avg((F.col("truncated_time") | F.col("truncated_space")).cast("int")).alias("trunc_frac"),
+    )
+    wanted = {f"{name}_{level}_{unit}": (column, q) for name, unit, column, levels in _QUANTILES for level, q in levels}
+    rows = rows.join(select_quantiles(storms, wanted, ["k"]), "k")
+    known = asked.join(rows, "k", "left").fillna(0, ["n_storms", "percolation", "captured"])
+    return known.select(F.lit(month).alias("month"), "h", F.lit("mergetree").alias("method"), "n_storms", "percolation", "captured", "vol_total_km3", *wanted, "trunc_frac")
+
+
+_QUANTILES = (
+    ("vol", "km3", "total_volume_km3", (("med", 0.5), ("p95", 0.95))),
+    ("dur", "h", "duration_h", (("med", 0.5), ("p95", 0.95))),
+    ("area", "km2", "max_area_km2", (("p95", 0.95),)),
+)
 
 
 def stability(counts: DataFrame, nominal: float = 4.0) -> DataFrame:

@@ -34,11 +34,12 @@ def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominen
         .withColumn("w", number).withColumn("shift", F.col("w") * span - F.unix_date("first") * STEPS_PER_DAY),
         "windows",
     )
-    laid = cube.where(F.col("r") >= wet).join(windows, "day").join(ends.select("window_start", "shift"), "window_start").select((F.col("t") + F.col("shift")).cast("int").alias("t"), "y", "x", "r")
-    vox = materialize(segment.voxels(laid, wet), "voxels")
+    least = segment.ANY_RAIN if method == "watershed" else wet  # its seeds depend on the rain between peaks, however weak
+    laid = cube.where(F.col("r") >= least).join(windows, "day").join(ends.select("window_start", "shift"), "window_start").select((F.col("t") + F.col("shift")).cast("int").alias("t"), "y", "x", "r")
+    vox = materialize(segment.voxels(laid, least), "voxels")
     labelled = {
         "mergetree": lambda: mergetree.segment_at(vox, prominence, min_voxels, wet),
-        "watershed": lambda: mergetree.label_watershed(vox, prominence, min_voxels, wet),
+        "watershed": lambda: mergetree.label_watershed(vox, prominence, min_voxels, wet, F.floor(F.col("t") / span)),
         "ccl": lambda: segment.label_ccl(vox, min_voxels),
     }[method]()
     table = storms.storm_table(materialize(labelled, "labels"), extent=(2**31 - 1, *grid) if grid else None)

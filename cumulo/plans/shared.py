@@ -34,6 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_one_part(df: DataFrame) -> bool:
+    """Whether one task wrote all rows of a table made by :func:`materialize`."""
+    return len(df.inputFiles()) <= 1
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` once nothing will read it again."""
     spark = df.sparkSession

@@ -515,7 +515,9 @@ def q_methods(spark: SparkSession, sf: str) -> DataFrame:
     wetter = vox.where("r >= 5")
     rows = segment.method_row("components at 1 mm/h", segment.label_ccl(vox, 2), vox)
     rows = rows.union(segment.method_row("components at 5 mm/h", segment.label_ccl(wetter, 2), vox))
-    return rows.union(segment.method_row("merge tree at 4 mm/h", mergetree.segment_at(vox, 4.0, 2), vox))
+    rows = rows.union(segment.method_row("merge tree at 4 mm/h", materialize(mergetree.segment_at(vox, 4.0, 2), "labels"), vox))
+    field = materialize(segment.voxels(adapters.cube(spark, sf), segment.ANY_RAIN), "field")
+    return rows.union(segment.method_row("watershed at 4 mm/h", materialize(mergetree.label_watershed(field, 4.0, 2), "labels"), vox))
 
 
 @query("q_hierarchy")

@@ -1,5 +1,7 @@
 """Known answers and plain versions for the object operators."""
 
+import heapq
+
 import numpy as np
 import pytest
 
@@ -49,6 +51,98 @@ def test_merge_tree_is_the_sweeps(spark, seed):
     assert {(r.comp_id, r.birth, r.death, r.parent) for r in components.collect()} == swept(values, 1.0)
 
 
+def near(place, shape, steps):
+    for step in steps:
+        p = place + step
+        if (p >= 0).all() and (p < shape).all():
+            yield int(np.ravel_multi_index(p, shape))
+
+
+SIDES = [np.array(s) - 1 for s in np.ndindex(3, 3, 3) if np.abs(np.array(s) - 1).sum() == 1]
+AROUND = [np.array(s) - 1 for s in np.ndindex(3, 3, 3) if s != (1, 1, 1)]
+
+
+def flooded(values, markers, wet):
+    """Labels by a queue ordered by rate, then place: who leaves it labels its neighbours, which enter it."""
+    flat, labels = values.ravel(), dict(markers)
+    queue = [(-flat[i], i) for i in markers]
+    heapq.heapify(queue)
+    while queue:
+        _, i = heapq.heappop(queue)
+        for j in near(np.array(np.unravel_index(i, values.shape)), values.shape, SIDES):
+            if flat[j] >= wet and j not in labels:
+                labels[j] = labels[i]
+                heapq.heappush(queue, (-flat[j], j))
+    return labels
+
+
+def reconstructed(values, h):
+    """Grey reconstruction by dilation of the field lowered by h, under the field."""
+    flat, out = values.ravel(), values.ravel() - h
+    while True:
+        new = np.array([min(flat[i], max([out[i], *(out[j] for j in near(np.array(np.unravel_index(i, values.shape)), values.shape, AROUND))])) for i in range(flat.size)])
+        if np.array_equal(new, out):
+            return out
+        out = new
+
+
+def rains(seed, cubes=10):
+    """Cubes end to end, a dry step between them; every second one on a coarse scale with many equal neighbours, one a plateau, drizzle between."""
+    rng, parts = np.random.default_rng(seed), []
+    for k in range(10 - cubes, 10):
+        one = rng.gamma(1.2, 2.5, (3, 6, 5))
+        one = np.round(one) if k % 2 else one
+        one = np.where(rng.random(one.shape) < 0.3, 0.4, one) if k > 5 else one
+        if k == 9:
+            one[:, 1:4, 1:4] = 7
+        parts += [one, np.zeros((1, 6, 5))]
+    return np.concatenate(parts)
+
+
+@pytest.mark.parametrize(("chunk", "cubes"), [(60, 2), (500_000, 10)])
+def test_flood_is_the_queues(spark, monkeypatch, chunk, cubes):
+    from cumulo.plans import local
+
+    monkeypatch.setattr(local, "CHUNK", chunk)
+    values = rains(chunk, cubes)
+    vox = segment.voxels(cube_of(spark, values)).cache()
+    components = mergetree.build(vox)[0].cache()
+    assert {(r.comp_id, r.birth, r.death, r.parent) for r in components.collect()} == swept(values, 1.0)
+    found = mergetree.Flood(vox).cuts(components, [1.0, 4.0], 1).collect()
+    for h in (1.0, 4.0):
+        peaks = {r.comp_id: r.comp_id for r in mergetree.survivors(components, h).collect()}
+        mine = {r.id: r.label for r in found if r.h == h}
+        assert mine == flooded(values, peaks, 1.0) and sum(r.h == h for r in found) == len(mine)
+
+
+def test_watershed_is_the_reconstructions(spark):
+    values = np.round(rains(4), 1)
+    field = segment.voxels(cube_of(spark, values), segment.ANY_RAIN).cache()
+    for h in (3.0, 30.0):
+        seed = (values.ravel() - reconstructed(values, h) >= h - 1e-9) & (values.ravel() >= 1.0)
+        labels = {}
+        for i in np.flatnonzero(seed):
+            todo = [int(i)] if int(i) not in labels else []
+            while todo:
+                at = todo.pop()
+                labels[at] = int(i)
+                todo += [j for j in near(np.array(np.unravel_index(at, values.shape)), values.shape, AROUND) if seed[j] and j not in labels]
+        assert {r.id: r.label for r in mergetree.seeds(field, h).collect()} == labels
+        assert {r.id: r.label for r in mergetree.label_watershed(field, h, 1).collect()} == flooded(values, labels, 1.0)
+
+
+def test_watershed_seeds_storms_on_dry_ground(spark):
+    values = np.zeros((1, 3, 12))
+    values[0, 1, 1:4] = [4, 10, 3]
+    values[0, 1, 7:10] = [2, 4.5, 1.5]
+    field = segment.voxels(cube_of(spark, values), segment.ANY_RAIN).cache()
+    assert mergetree.label_watershed(field, 4.0, 1).groupBy("label").count().count() == 2
+    assert mergetree.label_watershed(field, 5.0, 1).groupBy("label").count().count() == 1
+    drizzle = segment.voxels(cube_of(spark, np.where(values == 0, 0.8, values)), segment.ANY_RAIN).cache()
+    assert mergetree.label_watershed(drizzle, 4.0, 1).groupBy("label").count().count() == 1
+    assert mergetree.label_watershed(field.where("r < 1"), 4.0, 1).count() == 0
+
+
 def test_cut_partitions_and_counts_fall_with_height(spark):
     values = np.random.default_rng(5).gamma(1.2, 2.5, (4, 6, 6))
     vox = segment.voxels(cube_of(spark, values)).cache()
