@@ -391,19 +391,43 @@ query("q_storm_table", f"""WITH RECURSIVE {_CCL}, {_STEPS}, ex AS (SELECT min(t)
 )
 
 
-@query("q_merge_tree")
-def q_merge_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return mergetree.build(_vox(spark, sf))[0]
+_SIZE = "sz AS (SELECT max(y) + 1 AS ny, max(x) + 1 AS nx FROM cube)"
 
 
-@query("q_segment_at")
-def q_segment_at(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.numbered(materialize(mergetree.segment_at(_vox(spark, sf), 4.0, 2), "labels")).select("id", "t", "y", "x", "r", "storm_id")
+def _keyed(name: str, least: str) -> str:
+    """Voxels ``name`` with k, their place by rate and falling id, and pairs of neighbours ``{name}_n`` of which ``side`` share a side."""
+    return f"""{name} AS (SELECT *, row_number() OVER (ORDER BY r, id DESC) AS k FROM (SELECT (t::BIGINT * ny + y) * nx + x AS id, t, y, x, r FROM cube, sz WHERE {least})),
+  {name}_n AS (SELECT a.k AS a, b.k AS b, abs(a.t - b.t) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AS side FROM {name} a JOIN {name} b ON b.t BETWEEN a.t - 1 AND a.t + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.k <> b.k)"""
 
 
-@query("q_sweep")
-def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return sweep.sweep(_vox(spark, sf), [2.0, 4.0, 8.0], 2)
+def _flooded(markers: str) -> str:
+    """``lab``: voxels of v with h and label, from the markers (h, k, label): best passages, then pointers to whoever passes them on."""
+    return f"""m AS ({markers}), f(h, k, l) AS (SELECT h, k, k FROM m UNION SELECT h, e.b, least(f.l, e.b) FROM f JOIN v_n e ON f.k = e.a AND e.side), p AS (SELECT h, k, max(l) AS l FROM f GROUP BY 1, 2),
+  up AS (SELECT p.h, p.k, CASE WHEN p.l < p.k THEN p.l ELSE max(q.l) END AS nxt FROM p LEFT JOIN v_n e ON e.a = p.k AND e.side LEFT JOIN p q ON q.h = p.h AND q.k = e.b WHERE (p.h, p.k) NOT IN (SELECT (h, k) FROM m) GROUP BY p.h, p.k, p.l),
+  g(h, k, z) AS (SELECT h, k, k FROM p UNION SELECT g.h, g.k, up.nxt FROM g JOIN up ON up.h = g.h AND up.k = g.z), fl AS (SELECT g.h, v.*, label FROM g JOIN m ON m.h = g.h AND m.k = g.z JOIN v ON v.k = g.k),
+  lab AS (SELECT * FROM fl QUALIFY count(*) OVER (PARTITION BY h, label) >= 2)"""
+
+
+_TREE = f"""{CUBE}, {_SIZE}, {_keyed("v", "r >= 1")},
+  w(a, b, l) AS (SELECT k, k, k FROM v WHERE k NOT IN (SELECT a FROM v_n WHERE b > a) UNION SELECT w.a, e.b, least(w.l, e.b) FROM w JOIN v_n e ON w.b = e.a), bn AS (SELECT a, b, max(l) AS l FROM w GROUP BY 1, 2),
+  sd AS (SELECT a, max(l) FILTER (b > a) AS s FROM bn GROUP BY a), pk AS (SELECT sd.a, max(bn.b) AS p FROM sd JOIN bn ON bn.a = sd.a AND bn.l >= sd.s GROUP BY sd.a),
+  tree AS (SELECT v.k, v.id AS comp_id, v.r AS birth, coalesce(d.r, 1e0) AS death, coalesce(q.id, -1) AS parent, v.r - coalesce(d.r, 1e0) AS persistence FROM sd JOIN v ON v.k = sd.a LEFT JOIN v d ON d.k = sd.s LEFT JOIN pk ON pk.a = sd.a LEFT JOIN v q ON q.k = pk.p)"""
+
+
+def _survivors(heights: str) -> str:
+    return _flooded(f"SELECT h, k, comp_id AS label FROM tree, (VALUES {heights}) x(h) WHERE persistence >= h OR parent < 0")
+
+
+query("q_merge_tree", f"WITH RECURSIVE {_TREE} SELECT comp_id, birth, death, parent, persistence FROM tree")(lambda spark, sf: mergetree.build(_vox(spark, sf))[0])
+query("q_segment_at", f"WITH RECURSIVE {_TREE}, {_survivors('(4e0)')} SELECT id, t, y, x, r, CAST(dense_rank() OVER (ORDER BY label) AS INT) AS storm_id FROM lab")(
+    lambda spark, sf: segment.numbered(materialize(mergetree.segment_at(_vox(spark, sf), 4.0, 2), "labels")).select("id", "t", "y", "x", "r", "storm_id")
+)
+query("q_sweep", f"""WITH RECURSIVE {_TREE}, {_survivors('(2e0), (4e0), (8e0)')}, ex AS (SELECT min(t) AS t0, max(t) AS t1, max(y) AS y1, max(x) AS x1 FROM lab), ar AS (SELECT h, label, max(a) AS area FROM (SELECT h, label, t, sum({AREA}) / 1e6 AS a FROM lab GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  o AS (SELECT lab.h, lab.label, count(*) AS n, sum({VOL}) AS vol, (max(t) - min(t) + 1) * 0.5e0 AS dur, any_value(area) AS area, (min(t) = any_value(t0) OR max(t) = any_value(t1) OR min(y) = 0 OR max(y) = any_value(y1) OR min(x) = 0 OR max(x) = any_value(x1))::INT AS trunc FROM lab JOIN ar ON ar.h = lab.h AND ar.label = lab.label, ex GROUP BY 1, 2)
+  SELECT 'all' AS month, h, 'mergetree' AS method, count(*) AS n_storms, max(n) / sum(n) AS percolation, sum(n) / (SELECT count(*) FROM v) AS captured, round({ES.format('vol')}, 6) AS vol_total_km3, round(quantile_cont(vol, 0.5), 9) AS vol_med_km3, round(quantile_cont(vol, 0.95), 9) AS vol_p95_km3,
+  quantile_cont(dur, 0.5) AS dur_med_h, quantile_cont(dur, 0.95) AS dur_p95_h, round(quantile_cont(area, 0.95), 6) AS area_p95_km2, avg(trunc) AS trunc_frac FROM o GROUP BY h""")(
+    lambda spark, sf: _rounded(sweep.sweep(_vox(spark, sf), [2.0, 4.0, 8.0], 2), vol_total_km3=6, vol_med_km3=9, vol_p95_km3=9, area_p95_km2=6)
+)
 
 
 _HEIGHTS = (8.0, 16.0, 19.2, 20.0, 24.0, 28.8, 40.0)
@@ -509,8 +533,7 @@ def _density(spark: SparkSession, sf: str) -> DataFrame:
 query("q_relative_density", f"WITH {TRK}, p AS (SELECT {latsql('lat')} AS y, {lonsql('lon')} AS x FROM trk) SELECT (count(*) FILTER (y BETWEEN 60 AND 99 AND x BETWEEN 100 AND 199) / 4000) / (count(*) / 85904) AS relative_density FROM p")(_density)
 
 
-@query("q_methods")
-def q_methods(spark: SparkSession, sf: str) -> DataFrame:
+def _methods(spark: SparkSession, sf: str) -> DataFrame:
     vox = _vox(spark, sf)
     wetter = vox.where("r >= 5")
     rows = segment.method_row("components at 1 mm/h", segment.label_ccl(vox, 2), vox)
@@ -520,12 +543,30 @@ def q_methods(spark: SparkSession, sf: str) -> DataFrame:
     return rows.union(segment.method_row("watershed at 4 mm/h", materialize(mergetree.label_watershed(field, 4.0, 2), "labels"), vox))
 
 
-@query("q_hierarchy")
-def q_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+def _method(name: str, ctes: str) -> str:
+    return f"(WITH RECURSIVE {ctes}, s AS (SELECT label, count(*) AS n FROM lab GROUP BY label) SELECT '{name}' AS method, count(*) AS storms, coalesce(max(n) / sum(n), 0e0) AS largest_share, coalesce(sum(n), 0) / (SELECT count(*) FROM cube WHERE r >= 1) AS captured FROM s)"
+
+
+#: Seeds: wet, and no strictly higher voxel is reached without falling 4 below; any other part of the field is reached at 0.
+_SEEDS = f"""{CUBE}, {_SIZE}, {_keyed("u", "r > 0")}, {_keyed("v", "r >= 1")}, w(a, b, l) AS (SELECT k, k, k FROM u WHERE r >= 1 AND k NOT IN (SELECT e.a FROM u_n e JOIN u x ON x.k = e.a JOIN u y ON y.k = e.b WHERE y.r > x.r) UNION SELECT w.a, e.b, least(w.l, e.b) FROM w JOIN u_n e ON w.b = e.a),
+  bn AS (SELECT a, b, max(l) AS l FROM w GROUP BY 1, 2), fall AS (SELECT bn.a, any_value(x.r) AS r, coalesce(max(z.r) FILTER (y.r > x.r), 0e0) AS s FROM bn JOIN u x ON x.k = bn.a JOIN u y ON y.k = bn.b JOIN u z ON z.k = bn.l GROUP BY bn.a),
+  se AS (SELECT u.id, u.k FROM fall JOIN u ON u.k = fall.a WHERE fall.r - fall.s >= 4 OR fall.r = (SELECT max(r) FROM u)), sg(a, b) AS (SELECT k, k FROM se UNION SELECT sg.a, e.b FROM sg JOIN u_n e ON e.a = sg.b JOIN se ON se.k = e.b),
+  sl AS (SELECT sg.a, min(se.id) AS label FROM sg JOIN se ON se.k = sg.b GROUP BY sg.a)"""
+query("q_methods", " UNION ALL ".join([
+    _method("components at 1 mm/h", _CCL), _method("components at 5 mm/h", _CCL.replace("WHERE r >= 1)", "WHERE r >= 5)")), _method("merge tree at 4 mm/h", f"{_TREE}, {_survivors('(4e0)')}"),
+    _method("watershed at 4 mm/h", f"{_SEEDS}, {_flooded('SELECT 4e0 AS h, v.k, sl.label FROM sl JOIN u ON u.k = sl.a JOIN v ON v.id = u.id')}"),
+]).replace("(WITH", "SELECT * FROM (WITH"))(_methods)
+
+
+def _absorbed(spark: SparkSession, sf: str) -> DataFrame:
     components = materialize(mergetree.build(_vox(spark, sf))[0], "components")
     return mergetree.hierarchy(components, 4.0).groupBy("survivor").agg(F.count("*").alias("n_absorbed"))
 
 
+query("q_hierarchy", f"""WITH RECURSIVE {_TREE}, a(comp_id, z) AS (SELECT comp_id, comp_id FROM tree UNION SELECT a.comp_id, t.parent FROM a JOIN tree t ON t.comp_id = a.z WHERE t.persistence < 4 AND t.parent >= 0)
+  SELECT z AS survivor, count(*) AS n_absorbed FROM a JOIN tree t ON t.comp_id = a.z WHERE (t.persistence >= 4 OR t.parent < 0) AND a.comp_id <> z GROUP BY z""")(_absorbed)
+
+
 query("q_family_uid", f"WITH RECURSIVE {_FAMS} SELECT fam, year || '-' || month || '-' || fam AS family_uid FROM f WHERE year = 2024")(lambda spark, sf: families.claimed(_families(spark, sf), 2024).select("fam", "family_uid"))
 
 
