@@ -9,6 +9,8 @@ to disclose e.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _RUN = r"[\p{L}\p{N}]"
 PLACES = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:int>>"
-#: Beginnings longer than this are not tried as generalisations.
-LONGEST_BEGINNING = 32
-SALTS = 32
+#: Beginnings are tried up to this length first; only terms that may keep all of it go on to twice the length, and so on.
+FIRST_BEGINNINGS = 32
+SALTS, NEAR_SALTS = 32, 8
 
 
 def _digits(value: Column) -> Column:
@@ -114,7 +116,15 @@ def held_entities(met: DataFrame, total: int) -> DataFrame:
     places = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("places")
     sets = held.groupBy("entity").agg(F.count("*").alias("n_e"), places).where(F.col("n_e") < total)
     named = sets.join(sets.groupBy("n_e", "places").agg(F.min("entity").alias("least")), ["n_e", "places"])
-    return materialize(held.join(named, "entity").select("row", F.col("least").alias("entity"), "n_e").distinct(), "entities")
+    # An entity may stand in a third of all documents: its rows are dealt over salts, its name goes to each of them.
+    held = held.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(NEAR_SALTS)))
+    met_again = held.join(_salted(named, NEAR_SALTS), ["entity", "salt"])
+    return materialize(met_again.select("row", F.col("least").alias("entity"), "n_e").distinct(), "entities")
+
+
+def _salted(df: DataFrame, n: int) -> DataFrame:
+    """``df`` once for each of ``n`` salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
 
 
 def beginnings(disclosing: DataFrame, everywhere: DataFrame, total: int, prior: float, generalise: float) -> DataFrame:
@@ -124,17 +134,29 @@ def beginnings(disclosing: DataFrame, everywhere: DataFrame, total: int, prior:
     the entity were among them, it would disclose less than ``generalise``.  Terms that stand in too few documents to make a
     beginning safe even for an entity of one document are left out before their beginnings are made, which changes nothing.
     """
-    longest = lambda n: F.sequence(F.lit(1), F.least(n, F.lit(LONGEST_BEGINNING)))
-    tried = disclosing.where("NOT removed AND length(term) > 1").select("entity", "term", "n_e", F.explode(longest(F.length("term") - 1)).alias("k"))
-    tried = tried.withColumn("start", F.expr("substring(term, 1, k)"))
     enough = everywhere.where(F.col("n_t") > _most(F.lit(1.0), total, prior, generalise))
-    starts = enough.select("term", "n_t", F.explode(longest(F.length("term"))).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
+    open_ = disclosing.where("NOT removed AND length(term) > 1").select("entity", "term", "n_e")
+    found, least, most = [], 1, FIRST_BEGINNINGS
+    while True:
+        # Longer beginnings are rarer, so a term that may not keep ``most`` characters may keep no more.
+        kept = materialize(_kept(open_, enough, least, most, total, prior, generalise), "beginnings")
+        found.append(kept.drop("n_e"))
+        open_ = kept.where(f"kept = {most} AND length(term) > {most + 1}").select("entity", "term", "n_e")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, found).groupBy("entity", "term").agg(F.max("kept").alias("kept"))
+        least, most = most + 1, 2 * most
+
+
+def _kept(tried: DataFrame, enough: DataFrame, least: int, most: int, total: int, prior: float, generalise: float) -> DataFrame:
+    """``(entity, term, n_e, kept)`` of the terms that may keep a beginning of ``least`` to ``most`` characters."""
+    lengths = lambda n: F.explode(F.filter(F.sequence(F.lit(least), F.greatest(F.least(n, F.lit(most)), F.lit(least))), lambda k: k <= n))
+    tried = tried.select("*", lengths(F.length("term") - 1).alias("k")).withColumn("start", F.expr("substring(term, 1, k)"))
+    starts = enough.select("term", "n_t", lengths(F.length("term")).alias("k")).select(F.expr("substring(term, 1, k)").alias("start"), "n_t")
     common = starts.join(tried.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.max("n_t").alias("n_s"))
     safe = _share(F.col("n_e"), F.col("n_s"), F.col("n_e"), total, prior) < generalise
     # The first letters of all terms are few: a beginning's terms are dealt over salts, its one row of counts to each of them.
     tried = tried.withColumn("salt", F.pmod(F.xxhash64("entity", "term"), F.lit(SALTS)))
-    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return tried.join(common, ["start", "salt"]).where(safe).groupBy("entity", "term").agg(F.max("k").alias("kept"))
+    return tried.join(_salted(common, SALTS), ["start", "salt"]).where(safe).groupBy("entity", "term", "n_e").agg(F.max("k").alias("kept"))
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 10.0, generalise: float = 0.6, remove: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +172,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = docs.count()
     held = held_entities(met, total)
     spark = docs.sparkSession
-    if not held.limit(1).count():
+    if held.isEmpty():
         none = spark.createDataFrame([], "entity string, term string, n_te long, n_t long, n_e long, share double, removed boolean, kept int")
         return none, spark.createDataFrame([], f"h long, terms {PLACES}")
     every = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
@@ -158,7 +180,9 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     limits = held.groupBy("row").agg(F.max(_most(F.col("n_e"), total, prior, generalise)).alias("most"))
     rare = everywhere.where(F.col("n_t") <= (limits.agg(F.max("most")).first()[0] or 0))
     own = met.join(limits, "row").select("row", "h", "most", F.explode("terms").alias("term"))
-    near = own.join(rare, "term").where("n_t <= most").join(held, "row").where(F.col("n_t") <= _most(F.col("n_e"), total, prior, generalise))
+    # A document's terms are dealt over salts and meet its entities in each of them.
+    own = own.join(rare, "term").where("n_t <= most").withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(NEAR_SALTS)))
+    near = own.join(_salted(held, NEAR_SALTS), ["row", "salt"]).where(F.col("n_t") <= _most(F.col("n_e"), total, prior, generalise))
     near = materialize(near.select("h", "entity", "n_e", "term", "n_t"), "near")
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
     scored = pairs.withColumn("share", _share(F.col("n_te"), F.col("n_t"), F.col("n_e"), total, prior)).where(F.col("share") >= generalise)
@@ -173,17 +197,17 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def places(met: DataFrame, marked: DataFrame) -> DataFrame:
     """``(h, terms)``: where the terms of ``marked`` (h, term, left) stand in their documents, sorted.
 
-    A row a word of the documents that have any; a running sum of lengths, within a document, gives each word's start.
+    A row a word of the different documents that have any; a running sum of lengths, within a document, gives each word's start.
     """
-    held = met.select("row", "h", "text").join(marked.select("h").distinct(), "h", "left_semi")
+    held = met.select("h", "text").join(marked.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     runs = F.lit(_RUN + "+")
     both = F.arrays_zip(F.split("text", _RUN + "+", -1).alias("gap"), F.regexp_extract_all("text", runs, F.lit(0)).alias("hit"))
-    words = held.select("row", "h", F.posexplode(both).alias("n", "w")).select("row", "h", "n", F.col("w.hit").alias("value"), (F.length("w.gap") + F.coalesce(F.length("w.hit"), F.lit(0))).alias("size"))
-    end = F.sum("size").over(Window.partitionBy("row").orderBy("n")).cast("int")
+    words = held.select("h", F.posexplode(both).alias("n", "w")).select("h", "n", F.col("w.hit").alias("value"), (F.length("w.gap") + F.coalesce(F.length("w.hit"), F.lit(0))).alias("size"))
+    end = F.sum("size").over(Window.partitionBy("h").orderBy("n")).cast("int")
     words = words.withColumn("end", end).where("value IS NOT NULL").withColumn("term", F.translate("value", UPPER, LOWER))
     found = words.join(marked, ["h", "term"])
     place = F.struct((F.col("end") - F.length("value")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), "value", "left")
-    return found.groupBy("h").agg(F.sort_array(F.collect_set(place)).cast(PLACES).alias("terms"))
+    return found.groupBy("h").agg(F.sort_array(F.collect_list(place)).cast(PLACES).alias("terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **thresholds: float) -> DataFrame:

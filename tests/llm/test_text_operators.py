@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cumulo.llm import bpe, chunks, language, ngrams, packing, pii, secrets, simhash
+from cumulo.llm import bpe, chunks, language, ngrams, packing, pii, secrets, simhash, spans
 from cumulo.llm.packed import packed, unpacked
 from cumulo.llm.spans import joined
 
@@ -561,3 +562,69 @@ def test_digests_of_queries(spark):
         row = found[d.doc_id]
         assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+# --- spans of very many matches, terms with very long beginnings -----------------------------------------------------
+
+
+def plain_running(items, zero, combine):
+    out, at = [], zero
+    for x in items:
+        out.append(at)
+        at = combine(at, x)
+    return out
+
+
+def test_running_takes_all_items(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, [int(x) for x in rng.integers(-50, 50, n)]) for n in (0, 1, 127, 128, 129, 1000)]
+    df = spark.createDataFrame(rows, "n int, v array<int>")
+    got = df.select("n", spans.running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("sum"), spans.running(F.col("v"), F.lit(-99), spans._later).alias("most")).collect()
+    for r, (n, v) in zip(sorted(got), rows):
+        assert r.sum == plain_running(v, 0, lambda a, x: a + x) and r.most == plain_running(v, -99, max)
+
+
+def test_spans_of_very_many_matches(spark):
+    text = " ".join(f"é{i} a{i}@b.org 👍" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, "")], "doc_id long, text string")
+    began = time.perf_counter()
+    row = df.select("text", pii.base_spans(F.col("text")).alias("found")).select("found", spans.replaced(F.col("text"), F.col("found"), lambda s: F.lit("[E]")).alias("clean")).collect()
+    assert time.perf_counter() - began < 60
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"a\d+@b\.org", text)]
+    assert [(s.start, s.end, s.value) for s in row[0].found] == want and row[0].clean == re.sub(r"a\d+@b\.org", "[E]", text)
+    assert [r.clean for r in row[1:]] == ["none", ""]
+
+
+def test_apart_is_every_pair(spark):
+    rng = np.random.default_rng(6)
+
+    def some(n):
+        starts = np.cumsum(rng.integers(1, 9, n))
+        return [(int(a), 0, int(a + rng.integers(1, 7)), "k", "v") for a in starts]
+
+    rows = [(some(n), some(m)) for n, m in ((0, 3), (3, 0), (40, 30), (300, 300), (5, 200))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, a {spans.SPAN}, b {spans.SPAN}")
+    for r, (a, b) in zip(df.select("i", spans.apart(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect(), rows):
+        assert [tuple(s) for s in r.x] == [s for s in a if not any(s[0] < o[2] and o[0] < s[2] for o in b)]
+
+
+def test_long_beginnings_are_kept(spark):
+    stem = "x" * 150
+    rows = [(i, f"{stem}common") for i in range(200)] + [(1000 + i, f"plain text {i}") for i in range(300)] + [(2000, f"{stem}rare0 who@where.org"), (2001, f"{stem}rare0 who@where.org again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r.term: r.kept for r in pii.disclosing_terms(docs)[0].collect()}
+    assert told[f"{stem}rare0"] in (-1, 0, 150) and told[f"{stem}rare0"] == 150
+
+
+def test_copies_with_many_terms_take_no_longer(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    base = [(i, f"filler {i % 97}") for i in range(2000)]
+    one = spark.createDataFrame([*base, (5000, f"{words} a@b.org")], "doc_id long, text string")
+    many = spark.createDataFrame([*base, *[(5000, f"{words} a@b.org")] * 2000], "doc_id long, text string")
+    took = []
+    for df in (one, one, many):
+        began = time.perf_counter()
+        rows = pii.personal_data(df).where("doc_id = 5000").select("pii_text", F.size("pii_spans").alias("n")).distinct().collect()
+        took.append(time.perf_counter() - began)
+        assert len(rows) == 1
+    assert took[2] < 3 * took[1] + 10
