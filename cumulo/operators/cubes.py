@@ -96,12 +96,18 @@ def hourly_cumulative(cube: DataFrame, cells: int) -> DataFrame:
     return rows.select("hour", (F.col("sum").cast("double") / F.lit(float(cells))).alias("mean_mm"), F.col("top").cast("double").alias("max_mm"), (running.cast("double") / F.lit(float(cells))).alias("cumulative_mm"))
 
 
-def displacement(cube: DataFrame, ny: int, nx: int, gap: int = 1, quiet: float = 1.0) -> DataFrame:
+def displacement(cube: DataFrame, ny: int, nx: int, gap: int = 1, quiet: float = 1.0, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(t, dy, dx): whole-cell shift from each frame to the one ``gap`` steps later by phase correlation of log(1 + r).
 
+    With a ``box`` (first and last row, first and last column, the last ones excluded) only that part of the frames counts.
     Frames whose largest log(1 + r) is under ``quiet`` are left out.  Two frames of a fixed grid meet in a task.
     """
 
+    if box:
+        y0, y1, x0, x1 = box
+        cube = cube.where(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1)).withColumn("y", F.col("y") - y0).withColumn("x", F.col("x") - x0)
+        ny, nx = y1 - y0, x1 - x0
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         def frame(rows: pd.DataFrame) -> np.ndarray:
             out = np.zeros((ny, nx))
@@ -120,7 +126,8 @@ def displacement(cube: DataFrame, ny: int, nx: int, gap: int = 1, quiet: float =
         return pd.DataFrame({"t": [key[0]], "dy": [dy], "dx": [dx]})
 
     now = cube.select("t", "y", "x", "r")
-    later = cube.select((F.col("t") - gap).alias("t"), "y", "x", "r")
+    # Columns of their own: both sides come from one table, whose columns cogroup would otherwise take for each other.
+    later = cube.select((F.col("t") - gap).alias("t"), *[F.col(c).alias(c) for c in ("y", "x", "r")])
     return now.groupBy("t").cogroup(later.groupBy("t")).applyInPandas(run, "t int, dy int, dx int")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.columns import EXACT, exact_sum, inside
 from cumulo.functions.constants import FAMILY_RATE_BANDS
 from cumulo.operators.severity import Scale, classify, fit, percentile_of
+from cumulo.plans.ranking import kth_largest
 
 Box = tuple[float, float, float, float]
 
@@ -72,7 +75,7 @@ def annual_maxima(daily: DataFrame, days: int) -> DataFrame:
 def area_rank(daily: DataFrame, t0: str, t1: str) -> DataFrame:
     """The window's total against annual maxima: rank, Weibull return period (n + 1) / rank, verdict and ratio to the median."""
     first, last = F.to_date(F.lit(t0)), F.to_date(F.lit(t1))
-    days = daily.sparkSession.range(1).select(F.datediff(last, first) + 1).first()[0]
+    days = (date.fromisoformat(t1) - date.fromisoformat(t0)).days + 1
     value = daily.where(F.col("day").between(first, last)).agg(F.coalesce(exact_sum("volume_km3"), F.lit(0.0)).alias("value_km3"))
     rows = annual_maxima(daily, days).join(F.broadcast(value), F.lit(True), "right")
     out = rows.groupBy("value_km3").agg(F.count("volume_km3").alias("n_years"), F.coalesce(F.sum((F.col("volume_km3") > F.col("value_km3")).cast("long")), F.lit(0)).alias("bigger"), F.expr("percentile(volume_km3, 0.5)").alias("median"))
@@ -82,13 +85,24 @@ def area_rank(daily: DataFrame, t0: str, t1: str) -> DataFrame:
 
 
 def band_sensitivity(fam: DataFrame, years: float, pairs: tuple[tuple[float, float], ...] = ((500.0, 50.0), (200.0, 20.0), (100.0, 10.0), (50.0, 5.0), (20.0, 2.0))) -> DataFrame:
-    """Share of families in the lowest and the highest class for several band rates; ranks of the top rows give all edges."""
-    rows = []
-    n = max(fam.count(), 1)
-    for bands in pairs:
-        scale = fit(fam, max(years, 10.0), "volume_km3", "max_intensity_mm_hr", rate_bands=tuple(b * years / max(years, 10.0) for b in bands), exclude_truncated=False)
-        low, high = classify(fam, scale, "volume_km3").agg(F.sum((F.col("severity_index") == 0).cast("long")), F.sum((F.col("severity_index") == 8).cast("long"))).first()
-        rows.append((*bands, (low or 0) / n, (high or 0) / n))
+    """Share of families in the lowest and the highest class for several band rates.
+
+    A band edge is the k-th largest value, k families of the record for its rate; the top rows give the edges of all pairs, and one pass
+    counts what lies below the lower and at or above the upper edges of both measures.
+    """
+    measures = ("volume_km3", "max_intensity_mm_hr")
+    n = fam.agg(F.count("*"), *[F.count(m) for m in measures]).first()
+    place = lambda rate, held: min(max(round(rate * years), 1), held)
+    edges = {}
+    for m, held in zip(measures, n[1:]):
+        ks = {rate: place(rate, held) for pair in pairs for rate in pair}
+        known = dict(map(tuple, kth_largest(fam, m, sorted(set(ks.values()))).collect())) if held else {}
+        edges[m] = {rate: known.get(k) for rate, k in ks.items()}
+    both = lambda test: F.sum(F.coalesce(test(measures[0]) & test(measures[1]), F.lit(False)).cast("long"))
+    below = lambda rate: lambda m: F.col(m) < F.lit(edges[m][rate])
+    above = lambda rate: lambda m: F.col(m) >= F.lit(edges[m][rate])
+    found = fam.agg(*[both(f) for low, high in pairs for f in (below(low), above(high))]).first()
+    rows = [(low, high, (found[2 * i] or 0) / max(n[0], 1), (found[2 * i + 1] or 0) / max(n[0], 1)) for i, (low, high) in enumerate(pairs)]
     return fam.sparkSession.createDataFrame(rows, "low_rate double, high_rate double, lowest_share double, highest_share double")
 
 
@@ -98,8 +112,8 @@ def area_windows(cat: DataFrame, boxes: dict[str, Box], starts: tuple[str, str],
     for name, bbox in boxes.items():
         daily = area_daily(cat, bbox)
         for n in days:
-            first = cat.sparkSession.range(1).select(F.date_sub(F.to_date(F.lit(starts[1])), n - 1).cast("string")).first()[0]
-            row = area_rank(daily, first, starts[1]).select(F.lit(name).alias("area"), "*")
+            first = date.fromisoformat(starts[1]) - timedelta(n - 1)
+            row = area_rank(daily, first.isoformat(), starts[1]).select(F.lit(name).alias("area"), "*")
             out = row if out is None else out.union(row)
     return out
 

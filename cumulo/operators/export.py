@@ -28,6 +28,13 @@ def mean_depth_mm(volume_km3: Column, area_km2: Column) -> Column:
     return volume_km3 / area_km2 * 1e6
 
 
+def step_extremes(steps: DataFrame, key: str = "label") -> DataFrame:
+    """(key, peak_t, peak_mm_hr, largest_t, largest_km2): an object's first step of its highest rate and of its largest footprint."""
+    first = lambda c: F.max(F.struct(F.col(c).alias("v"), (-F.col("t")).alias("t")))
+    rows = steps.groupBy(key).agg(first("peak_mm_hr").alias("p"), first("area_km2").alias("a"))
+    return rows.select(key, (-F.col("p.t")).alias("peak_t"), F.col("p.v").alias("peak_mm_hr"), (-F.col("a.t")).alias("largest_t"), F.col("a.v").alias("largest_km2"))
+
+
 def starts_3h(cat: DataFrame) -> DataFrame:
     """(bin, n): storm starts in each three UTC hours of the day, empty bins too."""
     counted = cat.groupBy(F.floor(F.hour("start_time") / 3).cast("int").alias("bin")).agg(F.count("*").alias("n"))

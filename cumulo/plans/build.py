@@ -9,6 +9,7 @@ from cumulo.functions.columns import inside
 from cumulo.functions.constants import STEPS_PER_DAY
 from cumulo.operators import mergetree, segment, storms
 from cumulo.plans.shared import materialize
+from cumulo.sources import commits
 
 
 def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominence: float = 4.0, min_voxels: int = 6, overlap_days: int = 1, grid: tuple[int, int] | None = None, built: DataFrame | None = None) -> DataFrame:
@@ -55,6 +56,22 @@ def build(cube: DataFrame, method: str = "mergetree", wet: float = 1.0, prominen
     return rows.drop("w", "shift", "step0", "first", "last", "window_start")
 
 
+def resume(cube: DataFrame, path: str, parameters: dict, months_at_once: int = 12, **options) -> list[commits.Month]:
+    """Build the months of ``cube`` that the catalogue at ``path`` lacks or can't read, some at a time, and commit each time.
+
+    A build that is stopped goes on where its last commit was.  ``parameters`` name product and prominence and are kept with the storms;
+    ``options`` go to :func:`build`.  The months made are returned.
+    """
+    spark, product, h = cube.sparkSession, str(parameters.get("product", "final")), float(parameters.get("prominence") or 0.0)
+    there = [(product, h, r["year"], r["month"]) for r in cube.select(F.year("day").alias("year"), F.month("day").alias("month")).distinct().orderBy("year", "month").collect()]
+    todo, made = commits.missing(spark, path, there), []
+    for at in range(0, len(todo), months_at_once):
+        now = todo[at : at + months_at_once]
+        done = spark.createDataFrame([m[2:] for m in there if m not in now], "year int, month int")
+        made += commits.commit(materialize(build(cube, prominence=h, built=done, **options), "storms"), path, parameters, now)
+    return made
+
+
 def event(cube: DataFrame, first: str, last: str, bbox: tuple[float, float, float, float] | None = None, pad_days: int = 1, prominence: float = 4.0, min_voxels: int = 6, wet: float = 1.0) -> DataFrame:
     """Storms of the days ``first`` to ``last`` segmented anew, with ``in_box``: the domain and a box from one segmentation.
 

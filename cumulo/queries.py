@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulo.functions.columns import cell, inside, untruncated
-from cumulo.operators import checks, climatology, cubes, events, export, families, geo, mergetree, regions, segment, severity, storms, sweep
+from cumulo.operators import analyses, checks, climatology, cubes, events, export, families, geo, mergetree, panels, regions, segment, severity, storms, sweep
 from cumulo.plans.shared import materialize
 from cumulo.sources import adapters
 
@@ -184,7 +184,7 @@ query("q_area_rank", f"""WITH {CAT}, {_DAILY}, w AS (SELECT day, CAST(sum(CAST(v
   ELSE 'about 1 in ' || CAST(round_even((n + 1) / rank, 0) AS INT) || ' years' END AS verdict, round(med, 9) AS median_km3, round(v / med, 9) AS ratio_to_median FROM o""")(_cat(lambda c: events.area_rank(events.area_daily(c, BOX), *EVENT)))
 
 _LINKS = f"""ev AS (SELECT event_id AS id, epoch_us(ts) AS s, ts, -11.55e0 + 0.45e0 * floor(user_id / 15e0) AS lat, 94.45e0 + 0.45e0 * (user_id % 15) AS lon, value FROM events),
-  pr AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON a.s >= b.s - 10800000000 AND a.s <= b.s AND (a.s < b.s OR a.id < b.id)
+  pr AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON a.s // 60000000 >= b.s // 60000000 - 180 AND a.s <= b.s AND (a.s < b.s OR a.id < b.id)
     AND (b.lat - a.lat) * (b.lat - a.lat) + ((b.lon - a.lon) * cos(radians(b.lat))) * ((b.lon - a.lon) * cos(radians(b.lat))) <= (50e0 / 111.32e0) * (50e0 / 111.32e0)),
   both_ways AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), reach(a, b) AS (SELECT id, id FROM ev UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
   fam AS (SELECT a AS id, min(b) AS fam FROM reach GROUP BY a)"""
@@ -589,3 +589,71 @@ def _region_of_storms(cat: DataFrame) -> DataFrame:
 
 query("q_region_of", f"""WITH {CAT}, g AS (SELECT *, floor(wcentroid_lat / 2e0) * 2e0 AS glat, floor(wcentroid_lon / 2e0) * 2e0 AS glon, {_THIRD} AS region FROM cat),
   c AS (SELECT glat, glon, any_value(region) AS region FROM g GROUP BY 1, 2 HAVING count(*) >= 80) SELECT storm_uid, coalesce(c.region, -1) AS region FROM g LEFT JOIN c USING (glat, glon)""")(_cat(_region_of_storms))
+
+
+# --- analyses --------------------------------------------------------------------------------------------------------
+
+
+def _correlated(df: DataFrame, y: str, x: str) -> DataFrame:
+    return _rounded(analyses.rank_correlation(df, y, x), pearson=6, spearman=6)
+
+
+_RANKED = "SELECT count(*) AS n, round(corr(y, x), 6) AS pearson, round(corr(ry, rx), 6) AS spearman FROM (SELECT y, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry FROM xy WHERE x IS NOT NULL AND y IS NOT NULL)"
+query("q_rank_correlation", f"WITH {_LANDED}, xy AS (SELECT hours_at_sea AS y, offshore_km_at_start AS x FROM ld) {_RANKED}")(lambda spark, sf: _correlated(_landed(spark, sf), "hours_at_sea", "offshore_km_at_start"))
+query("q_province_correlation", f"WITH {_LANDED}, xy AS (SELECT round(quantile_cont(hours_at_sea, 0.5), 6) AS y, round(quantile_cont(offshore_km_at_start, 0.5), 6) AS x FROM ld GROUP BY province) {_RANKED}")(
+    lambda spark, sf: _correlated(geo.lead_times(_landed(spark, sf), "province"), "median_lead_h", "offshore_km")
+)
+
+
+def _halves(cube: DataFrame) -> DataFrame:
+    """Rain of the western and the eastern half by step, the eastern one against all lags within a day."""
+    series = lambda side: cube.where(side).groupBy("t").agg((F.sum(F.col("r").cast("decimal(20,6)"))).cast("double").alias("v"))
+    return _rounded(analyses.lag_scan(series(F.col("x") < 8), series(F.col("x") >= 8), list(range(-48, 49))), r=9)
+
+
+query("q_lag_scan", f"""WITH {CUBE}, s AS (SELECT t, x < 8 AS west, CAST(sum(CAST(r AS DECIMAL(20,6))) AS DOUBLE) AS v FROM cube GROUP BY 1, 2), l AS (SELECT CAST(unnest(range(-48, 49)) AS INT) AS lag),
+  c AS (SELECT lag, count(a.t) AS n, CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v) THEN round(corr(a.v, b.v), 9) END AS r, CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v) THEN corr(a.v, b.v) END AS exact FROM l LEFT JOIN (s a JOIN s b ON a.west AND NOT b.west AND b.t - a.t BETWEEN -48 AND 48) ON b.t - a.t = lag GROUP BY lag)
+  SELECT lag, n, r, row_number() OVER (ORDER BY exact DESC NULLS LAST, lag) = 1 AND r IS NOT NULL AS best FROM c""")(_cube(_halves))
+
+_OFFSETS = {"UTC": 0, "UTC+7": 14, "UTC+9": 18}
+_CUT = f"""{CUBE}, {_SIZE}, vox AS (SELECT (t::BIGINT * ny + y) * nx + x AS id, t, y, x, r FROM cube, sz WHERE r >= 1), al(o, chunking) AS (VALUES (-1, 'continuous'), (0, 'UTC'), (14, 'UTC+7'), (18, 'UTC+9')),
+  nb AS (SELECT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb FROM vox a JOIN vox b ON b.t BETWEEN a.t - 1 AND a.t + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id),
+  reach(o, a, b) AS (SELECT o, id, id FROM vox, al UNION SELECT o, r.a, e.b FROM reach r JOIN nb e ON r.b = e.a AND (o < 0 OR (e.ta + o) // 48 = (e.tb + o) // 48)), lb AS (SELECT o, a AS id, min(b) AS label FROM reach GROUP BY 1, 2),
+  lab AS (SELECT o, vox.*, label FROM vox JOIN lb USING (id) QUALIFY count(*) OVER (PARTITION BY o, label) >= 2), ov AS (SELECT b.o, a.label AS a, b.label AS b, count(*) AS n FROM lab a JOIN lab b ON a.o = -1 AND b.o >= 0 AND a.id = b.id GROUP BY 1, 2, 3)"""
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(analyses.chunk_alignment(_vox(spark, sf), lambda v: segment.label_ccl(v, 2), _OFFSETS), volume_km3=6)
+
+
+query("q_chunk_alignment", f"""WITH RECURSIVE {_CUT}, ex AS (SELECT min(t) AS t0, max(t) AS t1 FROM vox), one AS (SELECT o, label, max((CASE WHEN o < 0 THEN t = t0 OR t = t1 ELSE (t + o) % 48 IN (0, 47) END)::INT) AS trunc, sum({VOL}) AS vol, (max(t) - min(t) + 1) * 0.5e0 AS dur FROM lab, ex GROUP BY 1, 2),
+  k AS (SELECT o, sum((nb = 1)::BIGINT) AS one_to_one, sum((nb > 1)::BIGINT) AS split FROM (SELECT o, a, count(*) AS nb FROM ov GROUP BY 1, 2) GROUP BY o)
+  SELECT chunking, count(*) AS storms, avg(trunc) AS truncated_share, round({ES.format('vol')}, 6) AS volume_km3, max(dur) AS max_duration_h, CAST(CASE WHEN o < 0 THEN count(*) ELSE coalesce(any_value(one_to_one), 0) END AS BIGINT) AS one_to_one, CAST(coalesce(any_value(split), 0) AS BIGINT) AS split, 0 AS merged, 0 AS mixed FROM one JOIN al USING (o) LEFT JOIN k USING (o) GROUP BY o, chunking""")(_chunks)
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    vox = _vox(spark, sf)
+    cut = analyses.unchunked(segment.label_ccl(materialize(analyses.chunked(vox, 14), "chunks"), 2), 14)
+    return analyses.overlaps(materialize(segment.label_ccl(vox, 2), "whole"), materialize(cut, "labels"))
+
+
+query("q_label_overlaps", f"""WITH RECURSIVE {_CUT}, na AS (SELECT label, count(*) AS n FROM lab WHERE o = -1 GROUP BY 1), nb AS (SELECT label, count(*) AS n FROM lab WHERE o = 14 GROUP BY 1), p AS (SELECT a, b, ov.n, ov.n / (na.n + nb.n - ov.n) AS share FROM ov JOIN na ON na.label = a JOIN nb ON nb.label = b WHERE o = 14)
+  SELECT a, b, n, share, row_number() OVER (PARTITION BY a ORDER BY share DESC, b) = 1 AS best_for_a, row_number() OVER (PARTITION BY b ORDER BY share DESC, a) = 1 AS best_for_b FROM p""".replace(", nb AS (SELECT label", ", sb AS (SELECT label").replace("nb.n -", "sb.n -").replace("JOIN nb ON nb.label", "JOIN sb ON sb.label"))(_matches)
+query("q_step_extremes", f"WITH RECURSIVE {_CCL}, {_STEPS} SELECT label, arg_min(t, (-peak, t)) AS peak_t, max(peak) AS peak_mm_hr, arg_min(t, (-round(area, 6), t)) AS largest_t, round(max(area), 6) AS largest_km2 FROM st GROUP BY label")(
+    lambda spark, sf: export.step_extremes(_rounded(storms.step_series(_labelled(spark, sf)), area_km2=6))
+)
+query("q_advection")(_cube(lambda c: cubes.advection(cubes.displacement(c, 10, 15, box=(1, 9, 2, 14)))))
+query("q_panels", f"""WITH {CAT}, c AS (SELECT *, floor(wcentroid_lat) AS glat, floor(wcentroid_lon) AS glon, NOT (truncated_time OR truncated_space) AS whole FROM cat)
+  SELECT CASE WHEN grouping(glat) = 0 THEN 'cell_month' WHEN grouping(month) = 0 THEN 'year_month' WHEN grouping(year) = 0 THEN 'year' ELSE 'all' END AS panel, coalesce(year, 0) AS year, coalesce(month, 0) AS month, glat, glon, count(*) AS storms, CAST(sum(whole::BIGINT) AS BIGINT) AS untruncated, {VOLSUM} AS volume_km3,
+  CAST(sum(CAST(CASE WHEN whole THEN total_volume_km3 END AS DECIMAL(30,10))) AS DOUBLE) AS untruncated_km3, max(max_intensity_mm_hr) AS max_intensity_mm_hr, quantile_cont(duration_h, 0.5) AS median_duration_h, round(quantile_cont(duration_h, 0.95), 6) AS p95_duration_h, count(DISTINCT month) AS months FROM c GROUP BY GROUPING SETS ((), (year), (year, month), (glat, glon, month))""")(_cat(lambda c: panels.panels(c).fillna(0, ["year", "month"])))
+
+
+def _rasterised(spark: SparkSession, sf: str) -> DataFrame:
+    cells = adapters.grid(spark).select("y", "x", (F.lit(-11.55) + F.lit(0.1) * F.col("y")).alias("lat"), (F.lit(94.45) + F.lit(0.1) * F.col("x")).alias("lon"))
+    return geo.rasterise(cells, adapters.shapes(spark, sf)).groupBy(F.coalesce("name", F.lit("none")).alias("name")).agg(F.count("*").alias("cells"), F.min("y").alias("first_row"), F.max("y").alias("last_row"), F.sum("x").alias("columns"))
+
+
+query("q_rasterised", f"""WITH {GRID}, c AS (SELECT y, x, -11.55e0 + 0.1e0 * y AS lat, 94.45e0 + 0.1e0 * x AS lon FROM grid), s AS (SELECT p_partkey AS ord, p_brand AS name, -11.55e0 + 0.1e0 * ((p_partkey * 37) % 182) + 0.013e0 AS la, 94.45e0 + 0.1e0 * ((p_partkey * 91) % 472) + 0.017e0 AS lo, 0.2e0 + p_size / 25e0 AS r FROM part),
+  e AS (SELECT ord, name, unnest([{{pa: la + r, po: lo, qa: la - r, qo: lo + r}}, {{pa: la - r, po: lo + r, qa: la - 0.3e0 * r, qo: lo}}, {{pa: la - 0.3e0 * r, po: lo, qa: la - r, qo: lo - r}}, {{pa: la - r, po: lo - r, qa: la + r, qo: lo}}]) AS z FROM s),
+  h AS (SELECT y, x, ord, name FROM c JOIN e ON lat >= least(z.pa, z.qa) AND lat <= greatest(z.pa, z.qa) AND (z.pa > lat) <> (z.qa > lat) WHERE lon < z.po + (lat - z.pa) / (z.qa - z.pa) * (z.qo - z.po) GROUP BY ALL HAVING count(*) % 2 = 1),
+  g AS (SELECT y, x, max_by(name, ord) AS name FROM h GROUP BY 1, 2) SELECT coalesce(name, 'none') AS name, count(*) AS cells, min(y) AS first_row, max(y) AS last_row, CAST(sum(x) AS BIGINT) AS columns FROM c LEFT JOIN g USING (y, x) GROUP BY 1""")(_rasterised)

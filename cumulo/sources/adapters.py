@@ -92,3 +92,11 @@ def grid(spark: SparkSession) -> DataFrame:
         ((F.floor(F.col("y") / 8) + F.floor(F.col("x") / 8)) % 2 == 0).alias("is_land"),
         F.concat_ws("-", F.lit("P"), F.floor(F.col("y") / 46), F.floor(F.col("x") / 59)).alias("province"),
     )
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as polygons (order, name, ring of (lat, lon)): a dart with its notch to the south, as wide as the part's size says."""
+    lat, lon, r = _lat("p_partkey") + F.lit(0.013), _lon("p_partkey") + F.lit(0.017), F.lit(0.2) + F.col("p_size") / F.lit(25.0)
+    corners = ((lat + r, lon), (lat - r, lon + r), (lat - F.lit(0.3) * r, lon), (lat - r, lon - r))
+    ring = F.array(*[F.struct(a.alias("lat"), b.alias("lon")) for a, b in corners])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("order"), F.col("p_brand").alias("name"), ring.alias("ring"))

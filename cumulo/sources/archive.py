@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cumulo.functions.constants import STEPS_PER_DAY
 from cumulo.operators.checks import file_kind
+from cumulo.sources import netcdf
 
 DAY_FILE = r"_(\d{8})_\d{7}_halfhourly\.nc4$"  # fixed value: the archive's file names
 MAX_ONLINE_DAYS = 31
@@ -54,7 +55,10 @@ class ParquetSource(Source):
 
 
 class LocalSource(Source):
-    """Day files of an archive, found by name; ``decode`` turns a file's bytes into an array (time, lat, lon)."""
+    """Day files of an archive, found by name; ``decode`` turns a file's bytes into an array (time, lat, lon).
+
+    Classic NetCDF files need no decoder; HDF5 ones do.
+    """
 
     name = "local"
 
@@ -67,9 +71,7 @@ class LocalSource(Source):
         return files.select(F.to_date(F.nullif(F.regexp_extract("path", DAY_FILE, 1), F.lit("")), "yyyyMMdd").alias("day"), "path").where("day IS NOT NULL")
 
     def days(self, first: date, last: date) -> DataFrame:
-        if self.decode is None:
-            raise RuntimeError("reading HDF5 day files needs a decoder: pass decode=")
-        decode = self.decode
+        decode = self.decode or (lambda content: netcdf.rain(content)[0])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -192,6 +194,20 @@ def read_catalogue(spark: SparkSession, path: str, product: str = "final", h: fl
     return rows.select(*columns) if columns else rows
 
 
+def catalogue_files(spark: SparkSession, path: str, product: str = "final", h: float = 4.0) -> DataFrame:
+    """(path, length) of a catalogue's files of one product and prominence; an error if there are none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    own = files.where(F.contains("path", F.lit(f"/product={product}/")) & F.contains("path", F.lit(f"/h={h}/")))
+    if own.isEmpty():
+        raise FileNotFoundError(f"no catalogue of product {product} at {h:g} mm/h in {path}")
+    return own
+
+
+def write_bad_days(bad: DataFrame, path: str, product: str, archive: str, deep: bool, n_indexed: int) -> None:
+    """Bad days (day, reason) as one JSON file with what was checked beside them."""
+    write_json(bad.orderBy("day"), path, {"product": product, "archive": archive, "checked": date.today().isoformat(), "deep": deep, "n_indexed": n_indexed})
+
+
 def months_built(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("product", "h", "year", "month").distinct()
 

@@ -249,7 +249,7 @@ def test_family_pairs_are_brute_force(spark):
     wanted = set()
     for a in rows:
         for b in rows:
-            if (a[1], a[0]) < (b[1], b[0]) and a[2] >= b[1] - 10_800 and (b[3] - a[3]) ** 2 + ((b[4] - a[4]) * np.cos(np.radians(b[3]))) ** 2 <= (50 / 111.32) ** 2:
+            if (a[1], a[0]) < (b[1], b[0]) and a[2] // 60 >= b[1] // 60 - 180 and (b[3] - a[3]) ** 2 + ((b[4] - a[4]) * np.cos(np.radians(b[3]))) ** 2 <= (50 / 111.32) ** 2:
                 wanted.add((a[0], b[0]))
     found = [tuple(r) for r in families.pairs(df).collect()]
     assert len(found) == len(set(found)) and set(found) == wanted and wanted
