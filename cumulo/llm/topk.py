@@ -94,6 +94,10 @@ def _exact(points: np.ndarray, queries: np.ndarray) -> type:
     return np.float64 if most < 2**53 else np.int64
 
 
+#: Components of a shard's points, 8 bytes each, whatever their dimension; and bytes of trees that may be broadcast.
+SHARD_COMPONENTS, BROADCAST_BYTES = 1 << 20, 64 << 20
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16_384, block_rows: int = 2048, leaf_rows: int = 128) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best candidates by integer inner product, ties to the smaller id.
 
@@ -102,7 +106,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     hundredths of the rows, travel to the shards.  Shard 0 goes first for all blocks: its k-th scores are lower bounds
     that the other shards' searches start from.  Every row is a candidate, repeated ones too, but those with the query's own id;
     equal queries are one, and queries of one id and different points each have their ranks.  Points of another dimension
-    than the query's take no part.
+    than the query's take no part.  Shards and blocks hold fewer rows where points are long, ``SHARD_COMPONENTS`` at most on average.
+    The first shard's tree is broadcast while it has at most ``BROADCAST_BYTES``, and shuffled like the others beyond.
     """
 
     def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -111,6 +116,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
 
     candidates, n_candidates = numbered(candidates, "candidates")
     queries, n_queries = numbered(queries.select("vec_id", "point").distinct(), "queries")
+    longest = candidates.agg(F.max(F.size("point"))).first()[0] or 1
+    shard_rows, block_rows = (max(1, min(n, SHARD_COMPONENTS // longest)) for n in (shard_rows, block_rows))
     n_shards, n_blocks = max(1, -(-n_candidates // shard_rows)), max(1, -(-n_queries // block_rows))
 
     def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +154,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
         asked = hashed(asked, n_blocks, "block").groupBy("block", "dim").applyInPandas(block, "block int, dim int, rows binary, query_ids binary, kth binary, query_points binary")
         asked = materialize(asked, "blocks")
         shards, n = trees.where(F.col("shard").between(first_shard, last_shard)), last_shard - first_shard + 1
-        if n == 1:  # one shard has at most about shard_rows rows, so its tree goes to the blocks
+        if n == 1 and (shards.agg(F.sum(F.octet_length("points") + F.octet_length("low") + F.octet_length("high"))).first()[0] or 0) <= BROADCAST_BYTES:
             return asked.repartition(n_blocks, "block", "dim").join(F.broadcast(shards), "dim").mapInArrow(run, found)
         sent = asked.withColumn("shard", F.explode(F.expr(f"sequence({first_shard}, {last_shard})"))).repartition(n, "shard", "dim")
         return shards.repartition(n, "shard", "dim").join(sent, ["shard", "dim"]).mapInArrow(run, found)

@@ -92,6 +92,22 @@ def test_top_k_counts_repeated_candidates(spark, shard_rows):
     assert [r.vec_id for r in topk.top_k(few, few.where("vec_id = 50")).collect()] == [7] * 5
 
 
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_top_k_of_long_points(spark, monkeypatch, most):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", most)
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(x) for x in rng.integers(-300, 300, 2048)]) for i in range(0, 1300)]
+    table = spark.createDataFrame(rows, "vec_id long, point array<long>").repartition(4)
+    found = sorted(map(tuple, topk.top_k(table, table.where("vec_id % 400 = 0")).collect()))
+    points = np.array([p for _, p in rows])
+    want = []
+    for q in range(0, 1300, 400):
+        scores = points @ points[q]
+        order = [i for i in np.lexsort((np.arange(1300), -scores)) if i != q][:5]
+        want += [(q, r + 1, int(i), int(scores[i])) for r, i in enumerate(order)]
+    assert found == want
+
+
 def test_tree_boxes_are_tight():
     rng = np.random.default_rng(2)
     points = rng.integers(-100, 100, (300, 5))
