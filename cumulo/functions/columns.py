@@ -15,6 +15,11 @@ def exact_sum(c: Column | str) -> Column:
     return F.sum((F.col(c) if isinstance(c, str) else c).cast(EXACT)).cast("double")
 
 
+def correlation(y: Column | str, x: Column | str) -> Column:
+    """Pearson's r as an aggregate that combines before a shuffle; null where either column doesn't vary."""
+    return F.covar_pop(y, x) / F.nullif(F.stddev_pop(y) * F.stddev_pop(x), F.lit(0.0))
+
+
 def untruncated() -> Column:
     return ~(F.col("truncated_time") | F.col("truncated_space"))
 

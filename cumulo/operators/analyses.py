@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulo.functions.columns import cell_area_m2, exact_sum, volume_km3
+from cumulo.functions.columns import cell_area_m2, correlation, exact_sum, volume_km3
 from cumulo.functions.constants import DT_HOURS, GRID_DEG, LAT_FIRST, STEPS_PER_DAY
 from cumulo.plans.graph import connected_components
 from cumulo.plans.ranking import ranked
@@ -33,7 +33,7 @@ def rank_correlation(df: DataFrame, y: str, x: str) -> DataFrame:
     centred = both.join(F.broadcast(total), F.lit(True)).select("n", *[(F.col(c) - (F.col("total") + 1) / 2).alias(c) for c in ("rx", "ry")])
     spread = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
     spearman = centred.agg((spread("rx", "ry") / F.nullif(F.sqrt(spread("rx", "rx")) * F.sqrt(spread("ry", "ry")), F.lit(0.0))).alias("spearman"))
-    plain = rows.agg(F.count("*").alias("n"), F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), F.corr("y", "x")).alias("pearson"))
+    plain = rows.agg(F.count("*").alias("n"), correlation("y", "x").alias("pearson"))
     return plain.join(spearman, F.lit(True)).select("n", "pearson", "spearman")
 
 
@@ -45,8 +45,7 @@ def lag_scan(a: DataFrame, b: DataFrame, lags: list[int], time: str = "t", value
     """
     shifted = b.select(F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(time).alias("t"), F.col(value).cast("double").alias("w")).select("lag", (F.col("t") - F.col("lag")).alias("t"), "w")
     met = a.select(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).join(shifted, "t").where("v IS NOT NULL AND w IS NOT NULL")
-    varies = (F.min("v") < F.max("v")) & (F.min("w") < F.max("w"))
-    found = met.groupBy("lag").agg(F.count("*").alias("n"), F.when(varies, F.corr("v", "w")).alias("r"))
+    found = met.groupBy("lag").agg(F.count("*").alias("n"), correlation("v", "w").alias("r"))
     every = a.sparkSession.createDataFrame([(int(k),) for k in lags], "lag int").join(found, "lag", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = Window.orderBy(F.desc_nulls_last("r"), "lag")  # a row a lag
     return every.select("lag", "n", "r", ((F.row_number().over(first) == 1) & F.col("r").isNotNull()).alias("best"))

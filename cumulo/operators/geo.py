@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulo.functions.columns import cell, exact_sum, untruncated, utc_offset
+from cumulo.functions.columns import cell, correlation, exact_sum, untruncated, utc_offset
 from cumulo.functions.constants import DT_HOURS, GRID_DEG, KM_PER_DEGREE, TRANSITIONS
 from cumulo.plans.ranking import group_quantiles, quantiles
 
@@ -161,7 +161,7 @@ def offshore_bands(landed: DataFrame, edges: tuple[float, ...] = (0, 15, 30, 50,
 
 def regression(landed: DataFrame, y: str = "hours_at_sea", x: str = "offshore_km_at_start") -> DataFrame:
     """Pearson r and the least-squares line."""
-    return landed.agg(F.round(F.corr(y, x), 6).alias("r"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.count("*").alias("n"))
+    return landed.agg(F.round(correlation(y, x), 6).alias("r"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.count("*").alias("n"))
 
 
 def landfall_percentiles(landed: DataFrame) -> DataFrame:

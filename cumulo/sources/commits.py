@@ -64,7 +64,7 @@ def commit(storms: DataFrame, path: str, parameters: dict, months: list[Month] |
     out.write.partitionBy(*KEY).parquet(where)
     system, folder = _fs(spark, where)
     filled = any(f.isDirectory() and "=" in f.getPath().getName() for f in system.listStatus(folder))
-    back = [] if not filled else spark.read.parquet(where).groupBy(*KEY).agg(F.count("*").alias("rows"), F.count_distinct(F.input_file_name()).alias("files")).collect()
+    back = [] if not filled else spark.read.parquet(where).select(*KEY, F.col("_metadata.file_name").alias("file")).groupBy(*KEY).agg(F.count("*").alias("rows"), F.count_distinct("file").alias("files")).collect()
     made = {tuple(r[k] for k in KEY): {**{k: r[k] for k in KEY}, "build": build, "rows": r["rows"], "files": r["files"]} for r in back}
     made = {**{m: {**dict(zip(KEY, m)), "build": build, "rows": 0, "files": 0} for m in months or []}, **made}
     _publish(spark, path, {**manifest(spark, path), **made}, version)

@@ -4,8 +4,8 @@
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.read.format("rain_days").option("path", folder).load().where("day >= '2020-06-01' AND lat > -5")
 
-Filters on ``day`` choose the files, filters on ``lat`` and ``lon`` the cells that leave a file; Spark needs the setting to hand them
-over.  Folders are reached by pyarrow's file systems (local, HDFS, S3, ...), from the driver and from the executors.
+Filters on ``day`` choose the files, filters on ``lat`` and ``lon`` the cells that leave a file; Spark refuses the source without the
+setting that hands them over.  Folders are reached by pyarrow's file systems (local, HDFS, S3, ...), from the driver and from the executors.
 """
 
 from __future__ import annotations
