@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.constants import STEPS_PER_DAY
@@ -23,6 +25,54 @@ def uniform_step(times: DataFrame, column: str = "t") -> DataFrame:
     return rows.where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("n"))
 
 
+class RangeGuard:
+    """All that a loaded range must hold, checked in the pass that reads it.
+
+    ``attach`` gives the rows on, and a row outside of the range or grid stops the job where it is read; what only the whole can tell is
+    observed on the way, and ``verify`` raises after any action on the rows: steps that are missing, which also make the step uneven, a
+    grid that isn't full, more than half of the rates missing, latitudes that fall with their index.  Steps are observed as a set, which the
+    range bounds.
+    """
+
+    def __init__(self, first: date, last: date, rows: int, columns: int) -> None:
+        self.begin, self.steps = (first - date(1970, 1, 1)).days * STEPS_PER_DAY, ((last - first).days + 1) * STEPS_PER_DAY
+        self.rows, self.columns, self.seen = rows, columns, None
+
+    def attach(self, cube: DataFrame) -> DataFrame:
+        """``cube`` (t, y, x, r, and lat where it has one), to be used in place of it."""
+        t, y, x = F.col("t"), F.col("y"), F.col("x")
+        inside = t.between(self.begin, self.begin + self.steps - 1) & y.between(0, self.rows - 1) & x.between(0, self.columns - 1)
+        told = F.format_string("step %d, row %d, column %d is outside of the range", t, y, x)
+        held = cube.withColumn("t", F.when(F.coalesce(inside, F.lit(False)), t).otherwise(F.raise_error(told).cast("int")))
+        rising = F.coalesce(F.min_by("lat", "y") <= F.max_by("lat", "y"), F.lit(True)) if "lat" in cube.columns else F.min(F.lit(True))
+        self.seen = Observation()
+        missing = (F.col("r").isNull() | F.isnan("r")).cast("long")
+        return held.observe(
+            self.seen,
+            F.size(F.collect_set("t")).alias("steps"),
+            F.count("*").alias("cells"),
+            F.coalesce(F.sum(missing), F.lit(0)).alias("missing"),
+            F.coalesce(F.max("y") + 1, F.lit(0)).alias("rows"),
+            F.coalesce(F.max("x") + 1, F.lit(0)).alias("columns"),
+            rising.cast("int").alias("rising"),
+        )
+
+    def verify(self, dense: bool = True) -> dict:
+        """What was observed; raises if the range isn't whole.  A sparse cube, ``dense`` false, may lack cells."""
+        if self.seen is None:
+            raise RuntimeError("attach the guard to the rows first")
+        got = dict(self.seen.get)
+        if got["steps"] != self.steps:
+            raise ValueError(f"{got['steps']} steps, expected {self.steps} at every half hour")
+        if dense and (got["rows"], got["columns"], got["cells"]) != (self.rows, self.columns, self.steps * self.rows * self.columns):
+            raise ValueError(f"{got['cells']} cells on a grid of {got['rows']} x {got['columns']}, expected {self.rows} x {self.columns} at {self.steps} steps")
+        if got["missing"] > 0.5 * got["cells"]:
+            raise ValueError(f"{got['missing'] / got['cells']:.1%} of the rates are missing")
+        if got["rising"] == 0:
+            raise ValueError("latitudes fall with their index")
+        return got
+
+
 def calendar_gaps(days: DataFrame, column: str = "day") -> DataFrame:
     """Calendar days between the first and the last that are absent."""
     ends = days.agg(F.min(column).alias("a"), F.max(column).alias("b")).where("a IS NOT NULL")

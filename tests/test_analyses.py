@@ -137,3 +137,35 @@ def test_extremes_displacement_in_a_box_and_bands(spark):
         v0, v1, i0, i1 = v[int(low * 10) - 1], v[min(int(high * 10), 100) - 1], i[int(low * 10) - 1], i[int(high * 10) - 1]
         both = [(float(k), float(100 - k)) for k in range(100)]
         assert got[low] == (sum(a < v0 and b < i0 for a, b in both) / 101, sum(a >= v1 and b >= i1 for a, b in both) / 101)
+
+
+def test_a_range_is_guarded_while_it_is_read(spark, tmp_path):
+    from datetime import date
+
+    from cumulo.operators.checks import RangeGuard
+
+    first, begin = date(2020, 1, 1), (date(2020, 1, 1) - date(1970, 1, 1)).days * 48
+    whole = spark.createDataFrame([(begin + t, y, x, 0.1 * t, float(y)) for t in range(96) for y in range(2) for x in range(3)], "t int, y int, x int, r double, lat double")
+    whole.write.parquet(f"file://{tmp_path}/cube")
+    whole = spark.read.parquet(f"file://{tmp_path}/cube")
+    guard = RangeGuard(first, date(2020, 1, 2), 2, 3)
+    rows = guard.attach(whole)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert rows.agg(F.sum("r")).first()[0] == pytest.approx(0.1 * sum(range(96)) * 6) and guard.verify()["cells"] == 96 * 6
+
+    def broken(df, message, dense=True):
+        guard = RangeGuard(first, date(2020, 1, 2), 2, 3)
+        guard.attach(df).agg(F.max("r")).collect()
+        with pytest.raises(ValueError, match=message):
+            guard.verify(dense)
+
+    broken(whole.where(f"t <> {begin + 50}"), "95 steps, expected 96")
+    broken(whole.where(f"t <> {begin + 50} OR y = 0"), "573 cells on a grid of 2 x 3")
+    broken(whole.where("y = 0"), "grid of 1 x 3")
+    broken(whole.withColumn("r", F.when(F.col("x") < 2, F.lit(float("nan"))).otherwise(F.col("r"))), "66.7% of the rates are missing")
+    broken(whole.withColumn("lat", -F.col("lat")), "latitudes fall")
+    sparse = RangeGuard(first, date(2020, 1, 2), 2, 3)
+    sparse.attach(whole.where("x > 0")).count()
+    assert sparse.verify(dense=False)["cells"] == 96 * 4
+    with pytest.raises(Exception, match="is outside of the range"):
+        RangeGuard(first, first, 2, 3).attach(whole).agg(F.max("t")).collect()
