@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.columns import cell_area_m2, correlation, exact_sum, volume_km3
-from cumulo.functions.constants import DT_HOURS, GRID_DEG, LAT_FIRST, STEPS_PER_DAY
+from cumulo.functions.constants import DT_HOURS, GRID_DEG, LAT_FIRST, STEPS_PER_DAY, STORM_RATE_BANDS
 from cumulo.plans.graph import connected_components
 from cumulo.plans.ranking import ranked
+from cumulo.plans.selection import select_quantiles
 from cumulo.plans.shared import materialize
 
 
@@ -109,3 +110,50 @@ def chunk_alignment(vox: DataFrame, label, offsets: dict[str, int], steps: int =
         cut = materialize(unchunked(label(materialize(chunked(vox, offset, steps), "chunks")), offset, steps), "labels")
         out = out.union(chunk_row(name, cut).join(matching(overlaps(whole, cut)), F.lit(True)))
     return out
+
+
+def age_exceedance(cat: DataFrame, years: float, hours: tuple[float, ...] = (12.0, 24.0, 48.0, 72.0), age: str = "duration_h", volume: str = "total_volume_km3") -> DataFrame:
+    """(hours, storms, per_year, volume_share) of the storms that last at least so long, all ages from one aggregation; ages that none reaches count 0."""
+    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("h"), (F.col(age) >= h).alias("hit")) for h in hours])).alias("x")
+    rows = cat.select(each, F.col(volume).alias("v")).groupBy(F.col("x.h").alias("hours")).agg(F.coalesce(F.sum(F.col("x.hit").cast("long")), F.lit(0)).alias("storms"), F.coalesce(exact_sum(F.when(F.col("x.hit"), F.col("v"))), F.lit(0.0)).alias("part"), exact_sum("v").alias("whole"))
+    return rows.select("hours", "storms", (F.col("storms") / F.lit(float(years))).alias("per_year"), (F.col("part") / F.nullif("whole", F.lit(0.0))).alias("volume_share"))
+
+
+def propagation_speed(landed: DataFrame, beyond_km: float = 15.0) -> DataFrame:
+    """(n, p25_km_h, median_km_h, p75_km_h): offshore distance at the start over hours at sea, of storms that form farther out than ``beyond_km``."""
+    rows = landed.where((F.col("offshore_km_at_start") > beyond_km) & (F.col("hours_at_sea") > 0)).select((F.col("offshore_km_at_start") / F.col("hours_at_sea")).alias("speed"))
+    at = select_quantiles(rows, {"p25_km_h": ("speed", 0.25), "median_km_h": ("speed", 0.5), "p75_km_h": ("speed", 0.75)})
+    return rows.agg(F.count("*").alias("n")).join(at, F.lit(True), "left")
+
+
+def regional_edges(cat: DataFrame, years: float, rates: tuple[float, float] = STORM_RATE_BANDS, volume: str = "total_volume_km3") -> DataFrame:
+    """(domain, region, storms_per_year, low_km3, high_km3, of_domain) of each ``region`` and of the domain (region null): volumes that so many storms a year reach.
+
+    An edge is the k-th largest volume, k = round(rate * years), halves to even, within 1..n; of_domain compares the upper ones.  Only the first k of a
+    region leave a task.
+    """
+    rows = cat.where(F.col(volume).isNotNull()).select("region", F.col(volume).alias("v"))
+    rows = rows.select("v", F.explode(F.array(F.struct(F.lit(False).alias("domain"), F.col("region")), F.struct(F.lit(True).alias("domain"), F.lit(None).cast(cat.schema["region"].dataType).alias("region")))).alias("of"))
+    sizes = rows.groupBy("of").agg(F.count("*").alias("n"))
+    ks = [max(round(r * years), 1) for r in rates]
+    order = Window.partitionBy("of").orderBy(F.desc("v"))
+    top = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(ks))
+    at = lambda k: F.max(F.when(F.col("k") == F.least(F.lit(k), F.col("n")), F.col("v")))
+    found = top.join(sizes, "of").groupBy("of", "n").agg(at(ks[0]).alias("low_km3"), at(ks[1]).alias("high_km3"))
+    whole = found.where("of.domain").select(F.col("high_km3").alias("all"))
+    return found.join(F.broadcast(whole), F.lit(True)).select("of.domain", "of.region", (F.col("n") / F.lit(float(years))).alias("storms_per_year"), "low_km3", "high_km3", (F.col("high_km3") / F.nullif("all", F.lit(0.0))).alias("of_domain"))
+
+
+def density_concentration(storms: DataFrame, area_km2: float, months: float, top: float = 0.13) -> DataFrame:
+    """By prominence ``h``: storms a million km2 and month, mean volume, mean duration, and the share of volume in the largest ``top`` of the storms.
+
+    ``storms`` is (h, label, total_volume_km3, duration_h); the largest are round(top * n) by volume, halves to even, 1 at least.
+    """
+    order = [F.col("h"), F.desc("total_volume_km3"), F.col("label")]
+    rows = ranked(storms.select("h", "label", "total_volume_km3", "duration_h"), order)
+    sizes = storms.groupBy("h").agg(F.count("*").alias("n"))
+    before = sizes.select("h", "n", F.coalesce(F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))  # a row a prominence
+    placed = rows.join(F.broadcast(before), "h").withColumn("first", F.col("rank") - F.col("n0") <= F.greatest(F.bround(F.lit(top) * F.col("n")), F.lit(1)))
+    held = placed.groupBy("h", "n").agg(exact_sum("total_volume_km3").alias("all"), exact_sum(F.when(F.col("first"), F.col("total_volume_km3"))).alias("most"), exact_sum("duration_h").alias("hours"))
+    per = F.lit(area_km2 / 1e6 * months)
+    return held.select("h", (F.col("n") / per).alias("storms_per_mkm2_month"), (F.col("all") / F.col("n")).alias("mean_volume_km3"), (F.col("hours") / F.col("n")).alias("mean_duration_h"), (F.col("most") / F.nullif("all", F.lit(0.0))).alias("top_share"))

@@ -657,3 +657,31 @@ query("q_rasterised", f"""WITH {GRID}, c AS (SELECT y, x, -11.55e0 + 0.1e0 * y A
   e AS (SELECT ord, name, unnest([{{pa: la + r, po: lo, qa: la - r, qo: lo + r}}, {{pa: la - r, po: lo + r, qa: la - 0.3e0 * r, qo: lo}}, {{pa: la - 0.3e0 * r, po: lo, qa: la - r, qo: lo - r}}, {{pa: la - r, po: lo - r, qa: la + r, qo: lo}}]) AS z FROM s),
   h AS (SELECT y, x, ord, name FROM c JOIN e ON lat >= least(z.pa, z.qa) AND lat <= greatest(z.pa, z.qa) AND (z.pa > lat) <> (z.qa > lat) WHERE lon < z.po + (lat - z.pa) / (z.qa - z.pa) * (z.qo - z.po) GROUP BY ALL HAVING count(*) % 2 = 1),
   g AS (SELECT y, x, max_by(name, ord) AS name FROM h GROUP BY 1, 2) SELECT coalesce(name, 'none') AS name, count(*) AS cells, min(y) AS first_row, max(y) AS last_row, CAST(sum(x) AS BIGINT) AS columns FROM c LEFT JOIN g USING (y, x) GROUP BY 1""")(_rasterised)
+query("q_age_exceedance", f"WITH {CAT}, y AS (SELECT count(DISTINCT year * 100 + month) / 12e0 AS years FROM cat) SELECT h AS hours, CAST(sum((duration_h >= h)::BIGINT) AS BIGINT) AS storms, sum((duration_h >= h)::BIGINT) / any_value(years) AS per_year, coalesce(CAST(sum(CAST(CASE WHEN duration_h >= h THEN total_volume_km3 END AS DECIMAL(30,10))) AS DOUBLE), 0e0) / {VOLSUM} AS volume_share FROM cat, y, (VALUES (12e0), (24e0), (48e0), (72e0)) x(h) GROUP BY h")(
+    _cat(lambda c: analyses.age_exceedance(c, climatology.years_of(c)))
+)
+query("q_propagation_speed", f"WITH {_LANDED}, s AS (SELECT offshore_km_at_start / hours_at_sea AS v FROM ld WHERE offshore_km_at_start > 15 AND hours_at_sea > 0) SELECT count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25_km_h, round(quantile_cont(v, 0.5), 6) AS median_km_h, round(quantile_cont(v, 0.75), 6) AS p75_km_h FROM s")(
+    lambda spark, sf: _rounded(analyses.propagation_speed(_landed(spark, sf)), p25_km_h=6, median_km_h=6, p75_km_h=6)
+)
+
+
+def _regional_edges(cat: DataFrame) -> DataFrame:
+    return analyses.regional_edges(_thirds(cat.where(untruncated())), climatology.years_of(cat)).withColumn("region", F.coalesce("region", F.lit(-1)))
+
+
+query("q_regional_edges", f"""WITH {CAT}, y AS (SELECT count(DISTINCT year * 100 + month) / 12e0 AS years FROM cat), a AS (SELECT {_THIRD} AS region, total_volume_km3 AS v FROM whole UNION ALL SELECT -1, total_volume_km3 FROM whole), r AS (SELECT region, v, row_number() OVER (PARTITION BY region ORDER BY v DESC) AS k, count(*) OVER (PARTITION BY region) AS n FROM a),
+  e AS (SELECT region, n, max(v) FILTER (k = least(greatest(CAST(round_even(500 * years, 0) AS BIGINT), 1), n)) AS lo, max(v) FILTER (k = least(greatest(CAST(round_even(50 * years, 0) AS BIGINT), 1), n)) AS hi FROM r, y GROUP BY region, n)
+  SELECT region = -1 AS domain, region, n / years AS storms_per_year, lo AS low_km3, hi AS high_km3, hi / (SELECT hi FROM e WHERE region = -1) AS of_domain FROM e, y""")(_cat(_regional_edges))
+
+
+def _density_by_height(spark: SparkSession, sf: str) -> DataFrame:
+    vox, heights = _vox(spark, sf), [2.0, 4.0, 8.0]
+    components = materialize(mergetree.build(vox)[0], "components")
+    cut = mergetree.Flood(vox).cuts(components, heights, 2)
+    named = cut.withColumn("label", F.col("label") * 10 + F.col("h").cast("long"))
+    table = materialize(storms.storm_table(materialize(named, "labels")).withColumn("h", (F.col("label") % 10).cast("double")), "storms")
+    return _rounded(analyses.density_concentration(table, 20_000.0, 1.0), mean_volume_km3=6, mean_duration_h=9, top_share=6)
+
+
+query("q_density_concentration", f"""WITH RECURSIVE {_TREE}, {_survivors('(2e0), (4e0), (8e0)')}, o AS (SELECT h, label, sum({VOL}) AS vol, (max(t) - min(t) + 1) * 0.5e0 AS dur FROM lab GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY vol DESC, label) AS k, count(*) OVER (PARTITION BY h) AS n FROM o)
+  SELECT h, n / 0.02e0 AS storms_per_mkm2_month, round({ES.format('vol')} / n, 6) AS mean_volume_km3, round({ES.format('dur')} / n, 9) AS mean_duration_h, round(CAST(sum(CAST(CASE WHEN k <= greatest(round_even(0.13e0 * n, 0), 1) THEN vol END AS DECIMAL(30,10))) AS DOUBLE) / {ES.format('vol')}, 6) AS top_share FROM k GROUP BY h, n""")(_density_by_height)
