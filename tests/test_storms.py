@@ -363,3 +363,13 @@ def test_local_passes_change_nothing(spark, monkeypatch, chunk):
     table = spark.createDataFrame(list(next_of.items()), "node long, next long")
     assert dict(map(tuple, follow(table.repartition(4)).collect())) == ends
     assert follow(table.where("false")).count() == 0 and connected_components(edges.where("false"), "a", "b", near=True).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_of_families_are_merged_not_broadcast(spark):
+    df = spark.range(60).selectExpr("id AS storm_uid", "timestamp_micros(id * 420000000) AS start_time", "timestamp_micros(id * 420000000) AS end_time", "-3 + 0.3D * (id % 9) AS lat", "100 + 0.3D * (id % 5) AS lon")
+    plan = plan_of(families.pairs(df))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
