@@ -10,16 +10,22 @@ from cumulo.functions.constants import DT_HOURS, GRID_DEG, KM_PER_DEGREE, TRANSI
 from cumulo.plans.ranking import group_quantiles, quantiles
 
 
+#: Cells of a grid that is broadcast, at most.
+GRID_MOST = 500_000
+
+
 def rasterise(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     """``cells`` (y, x, lat, lon) with the ``name`` of the last polygon (order, name, ring of (lat, lon)) that holds the centre, else null.
 
     Scan lines, on a regular grid: each edge gives its crossing with every row of cells that it spans, the crossings of a row sorted by
     longitude pair up, and what lies between the two of a pair is inside (even-odd).  Work grows with edges and cells that are
-    met; a polygon is split by its rows.  A centre on a crossing counts to the east of it.  Rings needn't be closed; null names are none.
+    met; a polygon is split by its rows.  Up to ``GRID_MOST`` cells are broadcast, so cells that polygons cover are made and compared where they are
+    made; beyond it the sides are merged.  A centre on a crossing counts to the east of it.  Rings needn't be closed; null names are none.
     """
-    axis = cells.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("lon").alias("c"), F.max("lon").alias("d")).first()
+    axis = cells.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.count("*").alias("n")).first()
     if axis["y0"] is None:
         return cells.withColumn("name", F.lit(None).cast("string"))
+    side = F.broadcast if axis["n"] <= GRID_MOST else lambda df: df.hint("merge")
     place = lambda v, first, last, low, high: (v - F.lit(low)) / F.lit((high - low) / max(last - first, 1) or 1.0) + F.lit(first)
     row, column = (lambda v: place(v, axis["y0"], axis["y1"], axis["a"], axis["b"])), (lambda v: place(v, axis["x0"], axis["x1"], axis["c"], axis["d"]))
     ends = F.arrays_zip(F.col("ring").alias("p"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("q"))
@@ -28,13 +34,16 @@ def rasterise(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     least, most = F.least("e.p.lat", "e.q.lat"), F.greatest("e.p.lat", "e.q.lat")
     first, last = F.greatest(F.ceil(row(least)).cast("int") - 1, F.lit(axis["y0"])), F.least(F.floor(row(most)).cast("int") + 1, F.lit(axis["y1"]))
     spanned = edge.where(first <= last).select("order", "name", "e", F.explode(F.sequence(first, last)).alias("y"))
-    at = spanned.join(cells.groupBy("y").agg(F.first("lat").alias("lat")), "y").where((F.col("e.p.lat") > F.col("lat")) != (F.col("e.q.lat") > F.col("lat")))
+    at = spanned.join(side(cells.groupBy("y").agg(F.first("lat").alias("lat"))), "y").where((F.col("e.p.lat") > F.col("lat")) != (F.col("e.q.lat") > F.col("lat")))
     crossing = F.col("e.p.lon") + (F.col("lat") - F.col("e.p.lat")) / (F.col("e.q.lat") - F.col("e.p.lat")) * (F.col("e.q.lon") - F.col("e.p.lon"))
     line = Window.partitionBy("order", "y").orderBy("at")
     pairs = at.select("order", "name", "y", crossing.alias("at")).withColumn("k", F.row_number().over(line)).withColumn("to", F.lead("at").over(line)).where("k % 2 = 1")
     west, east = F.greatest(F.ceil(column(F.col("at"))).cast("int") - 1, F.lit(axis["x0"])), F.least(F.floor(column(F.col("to"))).cast("int") + 1, F.lit(axis["x1"]))
-    filled = pairs.where(west <= east).select("order", "name", "y", "at", "to", F.explode(F.sequence(west, east)).alias("x"))
-    held = filled.join(cells.select("y", "x", "lon"), ["y", "x"]).where((F.col("at") <= F.col("lon")) & (F.col("lon") < F.col("to"))).groupBy("y", "x").agg(F.max_by("name", "order").alias("name"))
+    filled = pairs.where(west <= east).select("order", "y", "at", "to", F.explode(F.sequence(west, east)).alias("x"))
+    inside = (F.col("at") <= F.col("lon")) & (F.col("lon") < F.col("to"))
+    # The last order of each cell comes from numbers alone, which needs no sort; the few polygons that are on top then give their names.
+    top = filled.join(side(cells.select("y", "x", "lon")), ["y", "x"]).where(inside).groupBy("y", "x").agg(F.max("order").alias("order"), F.first("lon").alias("lon"))
+    held = pairs.join(side(top), ["order", "y"]).where(inside).groupBy("y", "x").agg(F.max("name").alias("name"))
     return cells.join(held, ["y", "x"], "left")
 
 

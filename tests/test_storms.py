@@ -373,3 +373,12 @@ def test_buckets_of_families_are_merged_not_broadcast(spark):
     df = spark.range(60).selectExpr("id AS storm_uid", "timestamp_micros(id * 420000000) AS start_time", "timestamp_micros(id * 420000000) AS end_time", "-3 + 0.3D * (id % 9) AS lat", "100 + 0.3D * (id % 5) AS lon")
     plan = plan_of(families.pairs(df))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rasterise_broadcasts_cells_only(spark):
+    cells = spark.range(36).selectExpr("int(id DIV 6) AS y", "int(id % 6) AS x", "id DIV 6 + 0.5D AS lat", "id % 6 + 0.5D AS lon")
+    ring = "array(named_struct('lat', 0.2D, 'lon', 0.3D), named_struct('lat', 5.1D, 'lon', 0.4D), named_struct('lat', 5.2D, 'lon', {east}D), named_struct('lat', 0.3D, 'lon', {east}D))"
+    shapes = spark.range(1, 4).selectExpr("id AS order", "IF(id = 2, NULL, concat('s', id)) AS name", f"IF(id = 3, {ring.format(east=2.0)}, {ring.format(east=4.8)}) AS ring")
+    got = geo.rasterise(cells, shapes)
+    assert "BuildLeft" not in plan_of(got)
+    assert {r.name for r in got.where("x < 2 AND y BETWEEN 1 AND 4").collect()} == {"s3"} and {r.name for r in got.where("x > 2").collect()} == {None}
