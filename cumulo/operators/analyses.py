@@ -13,6 +13,10 @@ from cumulo.plans.selection import select_quantiles
 from cumulo.plans.shared import materialize
 
 
+#: Tasks that share a region's volumes.
+DEALS = 64
+
+
 def mid_ranks(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
     """(value, mid): the mean rank that the ``n`` rows of each value share, from one row a different value.
 
@@ -129,17 +133,23 @@ def propagation_speed(landed: DataFrame, beyond_km: float = 15.0) -> DataFrame:
 def regional_edges(cat: DataFrame, years: float, rates: tuple[float, float] = STORM_RATE_BANDS, volume: str = "total_volume_km3") -> DataFrame:
     """(domain, region, storms_per_year, low_km3, high_km3, of_domain) of each ``region`` and of the domain (region null): volumes that so many storms a year reach.
 
-    An edge is the k-th largest volume, k = round(rate * years), halves to even, within 1..n; of_domain compares the upper ones.  Only the first k of a
-    region leave a task.
+    An edge is the k-th largest volume, k = round(rate * years), halves to even, within 1..n; of_domain compares the upper ones.  Volumes are counted once a
+    region and dealt over ``DEALS`` tasks a region, which keep their first k; a region's first k are found among those, and the domain's among the regions'.
     """
     rows = cat.where(F.col(volume).isNotNull()).select("region", F.col(volume).alias("v"))
-    rows = rows.select("v", F.explode(F.array(F.struct(F.lit(False).alias("domain"), F.col("region")), F.struct(F.lit(True).alias("domain"), F.lit(None).cast(cat.schema["region"].dataType).alias("region")))).alias("of"))
-    sizes = rows.groupBy("of").agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy("region", "v").agg(F.count("*").alias("n")), "volumes")
     ks = [max(round(r * years), 1) for r in rates]
-    order = Window.partitionBy("of").orderBy(F.desc("v"))
-    top = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(ks))
-    at = lambda k: F.max(F.when(F.col("k") == F.least(F.lit(k), F.col("n")), F.col("v")))
-    found = top.join(sizes, "of").groupBy("of", "n").agg(at(ks[0]).alias("low_km3"), at(ks[1]).alias("high_km3"))
+    first = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("v")))).where(F.col("k") <= max(ks)).drop("k")
+    dealt = lambda df, *by: first(first(df.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEALS))), *by, "deal"), *by)
+    of = lambda domain, region: F.struct(F.lit(domain).alias("domain"), region.cast(cat.schema["region"].dataType).alias("region")).alias("of")
+    tops = materialize(dealt(counts, "region").select("region", "v", "n"), "tops")
+    every = dealt(tops.groupBy("v").agg(F.sum("n").alias("n")).withColumn("domain", F.lit(True)), "domain")
+    sizes = counts.groupBy("region").agg(F.sum("n").alias("all"))
+    sizes = sizes.select(of(False, F.col("region")), "all").union(sizes.agg(F.sum("all").alias("all")).where("all IS NOT NULL").select(of(True, F.lit(None)), "all"))
+    top = tops.select(of(False, F.col("region")), "v", "n").union(every.select(of(True, F.lit(None)), "v", "n"))
+    top = top.withColumn("k", F.sum("n").over(Window.partitionBy("of").orderBy(F.desc("v"))))
+    at = lambda k: F.max(F.when(F.col("k") >= F.least(F.lit(k), F.col("all")), F.col("v")))
+    found = top.join(sizes, "of").groupBy("of", "all").agg(at(ks[0]).alias("low_km3"), at(ks[1]).alias("high_km3")).withColumnRenamed("all", "n")
     whole = found.where("of.domain").select(F.col("high_km3").alias("all"))
     return found.join(F.broadcast(whole), F.lit(True)).select("of.domain", "of.region", (F.col("n") / F.lit(float(years))).alias("storms_per_year"), "low_km3", "high_km3", (F.col("high_km3") / F.nullif("all", F.lit(0.0))).alias("of_domain"))
 

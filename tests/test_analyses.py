@@ -169,3 +169,17 @@ def test_a_range_is_guarded_while_it_is_read(spark, tmp_path):
     assert sparse.verify(dense=False)["cells"] == 96 * 4
     with pytest.raises(Exception, match="is outside of the range"):
         RangeGuard(first, first, 2, 3).attach(whole).agg(F.max("t")).collect()
+
+
+def test_edges_of_regions_with_repeated_volumes_and_no_sort_of_the_domain(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(a) if a < 3 else None, float(v)) for a, v in zip(rng.integers(0, 4, 4000), rng.integers(0, 900, 4000) ** 2 // 90)] + [(1, None), (2, 5000.0), (2, 5000.0)]
+    cat = spark.createDataFrame(rows, "region int, total_volume_km3 double")
+    got = {(r.domain, r.region): r[2:] for r in analyses.regional_edges(cat, 2.5, (300.0, 3.0)).collect()}
+    held = {(False, g): sorted((v for a, v in rows if a == g and v is not None), reverse=True) for g in (0, 1, 2, None)}
+    held[True, None] = sorted((v for _, v in rows if v is not None), reverse=True)
+    edge = lambda of, k: held[of][min(k, len(held[of])) - 1]
+    assert got == {of: (len(held[of]) / 2.5, edge(of, 750), edge(of, 8), edge(of, 8) / edge((True, None), 8)) for of in held}
+    assert analyses.regional_edges(cat.where("false"), 1.0).count() == 0
+    plan = analyses.regional_edges(cat, 2.5, (300.0, 3.0))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan  # before, every row went to its region and to the domain, which one task sorted
