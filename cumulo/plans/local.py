@@ -51,6 +51,51 @@ def _chunks(df: DataFrame, make: Callable[..., tuple[np.ndarray, ...]]) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def neighbours(placed: DataFrame, size: tuple[int, int, int], offsets: list[tuple[int, int, int]], rate: str) -> DataFrame:
+    """``(u, v, ru, rv)``: voxels u that are their block's own and the voxels v at ``offsets`` from them that stand in the block too.
+
+    ``placed`` is (bt, by, bx, t, y, x, id, r, own), each block's rows together: its own ``size`` cells, the step after and a row and a column on either side.
+    ``rate`` is the type of r.  Places are looked up in the sorted places of a chunk of whole blocks, so time doesn't grow with how full a block is.
+    """
+    names = placed.columns
+    deep, wide, long = size[0] + 1, size[1] + 2, size[2] + 2
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        col = {c: t[c].to_numpy() for c in names if c != "r"}
+        new = np.r_[False, np.any([np.diff(col[c]) != 0 for c in ("bt", "by", "bx")], axis=0)] if t.num_rows else np.zeros(0, bool)
+        at = [col[c].astype(np.int64) - col[b].astype(np.int64) * n + k for c, b, n, k in zip("tyx", ("bt", "by", "bx"), size, (0, 1, 1))]
+        place = ((np.cumsum(new) * deep + at[0]) * wide + at[1]) * long + at[2]
+        order = np.argsort(place, kind="stable")
+        known, own = place[order], order[col["own"][order]]
+        us, vs = [], []
+        for a, b, c in offsets:
+            to = place[own] + (a * wide + b) * long + c
+            found = np.minimum(np.searchsorted(known, to), len(known) - 1)
+            hit = known[found] == to
+            us.append(own[hit])
+            vs.append(order[found[hit]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        r = t["r"].combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(col["id"][u]), pa.array(col["id"][v]), r.take(pa.array(u)), r.take(pa.array(v))], names=["u", "v", "ru", "rv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n < CHUNK:
+                continue
+            t = pa.Table.from_batches(held)
+            last = np.any([t[c].to_numpy() != t[c][-1].as_py() for c in ("bt", "by", "bx")], axis=0)
+            whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last block may go on in the next batch
+            if whole:
+                yield made(t.slice(0, whole))
+            held, n = t.slice(whole).to_batches(), t.num_rows - whole
+        if n:
+            yield made(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, f"u long, v long, ru {rate}, rv {rate}")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """Two columns of edges -> edges from each node of a chunk to the least that it is connected to there; the components stay."""
 

@@ -382,3 +382,20 @@ def test_rasterise_broadcasts_cells_only(spark):
     got = geo.rasterise(cells, shapes)
     assert "BuildLeft" not in plan_of(got)
     assert {r.name for r in got.where("x < 2 AND y BETWEEN 1 AND 4").collect()} == {"s3"} and {r.name for r in got.where("x > 2").collect()} == {None}
+
+
+def test_neighbours_meet_in_blocks_without_a_join(spark, monkeypatch):
+    from cumulo.plans import local
+
+    rng = np.random.default_rng(11)
+    places = sorted({tuple(p) for p in rng.integers((-20, 28, 0), (20, 70, 36), (9000, 3)).tolist()})
+    at = {p: i for i, p in enumerate(places)}
+    vox = spark.createDataFrame([(i, *p, float(i % 7)) for p, i in at.items()], "id long, t int, y int, x int, r double")
+    monkeypatch.setattr(local, "CHUNK", 3000)  # blocks are cut off where they end
+    for connectivity, shifts in ((26, [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]), (6, [(1, 0, 0), (0, 1, 0), (0, 0, 1)])):
+        found = segment.edges(vox, connectivity)
+        assert "Join" not in plan_of(found)
+        wanted = sorted((i, at[q], i % 7.0, at[q] % 7.0) for (t, y, x), i in at.items() for a, b, c in shifts if (a, b, c) > (0, 0, 0) and (q := (t + a, y + b, x + c)) in at)
+        assert sorted(map(tuple, found.collect())) == wanted
+    assert segment.edges(vox.where("false")).count() == 0
+    assert segment.edges(vox.withColumn("r", vox["r"].cast("float"))).schema["ru"].dataType.simpleString() == "float"
