@@ -126,6 +126,7 @@ def age_exceedance(cat: DataFrame, years: float, hours: tuple[float, ...] = (12.
 def propagation_speed(landed: DataFrame, beyond_km: float = 15.0) -> DataFrame:
     """(n, p25_km_h, median_km_h, p75_km_h): offshore distance at the start over hours at sea, of storms that form farther out than ``beyond_km``."""
     rows = landed.where((F.col("offshore_km_at_start") > beyond_km) & (F.col("hours_at_sea") > 0)).select((F.col("offshore_km_at_start") / F.col("hours_at_sea")).alias("speed"))
+    rows = materialize(rows, "speeds")  # the quantiles read it once a round
     at = select_quantiles(rows, {"p25_km_h": ("speed", 0.25), "median_km_h": ("speed", 0.5), "p75_km_h": ("speed", 0.75)})
     return rows.agg(F.count("*").alias("n")).join(at, F.lit(True), "left")
 

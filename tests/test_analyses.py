@@ -183,3 +183,11 @@ def test_edges_of_regions_with_repeated_volumes_and_no_sort_of_the_domain(spark)
     assert analyses.regional_edges(cat.where("false"), 1.0).count() == 0
     plan = analyses.regional_edges(cat, 2.5, (300.0, 3.0))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Expand" not in plan  # before, every row went to its region and to the domain, which one task sorted
+
+
+def test_speeds_are_made_once(spark):
+    landed = spark.range(1, 41).selectExpr("double(20 * id) AS offshore_km_at_start", "0.5D * (id % 4) AS hours_at_sea")
+    got = analyses.propagation_speed(landed)
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    speeds = [20 * i / (0.5 * (i % 4)) for i in range(1, 41) if i % 4]
+    assert tuple(got.first()) == pytest.approx((len(speeds), *np.quantile(speeds, [0.25, 0.5, 0.75])))
