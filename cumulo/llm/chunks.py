@@ -179,7 +179,8 @@ def requests(made: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            # A block at a time: those of a batch together may be many times a block's size.
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                 digest = np.frombuffer(row["digests"], np.uint64).reshape(-1, 2)
                 holder = unpacked(row["holders"]).astype(np.int64)
                 ids = np.array(list(map(_ordered, row["ids"])), np.uint64)[holder]
@@ -252,7 +253,7 @@ def repeated_runs(made: DataFrame, found: DataFrame, min_words: int, min_bytes:
 
 
 @F.pandas_udf(StringType())
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     """Texts without their spans of code points."""
 
     def cut(t: str | None, found) -> str | None:
@@ -267,6 +268,10 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, s) for t, s in zip(text, spans)], dtype=object)
 
 
+#: Not pushed below with a filter on the new text: each task would cut twice, in two Python processes that stay with the executor.
+_without = _cut.asNondeterministic()
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12, min_bytes: int = 150, bucket_keys: int = BUCKET_KEYS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text_col``, and ``n_cut``, ``cut_spans``.
 

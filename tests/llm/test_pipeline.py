@@ -59,3 +59,13 @@ def test_odd_rows_pass_every_stage(spark, docs, texts, empty):
             rows = materialize(stage(spark, rows, SF), name)
             assert rows.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, rows, SF).count()
+
+
+def test_texts_are_cut_once(spark):
+    """The filter on what is left of a text doesn't cut it a second time: one Python process a task, not two."""
+    passage = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, passage, "en", "web", len(passage)), (2, passage, "en", "web", len(passage)), (3, "short", "en", "web", 5), (4, None, "en", "web", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.substring_dedup(spark, docs, SF)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in got.collect()} == {1: passage, 3: "short", 4: None}
